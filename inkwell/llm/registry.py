@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from inkwell.llm import mixing, sharding, url_filter
+from inkwell.llm import decontaminate, mixing, near_dup, sharding, url_filter
 
 QUERIES = {
     "op2_url_filters": url_filter.op2_url_filters,
     "op3_mixing": mixing.op3_mixing,
+    "op5_near_dup": near_dup.op5_near_dup,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {
     "op2_url_filters": url_filter.ORACLE,
     "op3_mixing": mixing.ORACLE,
+    "op7_decontaminate": decontaminate.ORACLE,
 }
