@@ -14,10 +14,14 @@ short pairs would be lost.) A pair at the threshold of 0.75 misses all 40 bands
 of four with probability 2.5e-7.
 
 Equal sets are one class from the start. In a band bucket each class is first
-compared with the bucket's smallest class alone; then the components so far are
-known, and only pairs of a bucket that are still in different components are
-compared. Every pair of classes that shares a band is therefore confirmed,
-refuted or already connected, while groups of near copies never unfold.
+compared with the bucket's most central class alone: the one whose own buckets
+hold the most classes, so the least edited of a group of near copies. Then the
+components so far are known, and only pairs of a bucket that are still in
+different components are compared, without the classes that cannot link: a
+shingle that occurs in no other class of these buckets is shared with none, which
+bounds every intersection from above. Every pair of classes that shares a band is
+therefore confirmed, refuted or already connected, while groups of near copies
+and texts around a common passage never unfold.
 
 Defined results: a null or wordless text has an empty set, n_shingles 0, and is
 linked with nothing; texts of fewer words than a shingle are one shingle; a null
@@ -79,6 +83,8 @@ def signature(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     for k in range(BUCKETS if len(heads) else 0):
         np.bitwise_xor(low, _XOR[k], out=held)
         np.multiply(held, _ODD[k], out=held)
+        held ^= held >> np.uint32(15)
+        np.multiply(held, _ODD[k - 1], out=held)
         np.minimum.reduceat(held, heads, out=out[k])
     return registers(np.ascontiguousarray(out.T))
 
@@ -144,19 +150,36 @@ def signatures(docs: DataFrame) -> DataFrame:
     return in_arrow(docs.select("doc_id", "text"), _sign, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, d1 long, d2 long, bands array<long>")
 
 
-def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of class representatives, those whose full sets are similar enough."""
+def confirmed(pairs: DataFrame, reps: DataFrame, full: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of class representatives, those whose full sets are similar enough; full: rep, grams."""
     mine = reps.select("rep", "bands")
     near = pairs.join(mine.select(F.col("rep").alias("a"), F.col("bands").alias("x")), "a").join(mine.select(F.col("rep").alias("b"), F.col("bands").alias("y")), "b")
     near = written(in_arrow(near.select("a", "b", "x", "y"), _close, "a long, b long"))
-    wanted = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct().join(reps.select("rep", "d1", "d2"), "rep")
-    kind = dict(docs.dtypes)["doc_id"]
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    full = in_arrow(texts, _shingle, f"id {kind}, d1 long, d2 long, grams array<long>")
-    full = written(full.join(wanted.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi").groupBy("id").agg(F.first("grams").alias("grams")))
-    met = near.join(full.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+    met = near.join(full.select(F.col("rep").alias("a"), F.col("grams").alias("x")), "a").join(full.select(F.col("rep").alias("b"), F.col("grams").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return met.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y") - shared).alias("u")).filter(F.col("i") * 100 >= F.col("u") * THRESHOLD).select("a", "b")
+    return written(met.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y") - shared).alias("u")).filter(F.col("i") * 100 >= F.col("u") * THRESHOLD).select("a", "b"))
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rep, grams: the shingle sets of the class representatives `wanted` (rep, d1, d2)."""
+    texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    full = in_arrow(texts, _shingle, "id long, d1 long, d2 long, grams array<long>")
+    full = full.withColumnRenamed("id", "rep").join(wanted, ["rep", "d1", "d2"], "left_semi")
+    return written(full.groupBy("rep").agg(F.first("grams").alias("grams")))
+
+
+def late_pairs(rest: DataFrame, full: DataFrame) -> DataFrame:
+    """rest: band, key, rep, n, component -> pairs (a, b) of a bucket and of two components that may link."""
+    each = full.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode("grams").alias("gram"))
+    own = each.groupBy("gram").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    able = rest.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).filter(F.col("most") * 100 >= F.col("n") * THRESHOLD)
+    able = written(able.select("band", "key", "rep", "n", "component", "most"))
+    x, y = (able.select("band", "key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component", "most")]) for s in "xy")
+    both = F.col("n_x") + F.col("n_y")
+    # i / (n_x + n_y - i) >= t for some i up to the bound, which the smaller set bounds too
+    may = F.least("most_x", "most_y") * (100 + THRESHOLD) >= both * THRESHOLD
+    met = x.join(y, ["band", "key"]).filter((F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & may)
+    return met.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -166,19 +189,18 @@ def link(docs: DataFrame) -> DataFrame:
     classes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     reps = written(signed.withColumnRenamed("doc_id", "rep").join(classes, ["d1", "d2", "n", "rep"]).dropDuplicates(["rep", "d1", "d2"]))
     banded = reps.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    heads = banded.groupBy("band", "key").agg(F.min("rep").alias("head"), F.count("*").alias("c")).filter("c > 1")
-    shared = written(banded.join(heads, ["band", "key"]).select("band", "key", "rep", "n", "head"))  # buckets with company
-    stars = shared.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(confirmed(docs, reps, stars))
+    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = written(banded.join(sizes, ["band", "key"]).select("band", "key", "rep", "n", "c"))  # buckets with company
+    scores = shared.groupBy("rep").agg(F.sum("c").alias("score"))
+    central = shared.join(scores, "rep").groupBy("band", "key").agg(F.max(F.struct("score", (-F.col("rep")).alias("r"))).alias("best")).select("band", "key", (-F.col("best.r")).alias("head"))
+    stars = shared.join(central, ["band", "key"]).filter("rep <> head").select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")).distinct()
+    full = full_sets(docs, reps.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", "d1", "d2"))
+    links = confirmed(stars, reps, full)
     found = components(links)
     inside = shared.join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = inside.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key")
     rest = written(inside.join(split, ["band", "key"]).select("band", "key", "rep", "n", "component"))
-    x, y = (rest.select("band", "key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component")]) for s in "xy")
-    sizes = (F.col("n_x") * 100 >= F.col("n_y") * THRESHOLD) & (F.col("n_y") * 100 >= F.col("n_x") * THRESHOLD)
-    more = x.join(y, ["band", "key"]).filter((F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & sizes)
-    more = more.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    late = written(confirmed(docs, reps, more))
+    late = confirmed(late_pairs(rest, full), reps, full)
     if late.limit(1).count():
         found = components(links.union(late))
     out = signed.join(classes, ["d1", "d2", "n"], "left").join(found.withColumnRenamed("v", "rep"), "rep", "left")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from inkwell.llm import decontaminate, mixing, near_dup, sharding, url_filter
+from inkwell.llm import decontaminate, langid, mixing, near_dup, sharding, url_filter
 
 QUERIES = {
     "op2_url_filters": url_filter.op2_url_filters,
     "op3_mixing": mixing.op3_mixing,
+    "op4_language_id": langid.op4_language_id,
     "op5_near_dup": near_dup.op5_near_dup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op10_sharding": sharding.op10_sharding,
