@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from inkwell.llm import decontaminate, langid, mixing, near_dup, sharding, url_filter
+from inkwell.llm import decontaminate, langid, lm_score, mixing, near_dup, sharding, suffix_dedup, url_filter
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_url_filters": url_filter.op2_url_filters,
     "op3_mixing": mixing.op3_mixing,
     "op4_language_id": langid.op4_language_id,
     "op5_near_dup": near_dup.op5_near_dup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {
