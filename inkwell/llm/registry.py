@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import decontaminate, langid, lm_score, mixing, near_dup, sharding, suffix_dedup, url_filter
+from inkwell.llm import ann, decontaminate, langid, lm_score, mixing, near_dup, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_near_dup": near_dup.op5_near_dup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_ann": ann.op9_ann,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {
