@@ -157,7 +157,7 @@ def _scan(index, fresh: bool):
                 else:
                     out[-2] = pa.array([x + y for x, y in zip(out[-2].to_pylist(), ranges, strict=True)], RANGES)
                     out[-1] = pa.array([sorted({*x, *y}) for x, y in zip(out[-1].to_pylist(), found, strict=True)], ITEMS)
-                yield pa.record_batch(out, ["doc_id", "text", "n_words", "ranges", "items"])
+                yield pa.record_batch(out, [*(batch.schema.names if fresh else batch.schema.names[:-3]), "n_words", "ranges", "items"])
 
     return scan
 
@@ -176,21 +176,21 @@ def union(ranges: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, ranges (of hit words, by number from 0, end exclusive), items (ids as strings)."""
+    """The columns of docs and n_words, ranges (of hit words, by number from 0, end exclusive), items (ids as strings)."""
     spark = docs.sparkSession
     tests = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL")
     blocks = -(-(tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] or 1) // block_bytes)
     blocks = 1 if blocks == 1 else 2 * blocks  # a hash deals unevenly
-    kind = dict(docs.dtypes)["doc_id"]
-    out = docs.select("doc_id", "text")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema) + "n_words long, ranges array<struct<start:bigint,end:bigint>>, items array<string>"
+    out = docs
     for k in range(blocks):
         part = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else tests
         rows = part.toArrow()
         index = spark.sparkContext.broadcast(Index(rows.column("item_id").to_pylist(), rows.column("text")))
-        out = in_arrow(out, _scan(index, k == 0), f"doc_id {kind}, text string, n_words long, ranges array<struct<start:bigint,end:bigint>>, items array<string>")
+        out = in_arrow(out, _scan(index, k == 0), schema)
         if k % CHAINED == CHAINED - 1 and k < blocks - 1:
             out = written(out)
-    return out.drop("text") if blocks == 1 else out.drop("text").withColumn("ranges", union(F.col("ranges")))
+    return out if blocks == 1 else out.withColumn("ranges", union(F.col("ranges")))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return report(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return report(contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
 ORACLE = r"""
