@@ -47,6 +47,8 @@ BANDS, ROWS, MANTISSA = 40, 4, 10
 BUCKETS = BANDS * ROWS
 #: Estimates this far below the threshold are not confirmed: five standard deviations of the register count.
 MARGIN = 0.18
+#: Cells of the odd sketch.
+ODD = 512
 ROW_BITS = K.U64(16)
 _rng = np.random.Generator(np.random.PCG64(5))
 _ODD = _rng.integers(0, 2**31, size=BUCKETS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -92,8 +94,8 @@ def signature(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _slices(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     buf, offs = K.texts(column)
     for a, b in K.slices(offs):
-        for c in range(a, b, 60_000):
-            d = min(b, c + 60_000)
+        for c in range(a, b, 8_000):
+            d = min(b, c + 8_000)
             yield c, d, buf[offs[c] : offs[d]], offs[c : d + 1] - offs[c]
 
 
@@ -108,6 +110,14 @@ def _digest(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
+def odd_sketch(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Parities of each row, (rows, ODD / 64) numbers: the bits in which two rows differ are at most their symmetric difference."""
+    rows = len(at) - 1
+    cell = np.repeat(np.arange(rows, dtype=np.int64) * ODD, np.diff(at)) + (grams & K.U64(ODD - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=rows * ODD) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(rows, ODD), axis=1).view(np.int64)
+
+
 def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
 
@@ -119,7 +129,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.diff(at)
             d1, d2 = _digest(grams, at)
             keys = signature(grams, at).view(np.int64).reshape(-1)
-            yield pa.record_batch([batch.column("doc_id")[a:b], pa.array(counts.astype(np.int64)), pa.array(d1), pa.array(d2), _lists(keys, np.where(counts > 0, BANDS, 0))], ["doc_id", "n", "d1", "d2", "bands"])
+            yield pa.record_batch([batch.column("doc_id")[a:b], pa.array(counts.astype(np.int64)), pa.array(d1), pa.array(d2), _lists(keys, np.where(counts > 0, BANDS, 0)), _lists(odd_sketch(grams, at).reshape(-1), np.full(b - a, ODD // 64))], ["doc_id", "n", "d1", "d2", "bands", "odd"])
 
 
 def _shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +156,8 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (distinct shingles), d1, d2 (digest of the set), bands (the registers, four to a number)."""
-    return in_arrow(docs.select("doc_id", "text"), _sign, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, d1 long, d2 long, bands array<long>")
+    """doc_id, n (distinct shingles), d1, d2 (digest of the set), bands (the registers, four to a number), odd (sketch)."""
+    return in_arrow(docs.select("doc_id", "text"), _sign, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, d1 long, d2 long, bands array<long>, odd array<long>")
 
 
 def confirmed(pairs: DataFrame, reps: DataFrame, full: DataFrame) -> DataFrame:
@@ -168,16 +178,18 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(full.groupBy("rep").agg(F.first("grams").alias("grams")))
 
 
-def late_pairs(rest: DataFrame, full: DataFrame) -> DataFrame:
+def late_pairs(rest: DataFrame, reps: DataFrame, full: DataFrame) -> DataFrame:
     """rest: band, key, rep, n, component -> pairs (a, b) of a bucket and of two components that may link."""
     each = full.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode("grams").alias("gram"))
     own = each.groupBy("gram").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
     able = rest.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).filter(F.col("most") * 100 >= F.col("n") * THRESHOLD)
-    able = written(able.select("band", "key", "rep", "n", "component", "most"))
-    x, y = (able.select("band", "key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component", "most")]) for s in "xy")
+    able = written(able.join(reps.select("rep", "odd"), "rep").select("band", "key", "rep", "n", "component", "most", *[F.col("odd")[i].alias(f"o{i}") for i in range(ODD // 64)]))
+    x, y = (able.select("band", "key", *[F.col(c).alias(f"{c}_{s}") for c in able.columns[2:]]) for s in "xy")
     both = F.col("n_x") + F.col("n_y")
     # i / (n_x + n_y - i) >= t for some i up to the bound, which the smaller set bounds too
     may = F.least("most_x", "most_y") * (100 + THRESHOLD) >= both * THRESHOLD
+    differ = sum((F.bit_count(F.col(f"o{i}_x").bitwiseXOR(F.col(f"o{i}_y"))) for i in range(ODD // 64)), F.lit(0))
+    may = may & (differ * (100 + THRESHOLD) <= both * (100 - THRESHOLD))
     met = x.join(y, ["band", "key"]).filter((F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & may)
     return met.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
 
@@ -200,7 +212,7 @@ def link(docs: DataFrame) -> DataFrame:
     inside = shared.join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = inside.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key")
     rest = written(inside.join(split, ["band", "key"]).select("band", "key", "rep", "n", "component"))
-    late = confirmed(late_pairs(rest, full), reps, full)
+    late = confirmed(late_pairs(rest, reps, full), reps, full)
     if late.limit(1).count():
         found = components(links.union(late))
     out = signed.join(classes, ["d1", "d2", "n"], "left").join(found.withColumnRenamed("v", "rep"), "rep", "left")
