@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from inkwell.plans import text_queries
+from inkwell.plans import search_queries, text_queries
 
 FLAGSHIP = "hybrid_search"
 _ALL: dict = {}
-for _module in (text_queries,):
+for _module in (text_queries, search_queries):
     _ALL |= _module.QUERIES
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
