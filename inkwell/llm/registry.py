@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import ann, decontaminate, langid, lm_score, mixing, near_dup, sharding, suffix_dedup, url_filter
+from inkwell.llm import ann, decontaminate, langid, line_dedup, lm_score, mixing, near_dup, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_language_id": langid.op4_language_id,
     "op5_near_dup": near_dup.op5_near_dup,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_ann": ann.op9_ann,
