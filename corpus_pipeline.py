@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import decontaminate, langid, mixing, near_dup, sharding
-from inkwell.llm.common import table, written
+from inkwell.llm.common import masked, table, written
 
 #: A document whose best language has a smaller mean probability is in none of the learned languages.
 MIN_LANGUAGE = 0.4
@@ -24,8 +24,9 @@ SHARDS = 24
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go."""
-    judged = langid.predict(docs, langid.train(docs), docs.columns)
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE)).select(docs.columns)
+    own, names = masked(docs)
+    judged = langid.predict(own, langid.train(own), names)
+    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE)).select(names).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,16 +37,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).filter(F.size("ranges") == 0).select(docs.columns)
+    own, names = masked(docs)
+    return decontaminate.contamination(own, table(spark, sf_dir, "benchmark")).filter(F.size("ranges") == 0).select(names).toDF(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Blocks of a source are taken in turn, so all but
     the document at a source's last cut are taken a whole number of times; that one is rounded."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias("_times"))
+    own, names = masked(docs)
+    taken = mixing.mix(own).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias("_times"))
     taken = taken.filter("_times > 0").withColumnRenamed("doc_id", "_id")
-    met = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    met = own.join(taken, own["doc_id"].eqNullSafe(taken["_id"]))
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(names).toDF(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,13 @@ def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def masked(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "text", "lang", "source")) -> tuple[DataFrame, list[str]]:
+    """df with the columns that are not in `keep` under names that clash with nothing, and all its columns' names then.
+    `.toDF(*df.columns)` on them gives the old names back."""
+    names = [c if c in keep else f"_col_{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), names
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where it is unset (one machine), a temporary one, set from then on."""
     at = spark.conf.get("spark.checkpoint.dir", None)

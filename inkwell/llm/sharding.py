@@ -4,7 +4,7 @@ A record hashes into one of VIRTUAL slots and never leaves it. Rows and bytes
 are summed by slot, and a versioned map says which shard holds each slot.
 Version 0 deals the slots round; rebalancing writes the next version, in which
 only edited slots differ: a shard keeps its largest slots up to the mean load,
-and the others go, largest first, to the shard that is least loaded then.
+and the others but empty ones go, largest first, to the shard that is least loaded then.
 Adding a shard is the same edit with one more, empty shard.
 
 The law of the query is `bytes`: shards hold nearly equal bytes. The record, not
@@ -57,7 +57,7 @@ def rebalanced(held: DataFrame, by_slot: DataFrame, shards: int) -> DataFrame:
     joined = held.join(by_slot, "virtual_slot", "left").select("virtual_slot", "shard", "version", F.coalesce("slot_bytes", F.lit(0)).alias("slot_bytes"))
     own = Window.partitionBy("shard").orderBy(F.desc("slot_bytes"), "virtual_slot")
     mean = F.sum("slot_bytes").over(Window.partitionBy()) / shards
-    seen = joined.withColumn("stays", F.sum("slot_bytes").over(own) <= mean).withColumn("_next", F.max("version").over(Window.partitionBy()) + 1)
+    seen = joined.withColumn("stays", (F.sum("slot_bytes").over(own) <= mean) | (F.col("slot_bytes") == 0)).withColumn("_next", F.max("version").over(Window.partitionBy()) + 1)
     moved = F.filter("slots", lambda s: ~s["stays"])
     kept = F.filter("slots", lambda s: s["stays"])
     zero = F.array_repeat(F.lit(0).cast("long"), shards)
