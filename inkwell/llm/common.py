@@ -56,6 +56,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Parts that a hot key of joined() is split into.
+SALTS = 16
+
+
+def joined(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """rows join facts on `keys`, where facts has few rows and one for each key, and rows may hold a third of theirs
+    under one key: rows are dealt by the hash of `spread` too, and each fact is there once for each part."""
+    salted = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
 def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: str, out: str, position: str | None = None) -> DataFrame:
     """Exclusive running sum of `value` within `keys` along (bucket, *order), without gathering a key in one task.
 

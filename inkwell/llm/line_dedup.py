@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import kernels as K
-from inkwell.llm.common import in_arrow, table, written
+from inkwell.llm.common import in_arrow, joined, table, written
 from inkwell.llm.graph import components
 
 EDITS, SHORT = 2, 20
@@ -127,8 +127,9 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             continue
                         ok = (p + move >= 0) & (p + move + size <= n) & (short >= SHORT)
                         out.append((key(i, size[ok], (s + p + move)[ok], short[ok]), line[ok], h[ok], np.full(int(ok.sum()), PROBED, np.int8)))
-            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-            yield pa.record_batch([pa.array(c.view(np.int64)) for c in cols[:3]] + [pa.array(cols[3])], ["key", "line", "histogram", "side"])
+            keys, line, h, side = (np.concatenate(c) for c in zip(*out, strict=True))
+            keys = (keys & ~K.U64(1)) | side.astype(K.U64)
+            yield pa.record_batch([pa.array(c.view(np.int64)) for c in (keys, line, h)], ["key", "line", "histogram"])
 
 
 def near_histograms(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -141,7 +142,7 @@ def near_histograms(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key, side. Pairs (smaller hash, larger hash) of a bucket's index and probe rows."""
+    """Rows come sorted by key, whose last bit is the side. Pairs (smaller hash, larger hash) of a bucket's index and probe rows."""
     def bucket(line: np.ndarray, hist: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         x, y = line[side == INDEXED], line[side == PROBED]
         hx, hy = hist[side == INDEXED], hist[side == PROBED]
@@ -161,7 +162,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
-        new = tuple(np.asarray(batch.column(c)) for c in ("key", "line", "histogram", "side"))
+        key, line, hist = (np.asarray(batch.column(c)) for c in ("key", "line", "histogram"))
+        new = (key & -2, line, hist, key & 1)
         if not len(new[0]):
             continue
         if held and held[-1][0][-1] == new[0][0] == new[0][-1]:
@@ -278,8 +280,8 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(own: DataFrame, first: DataFrame) -> DataFrame:
     """a, b: hashes of different lines within EDITS edits. own: doc, text; first: line, at (doc, place)."""
-    rows = in_arrow(own.select("doc", "text"), _keys, "key long, line long, histogram long, side byte")
-    met = in_arrow(rows.repartition("key").sortWithinPartitions("key", "side"), _meet, "a long, b long")
+    rows = in_arrow(own.select("doc", "text"), _keys, "key long, line long, histogram long")
+    met = in_arrow(rows.repartition(F.col("key").bitwiseAND(F.lit(-2))).sortWithinPartitions("key"), _meet, "a long, b long")
     pairs = written(met.distinct())
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
     asked = first.join(wanted, "line", "left_semi").groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("at.place").alias("place"), "line")).alias("asked"))
@@ -299,7 +301,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     heads = first.join(found, "line").groupBy("component").agg(F.min("at").alias("head"))
     classed = found.join(heads, "component").select("line", "head")
     judged = first.join(classed, "line", "left").select("line", F.coalesce("head", "at").alias("head"), "c", "at").filter((F.col("c") > 1) | (F.col("head") != F.col("at")))
-    gone = seen.join(judged.select("line", "head"), "line").filter(F.struct("doc", "place") != F.col("head")).groupBy("doc").agg(F.collect_set("place").alias("gone"))
+    gone = joined(seen, judged.select("line", "head"), ["line"], ["doc", "place"]).filter(F.struct("doc", "place") != F.col("head")).groupBy("doc").agg(F.collect_set("place").alias("gone"))
     kind = dict(docs.dtypes)["doc_id"]
     return in_arrow(own.join(gone, "doc", "left").select("doc_id", "text", "gone"), _keep, f"doc_id {kind}, n_lines long, n_removed long, kept_sha256 string, kept string")
 
