@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import kernels as K
-from inkwell.llm.common import in_arrow, table, written
+from inkwell.llm.common import in_arrow, joined, table, written
 from inkwell.llm.graph import components
 
 WORDS, THRESHOLD = 5, 75
@@ -198,8 +198,8 @@ def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row a document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(signatures(docs))
-    classes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = written(signed.withColumnRenamed("doc_id", "rep").join(classes, ["d1", "d2", "n", "rep"]).dropDuplicates(["rep", "d1", "d2"]))
+    classes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    reps = written(signed.withColumnRenamed("doc_id", "rep").join(classes.drop("copies"), ["d1", "d2", "n", "rep"]).dropDuplicates(["rep", "d1", "d2"]))
     banded = reps.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     sizes = banded.groupBy("band", "key").agg(F.count("*").alias("c")).filter("c > 1")
     shared = written(banded.join(sizes, ["band", "key"]).select("band", "key", "rep", "n", "c"))  # buckets with company
@@ -215,8 +215,10 @@ def link(docs: DataFrame) -> DataFrame:
     late = confirmed(late_pairs(rest, reps, full), reps, full)
     if late.limit(1).count():
         found = components(links.union(late))
-    out = signed.join(classes, ["d1", "d2", "n"], "left").join(found.withColumnRenamed("v", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    told = classes.join(found.withColumnRenamed("v", "rep"), "rep", "left").filter("copies > 1 OR component IS NOT NULL")
+    told = told.select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
+    out = joined(signed, told, ["d1", "d2", "n"], ["doc_id"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_near_dup(spark, sf_dir: str) -> DataFrame:

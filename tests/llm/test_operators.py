@@ -314,3 +314,13 @@ def test_sharding_balance_and_growth(spark):
 
 def test_sql_keys():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_language_accuracy_on_held_out_rows(spark, tmp_path):
+    r = np.random.default_rng(4)
+    bags = {"de": H.GERMAN.split(), "en": H.ENGLISH.split(), "fr": H.FRENCH.split()}
+    docs = [(i, " ".join(r.choice(bags[lang], 40)), lang) for i, lang in enumerate(r.choice(list(bags), 240).tolist())]
+    H.write(spark, str(tmp_path), docs, "doc_id long, text string, lang string")
+    true = {i: lang for i, _, lang in docs}
+    held = [r for r in rows(langid.op4_language_id(spark, str(tmp_path))) if r["held_out"]]
+    assert len(held) > 30 and sum(r["lang_pred"] == true[r["doc_id"]] for r in held) >= 0.95 * len(held)
