@@ -8,14 +8,15 @@ interpolates: P(w | h) = LAMBDA * c(h w) / c(h) + (1 - LAMBDA) * P0(w), where c
 counts read from the filter and P0 is the add-half unigram probability; a history
 that the filter does not know gives P0 alone.
 
-Counting runs once over the training texts. Each Arrow batch sorts its n-grams and
-ships them as packed arrays, one for each range of hashes (a segment); a segment
-is merged by one task, which also makes that segment's bits. Segments grow in
-number, not in size, with the input. The filter has at most MAX_BITS bits, set
-from the bytes of training text, so what is broadcast is bounded; more data than it
-is made for raises the rate of false positives and nothing else. Exact word counts
-are broadcast in blocks of at most MAX_WORDS words; a larger vocabulary takes
-several passes over the texts, each of which adds its words' share to the sums.
+Rows are dealt into chunks of text, which are written once. Each chunk ships its
+distinct words and pairs with their counts in the training texts, as packed sorted
+arrays, one for each range of hashes (a segment). One task merges a segment, makes
+that segment's bits of the filter, probes them for every chunk and sends each chunk
+one level an n-gram and the exact counts of its words; chunks meet these in their
+own order and are scored. Segments grow in number, not in size, with the training
+text, and the filter with them (BITS_A_BYTE for each byte): the rate of false
+positives is that of a small table at every size, nothing is broadcast, and the
+driver gets two totals.
 
 Defined results: a null text is empty: its one token is the end; without any
 training text every token has probability 1; a null doc_id is held in; repeated
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +38,10 @@ from inkwell.llm import kernels as K
 from inkwell.llm.common import in_arrow, table, written
 
 LAMBDA = 0.15
-#: Bits of the filter at most (64 MB), bits for a byte of text, hash functions, words of one broadcast block.
-MAX_BITS, BITS_A_BYTE, HASHES, MAX_WORDS = 1 << 29, 2, 4, 8_000_000
-#: Text that is counted before its n-grams are shipped, and text a segment stands for.
-FLUSH, SEGMENT_TEXT = 16 << 20, 16 << 20
+#: Bits of the filter for a byte of training text, hash functions.
+BITS_A_BYTE, HASHES = 2, 4
+#: Words and bytes of a chunk, and training text a segment stands for.
+MAX_WORDS, FLUSH, SEGMENT_TEXT = 8_000_000, 16 << 20, 16 << 20
 #: Hashes that stand for the start and the end of a text, and salts for the orders.
 START, END = K.U64(0x51A7C0DE00000001), K.U64(0x51A7C0DE00000002)
 ORDER1, ORDER2 = K.U64(0x9E3779B97F4A7C15), K.U64(0xC2B2AE3D27D4EB4F)
@@ -78,53 +80,110 @@ def bigrams(history: np.ndarray, token: np.ndarray) -> np.ndarray:
     return K.mix(history * K.PLACES[0] + token * K.PLACES[1] + ORDER2)
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    key = np.concatenate(keys) if keys else np.zeros(0, K.U64)
-    if counts is None:
-        key = np.sort(key)
-        many = np.ones(len(key), np.int64)
-    else:
-        order = np.argsort(key, kind="stable")
-        key, many = key[order], np.concatenate(counts)[order].astype(np.int64)
-    if not len(key):
-        return key, many
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[new], np.add.reduceat(many, new)
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers of as few bytes as the largest needs."""
+    wide = np.ascontiguousarray(x, dtype=K.U64).view(np.uint8).reshape(-1, 8)
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return wide[:, :width].tobytes()
 
 
-def _count(bits: int):
-    """Packed counts: kind 1 are the tokens themselves, kind 2 the filter's n-grams; the segment is the first `bits` bits of the hash."""
-    def ship(kind: int, key: np.ndarray, many: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edges = np.searchsorted(key, np.arange(1, 1 << bits, dtype=K.U64) << K.U64(64 - bits)) if bits else np.zeros(0, np.int64)
-        parts = [(s, k, c) for s, (k, c) in enumerate(zip(np.split(key, edges), np.split(many, edges), strict=True)) if len(k)]
-        for s, k, c in parts:  # pairs are mostly seen once: the keys of counts over one come first
-            over = c > 1
-            packed = np.concatenate([k[over], k[~over]]).tobytes()
-            yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([s], pa.int32()), pa.array([packed], pa.binary()), pa.array([c[over].astype(np.uint32).tobytes()], pa.binary())], ["kind", "seg", "keys", "counts"])
-
-    def flush(one: list[np.ndarray], two: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, many = _summed(one)
-        yield from ship(1, key, many)
-        gram = unigrams(key)
-        order = np.argsort(gram)
-        yield from ship(2, gram[order], many[order])
-        yield from ship(2, *_summed(two))
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(n, -1)
+    return out.view(K.U64).reshape(n)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, size = [], [], 0
+
+def _packed(key: np.ndarray, low: int) -> bytes:
+    """Sorted keys of the segment that begins at low, as steps."""
+    return _narrow(np.diff(key, prepend=K.U64(low)))
+
+
+def _unpacked(raw: bytes, n: int, low: int) -> np.ndarray:
+    return np.cumsum(_wide(raw, n), dtype=K.U64) + K.U64(low)
+
+
+def _chunks(max_words: int):
+    """Numbers the rows, and the chunks that they fall into."""
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32
+        chunk, row, size, seen = 0, 0, 0, 0
         for batch in batches:
             buf, offs = K.texts(batch.column("text"))
-            for a, b in K.slices(offs):
-                token, at = tokens(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                one.append(token)
-                one.append(np.full(b - a, START, K.U64))
-                two.append(bigrams(histories(token, at), token))
-                size += int(offs[b] - offs[a])
-                if size >= FLUSH:
-                    yield from flush(one, two)
-                    one, two, size = [], [], 0
-        if one:
-            yield from flush(one, two)
+            out = np.empty(batch.num_rows, np.int64)
+            for i in range(batch.num_rows):
+                length = int(offs[i + 1] - offs[i])
+                size, seen = size + length, seen + length // 2 + 1  # words at most
+                if size != length and (size > FLUSH or seen > max_words):
+                    chunk, size, seen = chunk + 1, length, length // 2 + 1
+                out[i] = part | chunk
+            yield pa.record_batch([pa.array(out), pa.array(np.arange(row, row + batch.num_rows)), *batch.columns], ["chunk", "row", *batch.schema.names])
+            row += batch.num_rows
+
+    return chunks
+
+
+class Grams:
+    """The distinct words (with START) and pairs of some rows, each sorted, and where the rows' tokens are among them."""
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray):
+        held, firsts, size = [], [np.zeros(1, np.int64)], 0
+        for a, b in K.slices(offs):
+            token, at = tokens(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+            held.append(token)
+            firsts.append(at[1:] + size)
+            size += len(token)
+        token, self.at = np.concatenate(held), np.concatenate(firsts)
+        self.words, back = np.unique(np.append(token, START), return_inverse=True)
+        self.back, self.start = back[:-1], back[-1]
+        self.pairs, self.pair = np.unique(bigrams(histories(token, self.at), token), return_inverse=True)
+        gram = unigrams(self.words)
+        self.order = np.argsort(gram)
+        self.ones = gram[self.order]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Table]]:
+    """(chunk, first row, rows): rows of one chunk whose numbers follow each other."""
+    held: list[pa.RecordBatch] = []
+    last = (-1, -1)
+    for batch in batches:
+        chunk, row = np.asarray(batch.column("chunk")), np.asarray(batch.column("row"))
+        if not len(row):
+            continue
+        new = (chunk != np.append(last[0], chunk[:-1])) | (row != np.append(last[1], row[:-1]) + 1)
+        cuts = [0, *(np.flatnonzero(new[1:]) + 1).tolist(), len(row)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if new[a] and held:
+                yield held[0].column("chunk")[0].as_py(), held[0].column("row")[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = (chunk[-1], row[-1])
+    if held:
+        yield held[0].column("chunk")[0].as_py(), held[0].column("row")[0].as_py(), pa.Table.from_batches(held)
+
+
+KEYS = "chunk long, first long, seg int, " + ", ".join(f"n{k} int, k{k} binary, c{k} binary" for k in range(3))
+
+
+def _count(bits: int):
+    """Packed words, unigrams and pairs of each piece with their counts in training rows; the segment is the first `bits` bits of the hash."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(1, 1 << bits, dtype=K.U64) << K.U64(64 - bits)
+        for chunk, first, rows in _pieces(batches):
+            grams = Grams(*K.texts(rows.column("text")))
+            train = np.asarray(rows.column("train").combine_chunks().cast(pa.int8())).astype(np.float64)
+            of = np.repeat(train, np.diff(grams.at))
+            words = np.bincount(grams.back, of, len(grams.words)).astype(np.int64)
+            words[grams.start] += int(train.sum())
+            kinds = ((grams.words, words), (grams.ones, words[grams.order]), (grams.pairs, np.bincount(grams.pair, of, len(grams.pairs)).astype(np.int64)))
+            cuts = [np.concatenate([[0], np.searchsorted(key, edges), [len(key)]]) for key, _ in kinds]
+            for s in range(1 << bits):
+                out: list = [chunk, first, s]
+                for (key, many), cut in zip(kinds, cuts, strict=True):
+                    a, b = cut[s], cut[s + 1]
+                    out += [int(b - a), _packed(key[a:b], s << (64 - bits)), _narrow(many[a:b])]
+                if out[3] or out[6] or out[9]:
+                    yield pa.record_batch([pa.array([x], pa.int64() if i < 2 else pa.int32() if isinstance(x, int) else pa.binary()) for i, x in enumerate(out)], [f.split()[0] for f in KEYS.split(", ")])
 
     return count
 
@@ -155,8 +214,8 @@ class Filter:
         out[alive] = True
         return out
 
-    def count(self, gram: np.ndarray) -> np.ndarray:
-        """Counts by probing level after level; the middle of a level's range."""
+    def levels(self, gram: np.ndarray) -> np.ndarray:
+        """Levels by probing one after the other; 0 of unknown ones."""
         level = np.zeros(len(gram), np.int64)
         left = np.arange(len(gram))
         for j in range(1, LEVELS + 1):
@@ -164,7 +223,15 @@ class Filter:
             if not len(left):
                 break
             level[left] = j
-        return np.where(level > 0, 1.5 * 2.0 ** (level - 1) - 0.5, 0.0)
+        return level
+
+    def count(self, gram: np.ndarray) -> np.ndarray:
+        return middle(self.levels(gram))
+
+
+def middle(level: np.ndarray) -> np.ndarray:
+    """The middle of a level's range of counts."""
+    return np.where(level > 0, 1.5 * 2.0 ** (level - 1) - 0.5, 0.0)
 
 
 def _put(bits: np.ndarray, gram: np.ndarray, many: np.ndarray, width: int) -> None:
@@ -174,122 +241,105 @@ def _put(bits: np.ndarray, gram: np.ndarray, many: np.ndarray, width: int) -> No
             bits[place] = True
 
 
+ANSWERS = "chunk long, first long, seg int, " + ", ".join(f"n{k} int, v{k} binary" for k in range(3)) + ", total long, words long"
+
+
 def _merge(parts: int, width: int):
-    def merge(key, rows):
-        kind, seg = key[0].as_py(), key[1].as_py()
-        keys, counts = [], []
-        for k, c in zip(rows.column("keys").to_pylist(), rows.column("counts").to_pylist(), strict=True):
-            key_, over = np.frombuffer(k, K.U64), np.frombuffer(c, np.uint32)
-            keys.append(key_)
-            counts.append(np.concatenate([over, np.ones(len(key_) - len(over), np.uint32)]))
-        key_, many = _summed(keys, counts)
-        if kind == 1:
-            packed = [key_.tobytes(), many.tobytes()]
-        else:
-            bits = np.zeros(1 << width, dtype=bool)
-            _put(bits, key_, many, width)
-            packed = [np.packbits(bits, bitorder="little").tobytes(), b""]
-        real = key_ != START if kind == 1 else np.zeros(0, dtype=bool)
-        stats = [int(many[real].sum()), int(real.sum())] if kind == 1 else [0, len(key_)]
-        return pa.table({"kind": pa.array([kind], pa.int32()), "seg": pa.array([seg], pa.int32()), "a": pa.array([packed[0]], pa.binary()), "b": pa.array([packed[1]], pa.binary()), "total": pa.array([stats[0]], pa.int64()), "words": pa.array([stats[1]], pa.int64())})
+    """The counts, and the bits, of one segment; each piece gets its words' counts and its n-grams' levels."""
+    def merge(rows: pa.Table) -> pa.Table:
+        seg = rows.column("seg")[0].as_py()
+        low = seg << (64 - parts)
+        sizes = [np.asarray(rows.column(f"n{k}")).astype(np.int64) for k in range(3)]
+        found = []
+        for k in range(3):
+            key, many = [np.zeros(0, K.U64)], [np.zeros(0, K.U64)]
+            for n, x, c in zip(sizes[k].tolist(), rows.column(f"k{k}"), rows.column(f"c{k}"), strict=True):
+                key.append(_unpacked(x.as_py(), n, low))
+                many.append(_wide(c.as_py(), n))
+            every, back = np.unique(np.concatenate(key), return_inverse=True)
+            found.append((every, back, np.bincount(back, np.concatenate(many).astype(np.float64), len(every)).astype(np.int64)))
+        bits = np.zeros(1 << width, dtype=bool)
+        for every, _, many in found[1:]:
+            _put(bits, every[many > 0], many[many > 0], width)
+        bloom = Filter(width, 0)
+        bloom.data = np.packbits(bits, bitorder="little")
+        out: list[list[bytes]] = []
+        for k, (every, back, many) in enumerate(found):
+            value = (many if k == 0 else bloom.levels(every))[back]
+            ends = np.cumsum(sizes[k])
+            out.append([_narrow(value[e - n : e]) for e, n in zip(ends.tolist(), sizes[k].tolist(), strict=True)])
+        real = (found[0][0] != START) & (found[0][2] > 0)
+        zero = np.zeros(rows.num_rows, np.int64)
+        total, words = zero.copy(), zero
+        total[0], words[0] = found[0][2][real].sum(), real.sum()
+        columns = [rows.column(c) for c in ("chunk", "first", "seg")]
+        for k in range(3):
+            columns += [rows.column(f"n{k}"), pa.array(out[k], pa.binary())]
+        return pa.table([*columns, pa.array(total), pa.array(words)], [f.split()[0] for f in ANSWERS.split(", ")])
 
     return merge
 
 
-class Model:
-    """A filter, the exact counts of one block of the vocabulary, and the totals."""
-
-    def __init__(self, bloom: Filter, keys: np.ndarray, counts: np.ndarray, low: int, high: int, total: int, words: int):
-        self.bloom, self.keys, self.counts, self.low, self.high = bloom, keys, counts, low, high
-        self.total, self.words = total, words
-        self.base = total + 0.5 * (words + 1)
-
-    def score(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each row: tokens, and for the tokens of this block: known ones, log10 of base and of model."""
-        token, at = tokens(buf, offs)
-        every, back = np.unique(np.append(token, START), return_inverse=True)
-        exact = np.zeros(len(every), np.int64)
-        if len(self.keys):
-            place = np.searchsorted(self.keys, every)
-            place[place == len(self.keys)] = 0
-            exact = np.where(self.keys[place] == every, self.counts[place], 0)
-        seen = self.bloom.count(unigrams(every))
-        c, start, back = exact[back[:-1]], back[-1], back[:-1]
-        history = np.empty(len(back), np.int64)
-        history[1:] = back[:-1]
-        history[at[:-1]] = start
+def _scores(total: int, words: int):
+    def scored(grams: Grams, exact: np.ndarray, ones: np.ndarray, pairs: np.ndarray) -> list[np.ndarray]:
+        """Of each row: tokens, known ones, log10 of base and of model."""
+        seen = np.empty(len(grams.words))
+        seen[grams.order] = middle(ones.astype(np.int64))
+        history = np.empty_like(grams.back)
+        history[1:] = grams.back[:-1]
+        history[grams.at[:-1]] = grams.start
         before = seen[history]
-        pair = np.zeros(len(token))
-        some = np.flatnonzero(before > 0)
-        pair[some] = np.minimum(self.bloom.count(bigrams(every[history[some]], token[some])), before[some])
-        p0 = (c + 0.5) / self.base
+        pair = np.minimum(middle(pairs.astype(np.int64))[grams.pair], before)
+        c = exact.astype(np.int64)[grams.back]
+        p0 = (c + 0.5) / (total + 0.5 * (words + 1))
         p = np.where(before > 0, LAMBDA * pair / np.maximum(before, 1) + (1 - LAMBDA) * p0, p0)
-        top = token >> K.U64(32)
-        mine = (top >= K.U64(self.low)) & (top < K.U64(self.high))
-        rows = lambda x: np.add.reduceat(np.where(mine, x, 0), at[:-1]) if len(at) > 1 else np.zeros(0)
-        return np.diff(at), rows((c > 0).astype(np.int64)), rows(np.log10(p0)), rows(np.log10(p))
-
-
-def _scored(held, fresh: bool):
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = held.value
-        for batch in batches:
-            buf, offs = K.texts(batch.column("text"))
-            for a, b in K.slices(offs):
-                n, known, base, score = model.score(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                old = batch.slice(a, b - a)
-                if not fresh:
-                    known, base, score = (x + np.asarray(old.column(c)) for x, c in ((known, "n_known"), (base, "base_score"), (score, "score")))
-                out = [old.column("doc_id"), old.column("text"), old.column("held_out"), n.astype(np.int64), known.astype(np.int64), base, score]
-                yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in out], ["doc_id", "text", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    return scored
-
-
-class Counts:
-    """What one pass over the training texts leaves: written tables of segments, and the filter."""
-
-    def __init__(self, train: DataFrame, max_bits: int = MAX_BITS):
-        size = train.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(1))).first()[0] or 1
-        self.parts = max(3, (size // SEGMENT_TEXT).bit_length())
-        bits = max(self.parts + 10, min(max_bits, max(1 << 16, size * BITS_A_BYTE)).bit_length() - 1)
-        kinds = "kind int, seg int, keys binary, counts binary"
-        packed = in_arrow(train.select("text"), _count(self.parts), kinds)
-        made = packed.groupBy("kind", "seg").applyInArrow(_merge(self.parts, bits - self.parts), "kind int, seg int, a binary, b binary, total long, words long")
-        self.table = written(made)
-        one = self.table.filter("kind = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-        self.total, self.words = one[0], one[1]
-        self.bloom = Filter(bits, self.parts)
-        part = 1 << (bits - self.parts - 3)
-        got = self.table.filter("kind = 2").select("seg", "a").toArrow()  # MAX_BITS at most
-        for seg, a in zip(got.column("seg").to_pylist(), got.column("a"), strict=True):
-            self.bloom.data[seg * part : (seg + 1) * part] = np.frombuffer(a.as_buffer(), np.uint8)
-
-    def blocks(self, max_words: int = MAX_WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first and last + 1 of the hashes' upper halves, hashes, counts), each of about max_words words at most."""
-        many = max(1, -(-self.words // max_words))
-        per = max(1, (1 << self.parts) // many)
-        for s in range(0, 1 << self.parts, per):
-            got = self.table.filter(f"kind = 1 AND seg >= {s} AND seg < {s + per}").select("seg", "a", "b").toArrow().sort_by("seg")
-            keys = np.concatenate([np.zeros(0, K.U64), *(np.frombuffer(x.as_buffer(), K.U64) for x in got.column("a"))])
-            counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_buffer(), np.int64) for x in got.column("b"))])
-            yield s << (32 - self.parts), (s + per) << (32 - self.parts), keys, counts.astype(np.uint32) if counts.max(initial=0) < 2**32 else counts
+        rows = lambda x: np.add.reduceat(x, grams.at[:-1])
+        return [np.diff(grams.at), rows((c > 0).astype(np.int64)), rows(np.log10(p0)), rows(np.log10(p))]
+
+    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk, answers = chunk.sort_by("row"), answers.sort_by([("first", "ascending"), ("seg", "ascending")])
+        row, first = np.asarray(chunk.column("row")), np.asarray(answers.column("first"))
+        starts = np.unique(first)
+        edges = np.append(np.searchsorted(row, starts), len(row))
+        out = []
+        for s, a, b in zip(starts, edges[:-1], edges[1:], strict=True):
+            lo, hi = np.searchsorted(first, (s, s + 1))
+            own = answers.slice(lo, hi - lo)
+            got = [np.concatenate([_wide(x.as_py(), n) for n, x in zip(own.column(f"n{k}").to_pylist(), own.column(f"v{k}"), strict=True)]) for k in range(3)]
+            out.append(scored(Grams(*K.texts(chunk.column("text").slice(a, b - a))), *got))
+        values = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
+        made = pa.table([chunk.column("doc_id"), chunk.column("held_out"), values[0].cast(pa.int64()), values[1], pa.array(np.full(len(row), total, np.int64)), values[2], values[3]], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return made.filter(chunk.column("asked"))
+
+    return score
+
+
+def shape(size: int) -> tuple[int, int]:
+    """For so many bytes of training text: 2**parts segments, and 2**bits bits of all of them."""
+    parts = max(3, (size // SEGMENT_TEXT).bit_length())
+    return parts, max(parts + 10, max(1 << 16, size * BITS_A_BYTE).bit_length() - 1)
+
+
+def score_rows(rows: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+    """rows: doc_id, text, held_out, train (counts), asked (is scored) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    kind = dict(rows.dtypes)["doc_id"]
+    base = written(in_arrow(rows.select("doc_id", "text", "held_out", "train", "asked"), _chunks(max_words), f"chunk long, row long, doc_id {kind}, text string, held_out boolean, train boolean, asked boolean"))
+    size = base.filter("train").agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(1))).first()[0] or 1
+    parts, bits = shape(size)
+    keys = in_arrow(base.select("chunk", "row", "text", "train"), _count(parts), KEYS)
+    answers = written(keys.groupBy("seg").applyInArrow(_merge(parts, bits - parts), ANSWERS))
+    total, words = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    own = answers.drop("total", "words")
+    return base.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_scores(total, words), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score(docs: DataFrame, train: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """docs: doc_id, text, held_out -> and n_tokens, n_known, train_tokens, base_score, score."""
-    counts = Counts(train)
-    context = docs.sparkSession.sparkContext
-    out = docs.select("doc_id", "text", "held_out")
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    for k, (low, high, keys, many) in enumerate(counts.blocks(max_words)):
-        if k:
-            out = written(out)
-        held = context.broadcast(Model(counts.bloom, keys, many, low, high, counts.total, counts.words))
-        out = in_arrow(out, _scored(held, k == 0), schema)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.total).cast("long").alias("train_tokens"), "base_score", "score")
+    """docs: doc_id, text, held_out; train: doc_id, text."""
+    asked = docs.select("doc_id", "text", "held_out", F.lit(False).alias("train"), F.lit(True).alias("asked"))
+    counted = train.select("doc_id", "text", F.lit(False).alias("held_out"), F.lit(True).alias("train"), F.lit(False).alias("asked"))
+    return score_rows(asked.union(counted), max_words)
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
-    return score(docs, docs.filter("NOT held_out"))
+    return score_rows(docs.withColumn("train", ~F.col("held_out")).withColumn("asked", F.lit(True)))

@@ -58,6 +58,39 @@ def test_filter_has_what_was_put_in():
     assert bloom.has(gram + np.uint64(1), 1).mean() < 0.02
 
 
+def test_lm_filter_grows_with_the_training_text(spark, monkeypatch):
+    """A pair of a large table is as rarely taken for known as one of a small table: 2 bits a byte, and segments of one size."""
+    monkeypatch.setattr(lm_score, "SEGMENT_TEXT", 1 << 14)
+    seen = []
+    pick = np.random.default_rng(5)
+    for n in (400, 6400):
+        docs = [(i, " ".join(f"w{x}" for x in pick.integers(0, 300, 40)), i % 5 == 1) for i in range(n)]
+        df = spark.createDataFrame(docs, "doc_id long, text string, held_out boolean")
+        out = rows(lm_score.score(df, df.filter("NOT held_out")))
+        count, pair = Counter(), Counter()
+        for _, t, held in docs:
+            if not held:
+                w = [b"<", *H.spaced(t), b">"]
+                count.update(w)
+                pair.update(zip(w, w[1:], strict=False))
+        total, known = sum(c for w, c in count.items() if w != b"<"), len(count) - 1
+        level = lambda c: 1.5 * 2 ** math.floor(math.log2(c)) - 0.5 if c else 0
+        want = {}
+        for i, t, _ in docs:
+            w, s = [b"<", *H.spaced(t), b">"], 0.0
+            for a, b in zip(w, w[1:], strict=False):
+                p0 = (count[b] + 0.5) / (total + 0.5 * (known + 1))
+                s += math.log10(lm_score.LAMBDA * min(level(pair[a, b]), level(count[a])) / level(count[a]) + (1 - lm_score.LAMBDA) * p0 if count[a] else p0)
+            want[i] = s
+        assert len(out) == n
+        seen.append(np.mean([abs(r["score"] - want[r["doc_id"]]) / r["n_tokens"] for r in out]))
+    assert max(seen) < 0.05, seen
+    monkeypatch.undo()
+    for size in (10**6, 10**8, 10**9, 3 * 10**10, 10**13):
+        parts, bits = lm_score.shape(size)
+        assert (1 << bits) > size and bits - parts <= 25  # the filter grows; what one task holds does not
+
+
 def test_url_filters(spark, odd):
     got = Counter((r["page_id"], r["host"], r["path"][:20], r["rule"], r["verdict"]) for r in rows(url_filter.op2_url_filters(spark, odd)))
     assert got == Counter({
