@@ -123,6 +123,24 @@ def test_mixing(spark, odd):
     assert Counter(map(str, out)) == Counter(map(str, again))
 
 
+def test_mixing_of_sources_smaller_than_a_block(spark):
+    """Blocks of 1,000 words; sources of 0, 1, 300, 1,200 and 5,000 words beside a large one."""
+    sizes = {"a": 60_000, "b": 300, "c": 1_200, "d": 1, "e": 5_000, "f": 0, None: 40}
+    docs, n = [], 0
+    for source, size in sizes.items():
+        for k in range(0, max(size, 1), 100):
+            docs.append((n, " ".join(["w"] * min(100, size - k)), source))
+            n += 1
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    by = {}
+    for r in rows(mixing.mix(df, min_slots=1, max_block=1_000)):
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        by.setdefault(r["key"], [r["source_size"], r["target"], 0])[2] += r["taken"]
+    assert {k: v[0] for k, v in by.items()} == {"1" if k is None else "0" + k: v for k, v in sizes.items()}
+    for _, target, taken in by.values():
+        assert abs(taken - target) <= 0.5, by
+
+
 def test_language_id(spark, odd):
     out = rows(langid.op4_language_id(spark, odd))
     assert len(out) == len(H.odd_rows())
