@@ -48,6 +48,28 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Rows without an id are numbered from here.
+UNNAMED = 2**63 - 2**60
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text, doc: the id as a number; each row without one has a number of its own, after all ids.
+
+    Those rows are in the order of their texts' MD5; equal texts are dealt by place, so no copy meets its
+    likes in one task. The numbers are written, so every reader sees the same ones.
+    """
+    own = docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("doc"))
+    last, without = own.agg(F.max("doc"), F.count_if(F.col("doc").isNull())).first()
+    never_null = ["doc_id", "text", F.coalesce("doc", F.lit(UNNAMED)).alias("doc")]  # else a filter in one join keeps exchanges apart
+    if not without:
+        return own.select(*never_null)
+    if last is not None and last >= UNNAMED:
+        raise ValueError(f"doc_id {last}: ids from {UNNAMED} on are those of rows without one")
+    unnamed = own.filter("doc IS NULL").drop("doc").withColumn("_hash", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).withColumn("_at", F.monotonically_increasing_id())
+    unnamed = written(unnamed.orderBy("_hash", "_at").withColumn("doc", F.lit(UNNAMED) + F.monotonically_increasing_id()).drop("_hash", "_at"))
+    return own.filter("doc IS NOT NULL").union(unnamed).select(*never_null)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and a lost executor costs nothing that was written."""
     spark = df.sparkSession

@@ -17,9 +17,10 @@ only. Within one segment's bucket, pairs are formed in blocks of bounded size, a
 those that pass the histogram leave the task; no bucket is cut.
 
 Defined results: a null text has no lines; blank lines are kept and not judged; the
-last line may lack its end; null ids come after all others, as one document; rows that
-share an id are versions of one document, and a line at the same place of two versions
-counts once; an empty table gives an empty result; other columns are not read.
+last line may lack its end; rows without an id come after all others, each a document of
+its own, in the order of their texts' MD5; rows that share an id are versions of one
+document, and a line at the same place of two versions counts once; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,12 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import kernels as K
-from inkwell.llm.common import in_arrow, joined, table, written
+from inkwell.llm.common import in_arrow, joined, numbered, table, written
 from inkwell.llm.graph import components
 
 EDITS, SHORT = 2, 20
 PARTS = EDITS + 1
-LAST = 2**63 - 1
 #: Pairs of one bucket that are compared together.
 PAIRS = 1 << 20
 INDEXED, PROBED = 0, 1
@@ -296,7 +296,7 @@ def links(own: DataFrame, first: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256, kept (the text without the removed lines); one row a document."""
-    own = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"))
+    own = numbered(docs)
     seen = written(in_arrow(own.select("doc", "text"), _occurrences, "doc long, place long, line long"))
     first = written(seen.groupBy("line").agg(F.min(F.struct("doc", "place")).alias("at"), F.count("*").alias("c")))
     found = components(links(own, first)).withColumnRenamed("v", "line")

@@ -22,9 +22,10 @@ strings of an anchor lie side by side in a region of 100 to 176 bytes.
    piece, and the firsts of its pieces meet in a last, small shuffle.
 
 Defined results: a null text has no bytes; a text under 100 bytes loses nothing;
-ids order the documents, null after all others; rows that share an id are versions
-of one document: a string at the same start of two versions counts once, and what
-one version loses all lose; an empty table gives an empty result; other columns
+ids order the documents, null after all others; each row without an id is a document
+of its own, and these are in the order of their texts' MD5; rows that share an id are
+versions of one document: a string at the same start of two versions counts once, and
+what one version loses all lose; an empty table gives an empty result; other columns
 are not read.
 """
 
@@ -39,15 +40,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm import kernels as K
-from inkwell.llm.common import in_arrow, table, written
+from inkwell.llm.common import in_arrow, numbered, table, written
 
 SPAN, GRAM = 100, 24
 GRAMS = SPAN - GRAM + 1
 #: Bits of a packed value that hold a place in a piece; pieces are shorter than that.
 PLACE = K.U64(20)
 PIECE = (1 << 20) - SPAN
-#: An id for rows that have none: after all others.
-LAST = 2**63 - 1
 
 
 def pieces(column) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -315,7 +314,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed ranges); one row a document."""
-    own = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"))
+    own = numbered(docs)
     # Removed ranges travel with the regions, so that the texts are read once for both.
     anchored = in_arrow(own.select("doc", "text"), _anchor, ROWS).repartition("gram").sortWithinPartitions("gram", "print", "doc", "packed")
     met = written(in_arrow(anchored, _refine, ROWS))

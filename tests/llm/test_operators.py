@@ -270,6 +270,24 @@ def test_repeated_strings_in_pieces(monkeypatch):
     assert strings() == set(range(len(text) - 99))
 
 
+def without_ids(line: str) -> list[tuple]:
+    """Texts without an id: one, another that shares its middle at other places, copies of the first, and one that shares nothing."""
+    r = np.random.default_rng(3)
+    own = lambda: "".join(map(chr, r.integers(97, 123, 150)))
+    a, b, c, d, shared = own(), own(), own(), own(), own()
+    return [(7, c), (None, line.join([a, shared])), (None, line.join([shared, b])), (None, line.join([a, shared])), (None, d), (None, None)]
+
+
+def test_repeated_strings_of_rows_without_id(spark):
+    out = rows(suffix_dedup.dedup(spark.createDataFrame(without_ids(""), "doc_id long, text string")))
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in out) == [(0, 0, 0), (0, 150, 0), (0, 300, 0), (0, 300, 150), (0, 300, 300), (7, 150, 0)]
+
+
+def test_lines_of_rows_without_id(spark):
+    out = rows(line_dedup.dedup(spark.createDataFrame(without_ids("\n"), "doc_id long, text string")))
+    assert sorted((r["doc_id"] or 0, r["n_lines"], r["n_removed"]) for r in out) == [(0, 0, 0), (0, 1, 0), (0, 2, 0), (0, 2, 1), (0, 2, 2), (7, 1, 0)]
+
+
 def test_neighbours(spark, odd):
     out = rows(ann.op9_ann(spark, odd))
     good = {}
