@@ -123,6 +123,34 @@ def test_mixing(spark, odd):
     assert Counter(map(str, out)) == Counter(map(str, again))
 
 
+def water_filled(sizes: dict, weights=(5, 2, 1), most=3) -> dict:
+    """Targets by iterating: sources above their caps are set to them, the rest share what is left by weight."""
+    weight = {s: weights[i % 3] for i, s in enumerate(sorted(sizes))}
+    capped: set = set()
+    while True:
+        left = sum(sizes.values()) - sum(most * sizes[s] for s in capped)
+        free = [s for s in sizes if s not in capped]
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * level > most * sizes[s]}
+        if not over:
+            return {s: most * sizes[s] if s in capped else weight[s] * level for s in sizes}
+        capped |= over
+
+
+def test_mixing_targets_of_many_sources(spark):
+    """None, some and all but one of the sources capped, against a loop in plain Python."""
+    pick = np.random.default_rng(7)
+    cases = [{"a": 10, "b": 10, "c": 10}, {"a": 1, "b": 2, "c": 1, "d": 10_000}, {"a": 10_000, "b": 1, "c": 1, "d": 1}, {"a": 0, "b": 5, "c": 7}]
+    cases += [{f"s{i:02}": int(pick.integers(0, 10) ** pick.integers(1, 6)) + 1 for i in range(pick.integers(1, 25))} for _ in range(8)]
+    capped = 0
+    for sizes in cases:
+        got = {r["key"]: r["target"] for r in rows(mixing.targets(spark.createDataFrame(list(sizes.items()), "key string, source_size long")))}
+        want = water_filled(sizes)
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-9 * (1 + want[s]) for s in want), (sizes, got, want)
+        assert abs(sum(got.values()) - sum(sizes.values())) <= 1e-9 * sum(sizes.values()) and all(0 <= got[s] <= 3 * sizes[s] for s in sizes)
+        capped += sum(got[s] == 3 * sizes[s] > 0 for s in sizes)
+    assert capped > 20
+
 def test_mixing_of_sources_smaller_than_a_block(spark):
     """Blocks of 1,000 words; sources of 0, 1, 300, 1,200 and 5,000 words beside a large one."""
     sizes = {"a": 60_000, "b": 300, "c": 1_200, "d": 1, "e": 5_000, "f": 0, None: 40}
