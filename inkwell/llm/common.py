@@ -38,10 +38,12 @@ def masked(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "text", "lang", "so
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (one machine), a temporary one, set from then on."""
+    """The folder that spark.checkpoint.dir names; where it is unset on one machine, a temporary one, set from then on. On a cluster it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = held or tempfile.mkdtemp(prefix="inkwell-")
         if not held:
             spark.sparkContext.setCheckpointDir(at)

@@ -20,4 +20,5 @@ ORACLES = {
     "op2_url_filters": url_filter.ORACLE,
     "op3_mixing": mixing.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
+    "op10_sharding": sharding.ORACLE,
 }

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.llm import ann, decontaminate, langid, line_dedup, lm_score, mixing, near_dup, registry, sharding, suffix_dedup, url_filter
 from tests.llm import helpers as H
@@ -395,18 +396,62 @@ def test_sharding(spark, odd):
     assert all(0 <= s < 24 and sorted(p) == list(range(len(p))) for s, p in places.items())
 
 
-def test_sharding_balance_and_growth(spark):
+def test_sharding_balance_and_growth(spark, tmp_path):
     docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('x', cast(pow(id % 97, 2) AS int)) AS text")
     load = lambda df: [r["b"] for r in df.groupBy("shard").sum("size").withColumnRenamed("sum(size)", "b").collect()]
-    b = load(sharding.shard(docs, 24))
+    path = str(tmp_path / "map")
+    b = load(sharding.shard(docs, 24, path=path))
     assert len(b) == 24 and max(b) - min(b) <= 0.01 * max(b)
-    records = sharding.slotted(docs)
-    by_slot = sharding.loads(records)
-    held = sharding.rebalanced(sharding.first_map(spark, 24), by_slot, 24)
-    grown = sharding.rebalanced(held, by_slot, 25)
-    moved = held.withColumnRenamed("shard", "old").join(grown.select("virtual_slot", "shard", "version"), "virtual_slot").filter("old <> shard")
+    assert sharding.versions(spark, path) == [0, 1] and sharding.load(spark, path, 0).agg({"version": "max"}).first()[0] == 0
+    by_slot = sharding.loads(sharding.slotted(sharding.counted(docs)))
+    held = sharding.load(spark, path, 1)
+    grown = sharding.shard(docs, 25, path=path)
+    assert len(load(grown)) == 25 and sharding.versions(spark, path) == [0, 1, 2]
+    after = sharding.load(spark, path).select("virtual_slot", "shard", "version")
+    moved = held.select("virtual_slot", F.col("shard").alias("old")).join(after, "virtual_slot").filter("old <> shard")
     share = moved.join(by_slot, "virtual_slot").agg({"slot_bytes": "sum"}).first()[0] / by_slot.agg({"slot_bytes": "sum"}).first()[0]
-    assert 0.03 < share < 0.1 and grown.agg({"version": "max"}).first()[0] == 2
+    assert 0.03 < share < 0.1 and after.agg({"version": "max"}).first()[0] == 2
+    with pytest.raises(ValueError):
+        sharding.load(spark, path, 7)
+
+
+def test_sharding_of_equal_records(spark, monkeypatch):
+    """A third of all rows are one record: they spread over all shards, with runs smaller than their number too."""
+    docs = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'copy' ELSE 'text ' || id END AS text")
+    seen = []
+    for run in (1 << 16, 300):
+        monkeypatch.setattr(sharding, "RUN", run)
+        out = rows(sharding.shard(docs, 24))
+        assert len(out) == 6000 and len({(r["shard"], r["slot"]) for r in out}) == 6000
+        size = Counter()
+        for r in out:
+            size[r["shard"]] += r["size"]
+        assert max(size.values()) - min(size.values()) <= 0.01 * max(size.values())
+        seen.append(Counter((r["doc_id"], r["text_crc32"], r["virtual_slot"], r["shard"], r["slot"]) for r in out))
+    assert seen[0] == seen[1]
+
+
+def test_sharding_map_against_a_loop(spark):
+    """The edited map: largest slots stay up to the mean, the others go one by one to the least loaded shard."""
+    pick = np.random.default_rng(3)
+    load = {int(v): int(b) for v, b in zip(pick.choice(64, 40, replace=False), pick.integers(1, 1000, 40), strict=True)}
+    by_slot = spark.createDataFrame([(v, 1, b) for v, b in load.items()], "virtual_slot int, slot_rows long, slot_bytes long")
+    got = {r["virtual_slot"]: (r["shard"], r["version"]) for r in rows(sharding.rebalanced(sharding.first_map(spark, 5, 64), by_slot, 5))}
+    held, move = [0] * 5, []
+    want = {v: (v % 5, 0) for v in range(64)}
+    for s in range(5):
+        total = 0
+        for v in sorted((v for v in load if v % 5 == s), key=lambda v: (-load[v], v)):
+            total += load[v]
+            if total <= sum(load.values()) / 5:
+                held[s] += load[v]
+            else:
+                move.append(v)
+    for v in sorted(move, key=lambda v: (load[v], v), reverse=True):
+        s = held.index(min(held))
+        held[s] += load[v]
+        want[v] = (s, 1 if s != v % 5 else 0)
+    assert got == want
 
 
 def test_sql_keys():
