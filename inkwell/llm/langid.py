@@ -7,15 +7,19 @@ segments of SEGMENT bytes that start from a zero state, so any number of texts
 of any length is read in the same few megabytes.
 
 Training is backpropagation through time in numpy with Adam, on a bounded sample:
-the PER_LANG documents of each language with the smallest hashes of their ids, and
-WINDOWS windows of SEGMENT bytes spread over each of them. The sample is found
-from ids and labels alone; texts of the chosen documents are fetched afterwards.
-Only text and label of training rows are used, and only text for predictions.
+the PER_LANG documents of each language with the smallest hashes of their ids and
+texts, and WINDOWS windows of SEGMENT characters spread evenly over each of them,
+whatever its length. Only documents whose hash is below a threshold, which lets
+SPARE times PER_LANG of a language's distinct rows through, are ranked, so no task
+gathers rows that grow with the data; repeated rows are one. Only text and label
+of training rows are used, and only text for predictions.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so
 is every text if there is nothing to learn from; a null label is not learned from;
-ties go to the label first in order; repeated rows get equal answers; an empty
-table gives an empty result; columns beyond doc_id, text and lang are not read.
+a text of any length is read whole; every label that occurs with a letter is
+learned, and more than MOST_LANGS of them raise an error; ties go to the label first
+in order; repeated rows get equal answers; an empty table gives an empty result;
+columns beyond doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
@@ -28,11 +32,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm import kernels as K
-from inkwell.llm.common import in_arrow, table
+from inkwell.llm.common import in_arrow, table, written
 
 HIDDEN, SEGMENT = 8, 64
-#: Bounds of the sample: documents a language, windows a document; languages at most (the most frequent).
-PER_LANG, WINDOWS, MAX_LANGS = 300, 6, 256
+#: Bounds of the sample: documents a language, windows a document; how many times PER_LANG rows are ranked.
+PER_LANG, WINDOWS, SPARE = 300, 6, 4
+#: More languages than this are an error.
+MOST_LANGS = 4096
 STEPS, BATCH, RATE = 260, 256, 0.02
 #: Segments that run side by side in prediction.
 WIDTH = 4096
@@ -161,46 +167,42 @@ class Network:
         return sums / np.maximum(lengths, 1)[:, None]
 
 
-def windows(texts: pa.Array | pa.ChunkedArray, per: int = WINDOWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, mask, row) of up to `per` windows spread evenly over each text."""
-    buf, offs = K.texts(texts)
-    starts, sizes, rows = [], [], []
-    for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
-        if b - a <= SEGMENT:
-            at = [a] if b > a else []
-        else:
-            n = min(per, (b - a) // SEGMENT)
-            at = [a + (b - a - SEGMENT) * k // max(1, n - 1) for k in range(n)]
-        starts += at
-        sizes += [min(SEGMENT, b - s) for s in at]
-        rows += [i] * len(at)
+def segments(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(x, mask) of the first SEGMENT bytes of each text."""
+    buf, offs = K.texts(column)
     step = np.arange(SEGMENT)[:, None]
-    s, n = np.array(starts, np.int64), np.array(sizes, np.int64)
-    mask = (step < n[None, :]).astype(np.float32)
-    return buf[np.minimum(s[None, :] + step, max(0, len(buf) - 1))] if len(s) else np.zeros((SEGMENT, 0), np.uint8), mask, np.array(rows, np.int64)
+    mask = (step < np.diff(offs)[None, :]).astype(np.float32)
+    return buf[np.minimum(offs[:-1][None, :] + step, max(0, len(buf) - 1))] if len(buf) else np.zeros((SEGMENT, len(offs) - 1), np.uint8), mask
 
 
 def fold(mod: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
 
 
+def sample(rows: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
+    """lang, window: up to WINDOWS windows of up to per_lang distinct rows of each language of `rows` (doc_id, text, lang)."""
+    own = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    known = written(own.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")))
+    if known.count() > MOST_LANGS:  # the network grows with them
+        raise ValueError(f"more than {MOST_LANGS} languages to learn")
+    part = (F.col("hash").cast("double") + 2.0**63) / 2.0**64  # even over 0 to 1
+    room = F.greatest(F.length("text") - SEGMENT, F.lit(0))
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: (room * k / (WINDOWS - 1)).cast("int") + 1))
+    cut = F.transform(starts, lambda s: F.substring("text", s, F.lit(SEGMENT)))
+    low = own.join(F.broadcast(known), "lang").filter(part * F.col("n") <= SPARE * per_lang).select("lang", "hash", cut.alias("cut")).dropDuplicates(["lang", "hash"])
+    got = low.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("_n") <= per_lang)
+    return got.select("lang", "hash", F.posexplode("cut").alias("place", "window"))
+
+
 def train(rows: DataFrame, per_lang: int = PER_LANG, hidden: int = HIDDEN, steps: int = STEPS) -> Network | None:
     """A network fitted on a bounded sample of `rows` (doc_id, text, lang); None without labelled text."""
-    known = rows.filter("lang IS NOT NULL AND doc_id IS NOT NULL")
-    top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").join(F.broadcast(top), "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_lang).select("doc_id").distinct()
-    # At most per_lang * MAX_LANGS ids.
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi").filter(F.col("text").rlike(r"\p{L}"))
-    cut = F.when(F.length("text") > 16384, F.concat(*[F.expr(f"substring(text, cast(length(text) * {k / WINDOWS} as int) + 1, {SEGMENT})") for k in range(WINDOWS)])).otherwise(F.col("text"))
-    got = sample.select("doc_id", "lang", cut.alias("text")).orderBy("doc_id", "lang", F.md5("text")).limit(2 * per_lang * MAX_LANGS).toArrow()
+    got = sample(rows, per_lang).orderBy("lang", "hash", "place").select("lang", "window").toArrow()
     if not got.num_rows:
         return None
     langs = sorted(set(got.column("lang").to_pylist()))
     net = Network(langs, hidden)
-    x, mask, row = windows(got.column("text"))
     place = {k: i for i, k in enumerate(langs)}
-    net.fit(x, mask, np.array([place[k] for k in got.column("lang").to_pylist()])[row], steps)
+    net.fit(*segments(got.column("window")), np.array([place[k] for k in got.column("lang").to_pylist()]), steps)
     return net
 
 

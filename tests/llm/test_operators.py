@@ -200,6 +200,45 @@ def test_language_gradients():
         assert abs((up - down) / 2e-2 - g[k][at]) < 2e-3
 
 
+def test_language_predictions_against_plain_loops():
+    """Pooled distributions of texts shorter and longer than a segment, byte by byte in plain Python."""
+    net = langid.Network(["a", "b", "c"], hidden=3, seed=8)
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+
+    def states(text, way):
+        s, out, e, u = [0.0] * 3, [], p["e" + way], p["u" + way]
+        for byte in text:
+            z = [sig(e[byte, i] + sum(s[j] * u[j, i] for j in range(3))) for i in range(3)]
+            r = [sig(e[byte, 3 + i] + sum(s[j] * u[j, 3 + i] for j in range(3))) for i in range(3)]
+            c = [math.tanh(e[byte, 6 + i] + sum(r[j] * s[j] * u[j, 6 + i] for j in range(3))) for i in range(3)]
+            s = [z[i] * s[i] + (1 - z[i]) * c[i] for i in range(3)]
+            out.append(s)
+        return out
+
+    def plain(text):
+        total = np.zeros(3)
+        for a in range(0, len(text), langid.SEGMENT):
+            part = text[a : a + langid.SEGMENT]
+            for f, b in zip(states(part, "f"), states(part[::-1], "b")[::-1], strict=True):
+                y = [math.exp(sum(x * p["w"][k, lang] for k, x in enumerate(f + b)) + p["b"][lang]) for lang in range(3)]
+                total += np.array(y) / sum(y)
+        return total / max(1, len(text))
+
+    texts = [b"", b"x", b"a word and more", bytes(range(256)), b"long " * 60]
+    got = net.pooled(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert np.abs(got - np.stack([plain(t) for t in texts])).max() < 1e-4
+
+
+def test_language_sample(spark, monkeypatch):
+    """Repeated rows push out no language; each text gives its windows whatever its length."""
+    docs = [(1, H.ENGLISH * 3, "en")] * 5000 + [(i, f"{H.GERMAN} {i}", "de") for i in range(2, 60)] + [(99, "x", "la"), (100, "ab" * 40_000, "zz"), (None, "né", "fr"), (101, None, "qq"), (102, "123", "rr")]
+    got = rows(langid.sample(spark.createDataFrame(docs, "doc_id long, text string, lang string"), 20))
+    by = Counter(r["lang"] for r in got)
+    assert by == {"en": 6, "de": 20 * len({r["place"] for r in got if r["lang"] == "de"}), "la": 1, "zz": 6, "fr": 1}
+    assert all(len(r["window"]) <= langid.SEGMENT for r in got)
+
+
 def test_near_duplicates(spark, odd):
     own = [(i, H.shingle_set(t)) for i, t in texts()]
     sets = {}
