@@ -356,24 +356,44 @@ def test_lines_of_rows_without_id(spark):
     assert sorted((r["doc_id"] or 0, r["n_lines"], r["n_removed"]) for r in out) == [(0, 0, 0), (0, 1, 0), (0, 2, 0), (0, 2, 1), (0, 2, 2), (7, 1, 0)]
 
 
-def test_neighbours(spark, odd):
-    out = rows(ann.op9_ann(spark, odd))
-    good = {}
-    for r in spark.read.parquet(f"{odd}/embeddings.parquet").collect():
-        v = r["embedding"]
-        if r["vec_id"] is not None and v and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v) and any(v):
-            good[r["vec_id"]] = v
+def good_vectors(df):
+    return {r["vec_id"]: v for r in df.collect() if r["vec_id"] is not None and (v := r["embedding"]) and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+
+
+def recall(out, good):
+    """Share of the true neighbours among vectors of the query's length; ranks, scores and order are checked."""
     found = total = 0
+    by = {}
+    for r in out:
+        by.setdefault(r["query_id"], []).append(r)
     for q in (i for i in good if i % 20 == 0):
-        want = sorted(((sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q), key=lambda x: (-x[0], x[1]))[:20]
-        mine = sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])
-        assert [r["rank"] for r in mine] == list(range(1, 21))
+        want = sorted(((sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q and len(v) == len(good[q])), key=lambda x: (-x[0], x[1]))[:20]
+        mine = sorted(by.pop(q, []), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, len(want) + 1))
         assert all(abs(r["score"] - sum(a * b for a, b in zip(good[q], good[r["vec_id"]], strict=True))) < 1e-9 for r in mine)
         assert [(-r["score"], r["vec_id"]) for r in mine] == sorted((-r["score"], r["vec_id"]) for r in mine)
         found += len({i for _, i in want} & {r["vec_id"] for r in mine})
         total += len(want)
-    assert found / total >= 0.9
-    assert {r["query_id"] for r in out} == {i for i in good if i % 20 == 0}
+    assert not by
+    return found / total
+
+
+def test_neighbours(spark, odd):
+    good = good_vectors(spark.read.parquet(f"{odd}/embeddings.parquet"))
+    assert recall(rows(ann.op9_ann(spark, odd)), good) >= 0.9
+
+
+def test_neighbours_in_many_blocks(spark, monkeypatch):
+    """Small blocks and groups, a list of a third of all rows, two lengths, and extra columns with clashing names."""
+    monkeypatch.setattr(ann, "MEMBERS", 100)
+    monkeypatch.setattr(ann, "PROBES", 16)
+    r = np.random.default_rng(2)
+    vec = [(i, [float(x) for x in r.normal(size=16)] if i % 3 else [1.0] * 16) for i in range(1500)] + [(i, [float(x) for x in r.normal(size=5)]) for i in range(1500, 1541)]
+    df = spark.createDataFrame([(*v, 1, "x", 2.0) for v in vec], "vec_id long, embedding array<float>, id int, list string, score double")
+    good = good_vectors(df)
+    out = [x for x in rows(ann.neighbours(df))]
+    # a hot query has hundreds of equal best neighbours: the smallest ids of them
+    assert recall(out, good) >= 0.9
 
 
 def edits(a, b):
