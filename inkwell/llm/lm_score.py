@@ -4,9 +4,11 @@ Words and word pairs are counted over all training texts. Counts are quantised o
 a binary log scale (level j: 2**(j-1) occurrences at least), and an n-gram of
 level q is put into the filter q times, as (n-gram, 1) ... (n-gram, q). A count is
 read back by probing (n-gram, 1), (n-gram, 2), ... until a probe fails. The model
-interpolates: P(w | h) = LAMBDA * c(h w) / c(h) + (1 - LAMBDA) * P0(w), where c are
-counts read from the filter and P0 is the add-half unigram probability; a history
-that the filter does not know gives P0 alone.
+interpolates: P(w | h) = LAMBDA * c(h w) / c(h) + (1 - LAMBDA) * P1(w), where all
+counts c are read from the filter, those of single words too: P1(w) =
+(c(w) + 0.5) / (M + 0.5 * (V + 1)), M being the sum of c over the V training words. A
+history that the filter does not know gives P1 alone. Exact counts serve `base_score` only.
+LAMBDA is where held-out text is most likely (measured on held-out documents: README).
 
 Rows are dealt into chunks of text, which are written once. Each chunk ships its
 distinct words and pairs with their counts in the training texts, as packed sorted
@@ -16,12 +18,13 @@ one level an n-gram and the exact counts of its words; chunks meet these in thei
 own order and are scored. Segments grow in number, not in size, with the training
 text, and the filter with them (BITS_A_BYTE for each byte): the rate of false
 positives is that of a small table at every size, nothing is broadcast, and the
-driver gets two totals.
+driver gets three totals. A chunk sends one row for each segment in which it has an n-gram:
+up to some 10 TB these are far fewer than its n-grams, beyond that no more than them.
 
 Defined results: a null text is empty: its one token is the end; without any
 training text every token has probability 1; a null doc_id is held in; repeated
-rows train and score one by one; an empty table gives an empty result; columns
-beyond doc_id and text are not read.
+rows train and score one by one; a text longer than a chunk is a chunk of its own; an
+empty table gives an empty result; columns beyond doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -37,13 +40,15 @@ from pyspark.sql import functions as F
 from inkwell.llm import kernels as K
 from inkwell.llm.common import in_arrow, table, written
 
-LAMBDA = 0.15
+LAMBDA = 0.5
 #: Bits of the filter for a byte of training text, hash functions.
 BITS_A_BYTE, HASHES = 2, 4
 #: Words and bytes of a chunk, and training text a segment stands for.
 MAX_WORDS, FLUSH, SEGMENT_TEXT = 8_000_000, 16 << 20, 16 << 20
+#: Rows of a batch.
+ROWS = 1024
 #: Hashes that stand for the start and the end of a text, and salts for the orders.
-START, END = K.U64(0x51A7C0DE00000001), K.U64(0x51A7C0DE00000002)
+START, END = np.array([0x51A7C0DE00000001, 0x51A7C0DE00000002], K.U64)
 ORDER1, ORDER2 = K.U64(0x9E3779B97F4A7C15), K.U64(0xC2B2AE3D27D4EB4F)
 LEVELS = 40
 
@@ -177,13 +182,14 @@ def _count(bits: int):
             words[grams.start] += int(train.sum())
             kinds = ((grams.words, words), (grams.ones, words[grams.order]), (grams.pairs, np.bincount(grams.pair, of, len(grams.pairs)).astype(np.int64)))
             cuts = [np.concatenate([[0], np.searchsorted(key, edges), [len(key)]]) for key, _ in kinds]
-            for s in range(1 << bits):
-                out: list = [chunk, first, s]
+            used = np.flatnonzero(sum(np.diff(cut) for cut in cuts))
+            for k in range(0, len(used), ROWS):
+                some = used[k : k + ROWS].tolist()
+                out: list = [np.full(len(some), chunk), np.full(len(some), first), np.array(some, np.int32)]
                 for (key, many), cut in zip(kinds, cuts, strict=True):
-                    a, b = cut[s], cut[s + 1]
-                    out += [int(b - a), _packed(key[a:b], s << (64 - bits)), _narrow(many[a:b])]
-                if out[3] or out[6] or out[9]:
-                    yield pa.record_batch([pa.array([x], pa.int64() if i < 2 else pa.int32() if isinstance(x, int) else pa.binary()) for i, x in enumerate(out)], [f.split()[0] for f in KEYS.split(", ")])
+                    spans = [(s, cut[s], cut[s + 1]) for s in some]
+                    out += [np.array([b - a for _, a, b in spans], np.int32), pa.array([_packed(key[a:b], s << (64 - bits)) for s, a, b in spans], pa.binary()), pa.array([_narrow(many[a:b]) for _, a, b in spans], pa.binary())]
+                yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in out], [f.split()[0] for f in KEYS.split(", ")])
 
     return count
 
@@ -241,7 +247,7 @@ def _put(bits: np.ndarray, gram: np.ndarray, many: np.ndarray, width: int) -> No
             bits[place] = True
 
 
-ANSWERS = "chunk long, first long, seg int, " + ", ".join(f"n{k} int, v{k} binary" for k in range(3)) + ", total long, words long"
+ANSWERS = "chunk long, first long, seg int, " + ", ".join(f"n{k} int, v{k} binary" for k in range(3)) + ", total long, words long, mass double"
 
 
 def _merge(parts: int, width: int):
@@ -269,18 +275,19 @@ def _merge(parts: int, width: int):
             ends = np.cumsum(sizes[k])
             out.append([_narrow(value[e - n : e]) for e, n in zip(ends.tolist(), sizes[k].tolist(), strict=True)])
         real = (found[0][0] != START) & (found[0][2] > 0)
-        zero = np.zeros(rows.num_rows, np.int64)
-        total, words = zero.copy(), zero
+        total, words, mass = (np.zeros(rows.num_rows, kind) for kind in (np.int64, np.int64, np.float64))
         total[0], words[0] = found[0][2][real].sum(), real.sum()
+        ones, _, many = found[1]
+        mass[0] = middle(bloom.levels(ones[(many > 0) & (ones != unigrams(START[None])[0])])).sum()
         columns = [rows.column(c) for c in ("chunk", "first", "seg")]
         for k in range(3):
             columns += [rows.column(f"n{k}"), pa.array(out[k], pa.binary())]
-        return pa.table([*columns, pa.array(total), pa.array(words)], [f.split()[0] for f in ANSWERS.split(", ")])
+        return pa.table([*columns, pa.array(total), pa.array(words), pa.array(mass)], [f.split()[0] for f in ANSWERS.split(", ")])
 
     return merge
 
 
-def _scores(total: int, words: int):
+def _scores(total: int, words: int, mass: float):
     def scored(grams: Grams, exact: np.ndarray, ones: np.ndarray, pairs: np.ndarray) -> list[np.ndarray]:
         """Of each row: tokens, known ones, log10 of base and of model."""
         seen = np.empty(len(grams.words))
@@ -292,7 +299,8 @@ def _scores(total: int, words: int):
         pair = np.minimum(middle(pairs.astype(np.int64))[grams.pair], before)
         c = exact.astype(np.int64)[grams.back]
         p0 = (c + 0.5) / (total + 0.5 * (words + 1))
-        p = np.where(before > 0, LAMBDA * pair / np.maximum(before, 1) + (1 - LAMBDA) * p0, p0)
+        p1 = (seen[grams.back] + 0.5) / (mass + 0.5 * (words + 1))
+        p = np.where(before > 0, LAMBDA * pair / np.maximum(before, 1) + (1 - LAMBDA) * p1, p1)
         rows = lambda x: np.add.reduceat(x, grams.at[:-1])
         return [np.diff(grams.at), rows((c > 0).astype(np.int64)), rows(np.log10(p0)), rows(np.log10(p))]
 
@@ -328,9 +336,9 @@ def score_rows(rows: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     parts, bits = shape(size)
     keys = in_arrow(base.select("chunk", "row", "text", "train"), _count(parts), KEYS)
     answers = written(keys.groupBy("seg").applyInArrow(_merge(parts, bits - parts), ANSWERS))
-    total, words = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    own = answers.drop("total", "words")
-    return base.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_scores(total, words), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    total, words, mass = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "words", "mass")]).first()
+    own = answers.drop("total", "words", "mass")
+    return base.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_scores(total, words, mass), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score(docs: DataFrame, train: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:

@@ -60,7 +60,7 @@ def test_filter_has_what_was_put_in():
 
 
 def test_lm_filter_grows_with_the_training_text(spark, monkeypatch):
-    """A pair of a large table is as rarely taken for known as one of a small table: 2 bits a byte, and segments of one size."""
+    """Scores are those of exact levels within 0.05 a token. A pair of a large table is as rarely taken for known as one of a small table: 2 bits a byte, and segments of one size."""
     monkeypatch.setattr(lm_score, "SEGMENT_TEXT", 1 << 14)
     seen = []
     pick = np.random.default_rng(5)
@@ -74,14 +74,15 @@ def test_lm_filter_grows_with_the_training_text(spark, monkeypatch):
                 w = [b"<", *H.spaced(t), b">"]
                 count.update(w)
                 pair.update(zip(w, w[1:], strict=False))
-        total, known = sum(c for w, c in count.items() if w != b"<"), len(count) - 1
+        known = len(count) - 1
         level = lambda c: 1.5 * 2 ** math.floor(math.log2(c)) - 0.5 if c else 0
+        mass = sum(level(c) for w, c in count.items() if w != b"<")
         want = {}
         for i, t, _ in docs:
             w, s = [b"<", *H.spaced(t), b">"], 0.0
             for a, b in zip(w, w[1:], strict=False):
-                p0 = (count[b] + 0.5) / (total + 0.5 * (known + 1))
-                s += math.log10(lm_score.LAMBDA * min(level(pair[a, b]), level(count[a])) / level(count[a]) + (1 - lm_score.LAMBDA) * p0 if count[a] else p0)
+                p1 = (level(count[b]) + 0.5) / (mass + 0.5 * (known + 1))
+                s += math.log10(lm_score.LAMBDA * min(level(pair[a, b]), level(count[a])) / level(count[a]) + (1 - lm_score.LAMBDA) * p1 if count[a] else p1)
             want[i] = s
         assert len(out) == n
         seen.append(np.mean([abs(r["score"] - want[r["doc_id"]]) / r["n_tokens"] for r in out]))
