@@ -1,28 +1,31 @@
 """Removal of repeated byte strings by bucket-pointer refinement.
 
-A suffix belongs to the bucket of its first bytes; buckets are refined by the
-bucket identifiers of later offsets until they are SPAN = 100 bytes deep, and
-identifiers made in one step are what the next step sorts on. Two things make that
-fit a cluster. First, bucket identifiers are fingerprints of the bytes, so the
-identifier at any later offset is known without a global sort, and only buckets
-that still hold several suffixes need to meet. Second, suffixes enter the sort at
-anchors alone: the anchor of a 100-byte string is the smallest of its 77 24-byte
-grams, a function of the string, so equal strings have equal anchors and the
-strings of an anchor lie side by side in a region of 100 to 176 bytes.
-
-1. The 24-byte grams are the initial buckets. Each region has the gram of its
-   anchor and a fingerprint of all its bytes; equal regions of one batch are
-   resolved at once (the first stays), so copies never travel.
+Suffixes lie in buckets of equal first bytes, and each has a pointer to its bucket. The
+first buckets are those of the 8 bytes that a suffix begins with. A bucket is refined by
+sorting its suffixes on the pointers of the suffixes some bytes later, and the finer
+pointers are written back, where the next round reads them: after 8 bytes buckets are 16,
+32, 64 and, by pointers 36 bytes later, 100 = SPAN deep. Suffixes alone in their bucket
+drop out. All of this compares bytes, not fingerprints (`refined`).
+
+Suffixes enter at anchors, so that few of them must meet: the anchor of a 100-byte string is
+the smallest of its 77 24-byte grams, a function of the string, so equal strings have equal
+anchors and the strings of an anchor lie side by side in a region of 100 to 176 bytes.
+
+1. Each region has the gram of its anchor and a fingerprint of all its bytes; equal regions
+   of one batch are resolved at once (the first stays), so copies never travel.
 2. Regions are sorted by gram, fingerprint and place. Regions equal to an earlier
    one are removed whole. A gram with one fingerprint left is done: nearly all are.
 3. The regions of the others meet once more, with their bytes, sorted by gram, and
-   their strings are refined: identifiers of 25 bytes, of 50 (those of 25 at offsets
-   0 and 25), of 100 (those of 50 at 0 and 50). All strings of equal identifier but
-   the first are removed. A gram of more than LIMIT strings is refined piece by
-   piece, and the firsts of its pieces meet in a last, small shuffle.
+   their suffixes are refined. All strings of a bucket but the first are removed. Where the
+   regions of a gram are in several pieces, the firsts of the pieces meet in a last, small shuffle.
 
-Defined results: a null text has no bytes; a text under 100 bytes loses nothing;
-ids order the documents, null after all others; each row without an id is a document
+Grams that hold more than a MOST_HOT-th of all regions are found first (each task tells those
+above that share of its own) and dealt over salts by the fingerprint, so equal regions still meet and
+no gram gathers in one task; its salts are pieces.
+
+Defined results: a null text has no bytes; a text under 100 bytes loses nothing; a long text
+is read in overlapping pieces with the same strings; ids order the documents, null after all
+others; each row without an id is a document
 of its own, and these are in the order of their texts' MD5; rows that share an id are
 versions of one document: a string at the same start of two versions counts once, and
 what one version loses all lose; an empty table gives an empty result; other columns
@@ -44,6 +47,8 @@ from inkwell.llm.common import in_arrow, numbered, table, written
 
 SPAN, GRAM = 100, 24
 GRAMS = SPAN - GRAM + 1
+#: Bytes of the first buckets, as one number.
+FIRST = 8
 #: Bits of a packed value that hold a place in a piece; pieces are shorter than that.
 PLACE = K.U64(20)
 PIECE = (1 << 20) - SPAN
@@ -111,11 +116,12 @@ def _merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[at], start[at], np.maximum.reduceat(end + lift, at) - lift[at]
 
 
-def _rows(kind: int, doc: np.ndarray, start: np.ndarray, many: np.ndarray, gram: np.ndarray | None = None, print_: np.ndarray | None = None) -> pa.RecordBatch:
+def _rows(kind: int | np.ndarray, doc: np.ndarray, start: np.ndarray, many: np.ndarray, gram: np.ndarray | None = None, print_: np.ndarray | None = None, salt: np.ndarray | None = None) -> pa.RecordBatch:
     """Place, number and kind share a number; rows without a gram are dealt by document."""
     packed = start << 24 | many.clip(max=(1 << 22) - 1) << 2 | kind
     gram = (K.mix(doc.astype(K.U64)) if gram is None else gram).view(np.int64)
-    return pa.record_batch([pa.array(doc.astype(np.int64)), pa.array(packed.astype(np.int64)), pa.array(gram), pa.array(np.zeros(len(doc), np.int64) if print_ is None else print_.view(np.int64))], ["doc", "packed", "gram", "print"])
+    salt, print_ = np.zeros(len(doc), np.int32) if salt is None else salt, np.zeros(len(doc), np.int64) if print_ is None else print_.view(np.int64)
+    return pa.record_batch([pa.array(doc.astype(np.int64)), pa.array(packed.astype(np.int64)), pa.array(gram), pa.array(print_), pa.array(salt)], ["doc", "packed", "gram", "print", "salt"])
 
 
 def _gone(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -128,11 +134,13 @@ def _gone(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.Re
         doc, start, end = doc[left], (start + size)[left], end[left]
 
 
-ROWS = "doc long, packed long, gram long, print long"
-#: Kinds of rows: a region to sort, a range that is removed, a region whose strings must be sorted.
-REGION, GONE, OPEN = 0, 1, 2
-#: Regions resolved together, and strings.
+ROWS = "doc long, packed long, gram long, print long, salt int"
+#: Kinds of rows: a region to sort, a range that is removed, a region whose strings must be refined, one of a gram in pieces.
+REGION, GONE, OPEN, PIECE_OF = 0, 1, 2, 3
+#: Regions resolved together, and strings refined together.
 FLUSH, LIMIT = 400_000, 400_000
+#: Hot grams at most, and regions of one at least.
+MOST_HOT, HOT = 1 << 16, 1 << 11
 
 
 def kind() -> Column:
@@ -147,14 +155,66 @@ def start() -> Column:
     return F.shiftright("packed", 24)
 
 
-def _anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _heat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of this task with a share of its regions that a hot one has in some task: at most MOST_HOT of them."""
+    held: list[np.ndarray] = []
+    grams, many = np.zeros(0, K.U64), np.zeros(0, np.int64)
+    total = 0
+
+    def count() -> tuple[np.ndarray, np.ndarray]:
+        gram, back = np.unique(np.concatenate([grams, *held]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([many, *(np.ones(len(x)) for x in held)]), len(gram)).astype(np.int64)
+        keep = n > max(1, total // MOST_HOT)
+        return gram[keep], n[keep]
+
+    for batch in batches:
+        for _, buf, offs, _ in pieces(batch.column("text")):
+            held.append(regions(buf, offs)[3])
+            total += len(held[-1])
+        if sum(map(len, held)) >= FLUSH:
+            grams, many = count()
+            held = []
+    grams, many = count()
+    yield pa.record_batch([pa.array(np.append(grams.view(np.int64), 0)), pa.array(np.append(many, 0)), pa.array(np.append(np.zeros(len(many), np.int64), total))], ["gram", "n", "total"])
+
+
+def hot_grams(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted grams that must be dealt over salts, at most MOST_HOT, and how many salts each."""
+    told = written(in_arrow(own.select("text"), _heat, "gram long, n long, total long"))
+    most = max(HOT, (told.agg(F.sum("total")).first()[0] or 0) // MOST_HOT)
+    got = told.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > most).toArrow()  # a gram has a MOST_HOT-th of all regions or more
+    gram, n = np.asarray(got.column("gram")).view(K.U64), np.asarray(got.column("n"))
+    order = np.argsort(gram)
+    return gram[order], (-(-n // most))[order].astype(np.int32)
+
+
+def _anchor(held):
+    hot, salts = held
+
+    def salted(gram: np.ndarray, print_: np.ndarray) -> np.ndarray:
+        """0 of cold grams, else 1 or more by the fingerprint."""
+        out = np.zeros(len(gram), np.int32)
+        if len(hot):
+            at = np.searchsorted(hot, gram)
+            at[at == len(hot)] = 0
+            met = hot[at] == gram
+            out[met] = 1 + (print_[met] % salts[at[met]].astype(K.U64)).astype(np.int32)
+        return out
+
+    def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _anchored(batches, salted)
+
+    return anchor
+
+
+def _anchored(batches: Iterator[pa.RecordBatch], salted) -> Iterator[pa.RecordBatch]:
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         doc, start, many, gram, print_ = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((start, doc, print_, gram))
         doc, start, many, gram, print_ = doc[order], start[order], many[order], gram[order], print_[order]
         same = np.concatenate([[False], (gram[1:] == gram[:-1]) & (print_[1:] == print_[:-1])])
         once = same & np.concatenate([[False], (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])])  # versions of one row
-        yield _rows(REGION, doc[~same], start[~same], many[~same], gram[~same], print_[~same])
+        yield _rows(REGION, doc[~same], start[~same], many[~same], gram[~same], print_[~same], salted(gram[~same], print_[~same]))
         same &= ~once
         yield from _gone(doc[same], start[same], start[same] + many[same] + SPAN - 1)
 
@@ -174,17 +234,17 @@ def _anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(parts)
 
 
-def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by gram, print, doc, packed. Of equal regions the first stays; it is open if its gram has another print."""
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by gram, print, doc, packed. Of equal regions the first stays; it is open if its gram has another print or salts."""
     last: tuple | None = None  # doc, start, gram, print of the region before
     head: tuple = ()  # doc, start, many, gram of the first region of the last print
     said = False  # whether that one is out as open
     for batch in batches:
-        doc, packed, gram, print_ = (np.asarray(batch.column(c)) for c in ("doc", "packed", "gram", "print"))
+        doc, packed, gram, print_, salt = (np.asarray(batch.column(c)) for c in ("doc", "packed", "gram", "print", "salt"))
         through = packed & 3 != REGION
         if through.any():
             yield batch.filter(pa.array(through))
-        doc, packed, gram, print_ = (x[~through] for x in (doc, packed, gram, print_))
+        doc, packed, gram, print_, salt = (x[~through] for x in (doc, packed, gram, print_, salt))
         if not len(doc):
             continue
         start, many = packed >> 24, packed >> 2 & (1 << 22) - 1
@@ -196,22 +256,53 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = same_gram[lead]  # its gram had another print before
         if len(lead) and opened[0] and head and not said:
             yield _rows(OPEN, *(np.array([x]) for x in head))
-        openly = lead[opened | np.append(opened[1:], False)] if len(lead) else lead
+        hot = salt[lead] > 0
+        openly = lead[opened | np.append(opened[1:], False) | hot] if len(lead) else lead
         if len(openly):
-            yield _rows(OPEN, doc[openly], start[openly], many[openly], gram[openly])
+            piece = salt[openly] > 0
+            of = np.where(piece, K.mix(gram[openly].view(K.U64) + salt[openly].astype(K.U64)), gram[openly].view(K.U64))
+            yield _rows(np.where(piece, PIECE_OF, OPEN), doc[openly], start[openly], many[openly], of)
         yield from _gone(doc[gone], start[gone], start[gone] + many[gone] + SPAN - 1)
         if len(lead):
             k = lead[-1]
-            head, said = (doc[k], start[k], many[k], gram[k]), bool(opened[-1])
+            head, said = (doc[k], start[k], many[k], gram[k]), bool(opened[-1] | hot[-1])
         last = (doc[-1], start[-1], gram[-1], print_[-1])
 
 
-def names(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Bucket identifiers 100 bytes deep of the strings at `at`, through those of 25 and 50 bytes."""
-    prefix = K.raw(buf)
-    pair = lambda x, y, k: K.mix(x * K.PLACES[k] + y * K.PLACES[k + 1])
-    quarter = [K.span(prefix, at + k * (SPAN // 4), SPAN // 4) for k in range(4)]
-    return pair(pair(quarter[0], quarter[1], 0), pair(quarter[2], quarter[3], 0), 2)
+def refined(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, pointers) of the SPAN-byte strings that lie within a row: pointers are equal where the bytes are."""
+    n = len(buf)
+    left = np.repeat(offs[1:], np.diff(offs)) - np.arange(n)  # bytes from here to the row's end
+    eight = np.zeros(n, K.U64)
+    for j in range(FIRST if n >= FIRST else 0):
+        eight[: n - FIRST + 1] |= buf[j : n - FIRST + 1 + j].astype(K.U64) << K.U64(8 * (FIRST - 1 - j))
+    pointer = np.full(n, -1, np.int64)
+    live = np.flatnonzero(left >= FIRST)
+    order = np.argsort(eight[live], kind="stable")
+    key = eight[live][order]
+    place = np.arange(len(live))
+    new = np.concatenate([[True], key[1:] != key[:-1]])[: len(live)]
+    pointer[live[order]] = np.maximum.accumulate(np.where(new, place, 0))
+    depth = FIRST
+    while depth < SPAN:
+        step = min(depth, SPAN - depth)
+        deep = left >= depth
+        company = np.bincount(pointer[deep], minlength=n)
+        live = np.flatnonzero(left >= depth + step)
+        live = live[company[pointer[live]] > 1]
+        if not len(live):
+            break
+        bucket, later = pointer[live], pointer[live + step]
+        order = np.argsort(bucket * n + later, kind="stable") if n < 1 << 31 else np.lexsort((later, bucket))
+        bucket, later = bucket[order], later[order]
+        place = np.arange(len(live))
+        other = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+        new = other | np.concatenate([[True], later[1:] != later[:-1]])
+        # a finer bucket begins as far into its bucket as its first suffix lies
+        pointer[live[order]] = bucket + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(other, place, 0))
+        depth += step
+    at = np.flatnonzero(left >= SPAN)
+    return at, pointer[at]
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,75 +311,70 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.asarray(batch.column("doc"))
         buf, offs = K.texts(batch.column("text"))
         raw = buf.tobytes()
-        out: list[list] = [[] for _ in range(4)]
+        out: list[list] = [[] for _ in range(5)]
         for i, own in enumerate(batch.column("spans")):
             lo, hi = int(offs[i]), int(offs[i + 1])
-            for g, s, m in zip(*(own.values.field(c).to_pylist() for c in ("gram", "start", "many")), strict=True):
+            for g, s, m, piece in zip(*(own.values.field(c).to_pylist() for c in ("gram", "start", "many", "piece")), strict=True):
                 part = raw[lo + s : min(hi, lo + s + m + SPAN - 1)]
                 if len(part) >= SPAN:  # another version of the document may be shorter
-                    for c, v in zip(out, (g, int(ids[i]), s, part), strict=True):
+                    for c, v in zip(out, (g, int(ids[i]), s, part, piece), strict=True):
                         c.append(v)
         if out[0]:
-            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["gram", "doc", "start", "bytes"])
-
-
-def _resolve(rows: list[tuple], whole: bool) -> Iterator[pa.RecordBatch]:
-    """rows: (gram, doc, start, bytes) arrays. Later strings are gone; the firsts go on, if their gram is not whole here."""
-    table_ = pa.Table.from_batches(rows)
-    buf, offs = K.texts(table_.column("bytes"))
-    many = np.diff(offs) - SPAN + 1
-    row = np.repeat(np.arange(len(many)), many)
-    inner = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    name = names(buf, offs[:-1][row] + inner)
-    doc, start = np.asarray(table_.column("doc"))[row], np.asarray(table_.column("start"))[row] + inner
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], ["gram", "doc", "start", "bytes", "piece"])
+
+
+def _resolve(rows: pa.Table, parted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Later strings of a bucket are gone; the firsts go on where other pieces of the row's gram are elsewhere (`parted`)."""
+    buf, offs = K.texts(rows.column("bytes"))
+    at, name = refined(buf, offs)
+    row = np.searchsorted(offs, at, "right") - 1
+    doc, start = np.asarray(rows.column("doc"))[row], np.asarray(rows.column("start"))[row] + at - offs[row]
     order = np.lexsort((start, doc, name))
-    name, doc, start = name[order], doc[order], start[order]
-    same = np.concatenate([[False], name[1:] == name[:-1]])
-    gone = same & ~np.concatenate([[False], (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])])
+    at, row, name, doc, start = at[order], row[order], name[order], doc[order], start[order]
+    same = np.concatenate([[False], name[1:] == name[:-1]])[: len(name)]
+    again = np.concatenate([[False], (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])])[: len(name)]  # versions of one document
+    gone = same & ~again
     yield from _gone(doc[gone], start[gone], start[gone] + SPAN)
-    if not whole:
-        yield _rows(OPEN, doc[~same], start[~same], np.ones(int((~same).sum()), np.int64), name[~same])
+    on = ~same & parted[row]
+    if on.any():
+        yield _rows(OPEN, doc[on], start[on], np.ones(int(on.sum()), np.int64), K.span(K.raw(buf), at[on], SPAN))
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by gram."""
+    """Rows come sorted by gram; some LIMIT strings are refined together."""
     held: list[pa.RecordBatch] = []
-    size, split = 0, None  # split: a gram of which a piece is out already
+    size, before = 0, None  # before: the gram that the last flush ended in
+
+    def flush(after) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        gram = np.asarray(rows.column("gram"))
+        parted = np.asarray(rows.column("piece").combine_chunks().cast(pa.int8())) > 0
+        for other in (before, after):
+            if other is not None:
+                parted = parted | (gram == other)
+        yield from _resolve(rows, parted)
+
     for batch in batches:
         gram = np.asarray(batch.column("gram"))
-        size_of = np.array([len(x) for x in batch.column("bytes").to_pylist()], np.int64) - SPAN + 1
+        if not len(gram):
+            continue
+        if size >= LIMIT:
+            yield from flush(gram[0])
+            before = held[-1].column("gram")[-1].as_py()
+            held, size = [], 0
+        many = np.diff(np.asarray(K.texts(batch.column("bytes"))[1])) - SPAN + 1
         at = 0
         while at < len(gram):
-            room = int(np.searchsorted(np.cumsum(size_of[at:]), max(1, LIMIT - size))) + 1
-            stop = min(len(gram), at + room)
+            stop = min(len(gram), at + 1 + int(np.searchsorted(np.cumsum(many[at:]), max(1, LIMIT - size))))
             held.append(batch.slice(at, stop - at))
-            size += int(size_of[at:stop].sum())
+            size += int(many[at:stop].sum())
             at = stop
-            if size >= LIMIT:
-                last = gram[stop - 1]
-                rows = pa.Table.from_batches(held)
-                tail = int(np.searchsorted(-(np.asarray(rows.column("gram")) != last).astype(np.int8), 0))
-                front = rows.slice(0, tail)
-                if tail:
-                    g = np.asarray(front.column("gram"))
-                    cut = int((g == split).sum()) if split is not None else 0
-                    if cut:
-                        yield from _resolve(front.slice(0, cut).to_batches(), False)
-                    if tail > cut:
-                        yield from _resolve(front.slice(cut).to_batches(), True)
-                    split = None
-                    held = rows.slice(tail).to_batches()
-                    size = sum(len(x) - SPAN + 1 for x in rows.slice(tail).column("bytes").to_pylist())
-                if size >= LIMIT:
-                    yield from _resolve(held, False)
-                    held, size, split = [], 0, last
+            if size >= LIMIT and at < len(gram):
+                yield from flush(gram[at])
+                before = gram[at - 1]
+                held, size = [], 0
     if held:
-        rows = pa.Table.from_batches(held)
-        cut = int((np.asarray(rows.column("gram")) == split).sum()) if split is not None else 0
-        if cut:
-            yield from _resolve(rows.slice(0, cut).to_batches(), False)
-        if rows.num_rows > cut:
-            yield from _resolve(rows.slice(cut).to_batches(), True)
+        yield from flush(None)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,11 +402,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed ranges); one row a document."""
     own = numbered(docs)
     # Removed ranges travel with the regions, so that the texts are read once for both.
-    anchored = in_arrow(own.select("doc", "text"), _anchor, ROWS).repartition("gram").sortWithinPartitions("gram", "print", "doc", "packed")
-    met = written(in_arrow(anchored, _refine, ROWS))
-    spans = met.filter(kind() == OPEN).groupBy("doc").agg(F.collect_list(F.struct("gram", start().alias("start"), many().alias("many"))).alias("spans"))
+    anchored = in_arrow(own.select("doc", "text"), _anchor(hot_grams(own)), ROWS).repartition("gram", "salt").sortWithinPartitions("gram", "print", "doc", "packed")
+    met = written(in_arrow(anchored, _meet, ROWS))
+    spans = met.filter(kind() >= OPEN).groupBy("doc").agg(F.collect_list(F.struct("gram", start().alias("start"), many().alias("many"), (kind() == PIECE_OF).alias("piece"))).alias("spans"))
     dealt = own.repartition("doc")  # one exchange of the texts, for this join and the last
-    opened = in_arrow(dealt.join(spans, "doc").select("doc_id", "text", "doc", "spans"), _fetch, "gram long, doc long, start long, bytes binary")
+    opened = in_arrow(dealt.join(spans, "doc").select("doc_id", "text", "doc", "spans"), _fetch, "gram long, doc long, start long, bytes binary, piece boolean")
     strings = in_arrow(opened.repartition("gram").sortWithinPartitions("gram"), _strings, ROWS)
     first = F.min(F.struct("doc", "packed")).over(Window.partitionBy("gram"))
     late = strings.withColumn("first", F.when(kind() == OPEN, first))

@@ -313,14 +313,41 @@ def brute_spans(docs):
     return Counter(out)
 
 
-@pytest.mark.parametrize("limit", [400_000, 150])
-def test_repeated_strings(spark, odd, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "hot"), [(400_000, 1 << 11), (150, 1 << 11), (400_000, 1)])
+def test_repeated_strings(spark, odd, monkeypatch, limit, hot):
     monkeypatch.setattr(suffix_dedup, "LIMIT", limit)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     docs = sorted(texts(), key=lambda r: (r[0] is None, r[0] or 0))
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(suffix_dedup.op8_suffix_dedup(spark, odd)))
     assert got == brute_spans(docs)
 
 
+def test_refined_buckets():
+    """Pointers are equal exactly where 100 bytes are, over few letters, runs and rows of many lengths."""
+    r = np.random.default_rng(12)
+    base = r.integers(97, 99, 400).astype(np.uint8).tobytes()
+    texts = [base, base[50:300], b"a" * 350, b"a" * 99, b"", base[:120] + b"a" * 130, base[1:] + b"z", b"short"]
+    at, name = suffix_dedup.refined(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    whole, starts = b"".join(texts), np.cumsum([0, *map(len, texts)])
+    want = [p for t, s in zip(texts, starts, strict=False) for p in range(s, s + len(t) - 99)]
+    assert at.tolist() == want
+    by = {}
+    for p, k in zip(at.tolist(), name.tolist(), strict=True):
+        by.setdefault(whole[p : p + 100], set()).add(k)
+    assert all(len(k) == 1 for k in by.values()) and len({min(k) for k in by.values()}) == len(by) < len(at)
+
+
+def test_repeated_strings_of_a_hot_gram(spark, monkeypatch):
+    """A third of all documents hold one phrase among other bytes, dealt over salts: as in the brute-force version."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 40)
+    r = np.random.default_rng(13)
+    own = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    phrase, tails = own(90), [own(60) for _ in range(5)]
+    docs = [(i, own(40) + (phrase + tails[int(r.integers(5))] if i % 3 == 0 else "") + own(40)) for i in range(600)]
+    out = rows(suffix_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert Counter((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in out) == brute_spans(docs)
+
+
 def test_repeated_strings_in_pieces(monkeypatch):
     """A text longer than a piece has the same strings as in one piece."""
     import pyarrow as pa
