@@ -80,15 +80,24 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Parts that a hot key of joined() is split into.
-SALTS = 16
+#: A key is hot if it holds more than a MOST_HOT-th of all rows (and HOT rows): there are at most MOST_HOT such keys.
+MOST_HOT, HOT = 1 << 16, 1 << 12
 
 
-def joined(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
-    """rows join facts on `keys`, where facts has few rows and one for each key, and rows may hold a third of theirs
-    under one key: rows are dealt by the hash of `spread` too, and each fact is there once for each part."""
-    salted = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The hot keys of rows, as a written table of at most MOST_HOT rows."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    return written(counts.filter(F.col("_rows") > max(HOT, rows.count() // MOST_HOT)).select(*keys))
+
+
+def joined(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """rows join facts on `keys`, where facts has one row for each key and rows may hold any share of theirs under one:
+    facts of hot keys, a bounded number, are broadcast; the rest is joined as usual. Keys must not be null."""
+    hot = hot_keys(rows, keys) if hot is None else hot
+    told = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    few = facts.join(F.broadcast(hot), keys, "left_semi")
+    many = told.filter("_hot IS NULL").drop("_hot").join(facts, keys, how)
+    return told.filter("_hot").drop("_hot").join(F.broadcast(few), keys, how).unionByName(many)
 
 
 def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: str, out: str, position: str | None = None) -> DataFrame:

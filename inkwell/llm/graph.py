@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import written
+from inkwell.llm.common import hot_keys, joined, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,15 +13,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Smallest labels spread over the links, and each round a vertex also takes the
     label of its label, so the rounds are logarithmic in the diameter for chains.
-    Every round is a written table; nothing is gathered on the driver but a count.
+    Every round is a written table; nothing is gathered on the driver but a count. The links of
+    the head of a star, and the vertices that carry one label, meet its row by broadcast (`joined`).
     """
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    heads = hot_keys(both, ["b"])
     labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")))
     while True:
-        near = both.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("near"))
-        step = labels.join(near, "a").select("a", F.col("l").alias("old"), F.least("l", "near").alias("l"))
+        near = joined(both, labels.select(F.col("a").alias("b"), "l"), ["b"], hot=heads).groupBy("a").agg(F.min("l").alias("near"))
+        step = written(labels.join(near, "a").select("a", F.col("l").alias("old"), F.least("l", "near").alias("l")))
         jump = step.select(F.col("a").alias("l"), F.col("l").alias("far"))
-        labels = written(step.join(jump, "l", "left").select("a", "old", F.least("l", F.coalesce("far", "l")).alias("l")))
+        labels = written(joined(step, jump, ["l"], "left").select("a", "old", F.least("l", F.coalesce("far", "l")).alias("l")))
         if not labels.filter("l <> old").limit(1).count():
             return labels.select(F.col("a").alias("v"), F.col("l").alias("component"))
         labels = labels.drop("old")

@@ -1,24 +1,30 @@
-"""Line dedup by a segment-partition edit join.
-
-Lines within EDITS = 2 edits (of UTF-8 bytes) of each other are linked; classes are
-the components of the links, and of each class the first line (smallest doc_id, then
-place) stays. Two lines within two edits, cut into three segments, share at least one
-segment: each distinct line indexes its three segments by its length, and probes, for
-each length up to two shorter, the substrings at which such a segment can lie (the
+"""Removal of repeated lines by a segment-partition edit join.
+
+Lines that are near each other are linked; classes are the components of the links, and of
+each class the first line (smallest doc_id, then place) stays. A line of n bytes allows
+`allowed(n)` edits (of UTF-8 bytes): one for each ten bytes, at most EDITS = 2; two lines are
+near if their distance is within what the shorter one allows, so lines under ten bytes must be equal.
+Two lines within k edits, cut into k + 1 segments, share at least one
+segment: each distinct line indexes its segments by its length, and probes, for
+each length up to k shorter, the substrings at which such a segment can lie (the
 multi-match-aware ranges of the published method, which leave out places that would
 need more edits than are left on either side). Rows of the index and of the probes
 meet by the hash of (length, segment number, bytes). Pairs must agree in a 16-cell
 byte histogram up to two edits, which loses none, before they are verified by banded
-bit-parallel edit distance, five bits wide, for many pairs side by side.
+bit-parallel edit distance, for many pairs side by side.
 
 Equal lines are one class from the start, batch by batch and then over all, so common
-lines never travel or unfold. Lines shorter than SHORT bytes are compared for equality
-only. Within one segment's bucket, pairs are formed in blocks of bounded size, and only
-those that pass the histogram leave the task; no bucket is cut.
+lines never travel or unfold. A bucket of up to FEW rows gives its pairs at once. A larger one
+is read as a stream: its rows meet its first CENTRES index lines alone, and are kept. Once the
+components of those links are known, only rows outside their bucket's largest component still
+meet the bucket's other rows, block by block in tasks of their own. So lines of one template, which
+link through centres and through their rarer segments, do not unfold into all pairs; a bucket whose
+lines stay apart costs a comparison of histograms a pair, spread over tasks. No bucket is cut.
 
 Defined results: a null text has no lines; blank lines are kept and not judged; the
-last line may lack its end; rows without an id come after all others, each a document of
-its own, in the order of their texts' MD5; rows that share an id are versions of one
+last line may lack its end; a line of any length is read whole; rows without an id come after
+all others, each a document of its own, in the order of their texts' MD5; rows that share an
+id are versions of one
 document, and a line at the same place of two versions counts once; an empty table gives
 an empty result; other columns are not read.
 """
@@ -37,10 +43,11 @@ from inkwell.llm import kernels as K
 from inkwell.llm.common import in_arrow, joined, numbered, table, written
 from inkwell.llm.graph import components
 
-EDITS, SHORT = 2, 20
-PARTS = EDITS + 1
-#: Pairs of one bucket that are compared together.
-PAIRS = 1 << 20
+EDITS, BYTES_AN_EDIT = 2, 10
+#: Pairs of one bucket that are compared together; rows of a bucket that meet at once, centres of a larger one.
+PAIRS, FEW, CENTRES = 1 << 20, 1 << 12, 64
+#: Rows of a large bucket that a task compares: outside its largest component, and others.
+MINOR, OTHERS = 1 << 12, 1 << 14
 INDEXED, PROBED = 0, 1
 
 
@@ -79,10 +86,15 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(ids[a + row]), pa.array(place.astype(np.int64)), pa.array(line.view(np.int64))], ["doc", "place", "line"])
 
 
-def segments(length: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+def allowed(length: np.ndarray) -> np.ndarray:
+    """Edits within which a line of this length is near another that is not shorter."""
+    return np.minimum(length // BYTES_AN_EDIT, EDITS)
+
+
+def segments(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, size) of segment i of lines of these lengths: the last ones take what does not divide."""
-    base = length // PARTS
-    longer = PARTS - length % PARTS  # segments from here on have one byte more
+    base = length // parts
+    longer = parts - length % parts  # segments from here on have one byte more
     return i * base + np.maximum(i - longer, 0), base + (i >= longer)
 
 
@@ -106,7 +118,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             prefix = K.raw(part)
             line, at = np.unique(K.span(prefix, start, length), return_index=True)
-            new = (length[at] >= SHORT) & ~np.isin(line, done)
+            new = (length[at] >= BYTES_AN_EDIT) & ~np.isin(line, done)
             line, at = line[new], at[new]
             done = np.union1d(done, line)
             s, n, h = start[at], length[at], _histogram(part, start[at], length[at])
@@ -117,18 +129,21 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return K.mix(K.span(prefix, from_, size) * K.PLACES[1] + of.astype(K.U64) * K.PLACES[2] + K.U64(i))  # noqa: B023
 
             out = []
-            for i in range(PARTS):
-                p, size = segments(n, i)
-                out.append((key(i, size, s + p, n), line, h, np.full(len(s), INDEXED, np.int8)))
-                for less in range(EDITS + 1):
-                    short = n - less
-                    p, size = segments(short, i)
-                    # the segment of the shorter line may have moved by i edits from the left, and by PARTS - 1 - i from the right
-                    for move in range(-EDITS, EDITS + less + 1):
-                        if abs(move) > i or abs(move - less) > PARTS - 1 - i:
-                            continue
-                        ok = (p + move >= 0) & (p + move + size <= n) & (short >= SHORT)
-                        out.append((key(i, size[ok], (s + p + move)[ok], short[ok]), line[ok], h[ok], np.full(int(ok.sum()), PROBED, np.int8)))
+            for edits in range(1, EDITS + 1):
+                parts = edits + 1
+                for i in range(parts):
+                    own = allowed(n) == edits
+                    p, size = segments(n[own], i, parts)
+                    out.append((key(i + parts * parts, size, s[own] + p, n[own]), line[own], h[own], np.full(int(own.sum()), INDEXED, np.int8)))
+                    for less in range(edits + 1):
+                        short = n - less
+                        p, size = segments(short, i, parts)
+                        # the segment of the shorter line may have moved by i edits from the left, and by parts - 1 - i from the right
+                        for move in range(-edits, edits + less + 1):
+                            if abs(move) > i or abs(move - less) > parts - 1 - i:
+                                continue
+                            ok = (p + move >= 0) & (p + move + size <= n) & (allowed(short) == edits)
+                            out.append((key(i + parts * parts, size[ok], (s + p + move)[ok], short[ok]), line[ok], h[ok], np.full(int(ok.sum()), PROBED, np.int8)))
             keys, line, h, side = (np.concatenate(c) for c in zip(*out, strict=True))
             keys = (keys & ~K.U64(1)) | side.astype(K.U64)
             yield pa.record_batch([pa.array(c.view(np.int64)) for c in (keys, line, h)], ["key", "line", "histogram"])
@@ -143,59 +158,101 @@ def near_histograms(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total <= 2 * EDITS
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key, whose last bit is the side. Pairs (smaller hash, larger hash) of a bucket's index and probe rows."""
-    def bucket(line: np.ndarray, hist: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        x, y = line[side == INDEXED], line[side == PROBED]
-        hx, hy = hist[side == INDEXED], hist[side == PROBED]
-        x, keep = np.unique(x, return_index=True)
-        hx = hx[keep]
-        y, keep = np.unique(y, return_index=True)
-        hy = hy[keep]
-        wide = max(1, PAIRS // max(1, len(y)))
-        for a in range(0, len(x), wide):
-            i, j = np.nonzero(near_histograms(hx[a : a + wide, None], hy[None, :]) & (x[a : a + wide, None] != y[None, :]))
-            if len(i):
-                yield np.minimum(x[a + i], y[j]), np.maximum(x[a + i], y[j])
-
-    def out(pairs: list) -> pa.RecordBatch:
+def crossed(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(smaller, larger) lines of the pairs of x and y whose histograms are near; x, y: line, histogram and, or not, component."""
+    wide = max(1, PAIRS // max(1, len(y[0])))
+    for a in range(0, len(x[0]), wide):
+        some = [c[a : a + wide, None] for c in x]
+        ok = near_histograms(some[1], y[1][None, :]) & (some[0] != y[0][None, :])
+        if len(x) > 2:
+            ok &= some[2] != y[2][None, :]
+        i, j = np.nonzero(ok)
+        if len(i):
+            yield np.minimum(x[0][a + i], y[0][j]), np.maximum(x[0][a + i], y[0][j])
+
+
+MET = "a long, b long, key long"
+
+
+def _out(pairs: list) -> Iterator[pa.RecordBatch]:
+    if pairs:
         a, b = np.unique(np.stack([np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])]), axis=1)
-        return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.zeros(len(a), np.int64))], ["a", "b", "key"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key, whose last bit is the side (index rows first). Pairs of a bucket's index and probe rows (key 0);
+    of a bucket of more than FEW rows those with its first lines, and its rows: line, histogram, key."""
+    held: list[np.ndarray] | None = None  # rows of the bucket that is not over
+    centres: tuple[np.ndarray, ...] | None = None  # of that bucket, once it is large
+
+    def bucket(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        side = rows[0] & 1
+        sides = []
+        for want in (INDEXED, PROBED):
+            line, at = np.unique(rows[1][side == want], return_index=True)
+            sides.append((line.view(K.U64), rows[2][side == want][at].view(K.U64)))
+        return crossed(*sides)
+
+    def large(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        line, hist = rows[1].view(K.U64), rows[2].view(K.U64)
+        yield from _out(list(crossed(centres, (line, hist))))
+        yield pa.record_batch([pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[0])], ["a", "b", "key"])
 
-    held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
-        key, line, hist = (np.asarray(batch.column(c)) for c in ("key", "line", "histogram"))
-        new = (key & -2, line, hist, key & 1)
-        if not len(new[0]):
-            continue
-        if held and held[-1][0][-1] == new[0][0] == new[0][-1]:
-            held.append(new)  # the bucket goes on
+        cols = [np.asarray(batch.column(c)) for c in ("key", "line", "histogram")]
+        if not len(cols[0]):
             continue
-        held.append(new)
-        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-        cut = len(cols[0]) - int((cols[0] == cols[0][-1]).sum())
-        pairs = list(_buckets([c[:cut] for c in cols], bucket))
-        held = [tuple(c[cut:] for c in cols)]
-        if pairs:
-            yield out(pairs)
-    if held:
-        pairs = list(_buckets([np.concatenate(c) for c in zip(*held, strict=True)], bucket))
-        if pairs:
-            yield out(pairs)
+        if centres is not None:
+            go_on = int(np.searchsorted(-((cols[0] & -2) == goes_on).astype(np.int8), 0))  # noqa: F821
+            if go_on:
+                yield from large([c[:go_on] for c in cols])
+            if go_on == len(cols[0]):
+                continue
+            cols, centres = [c[go_on:] for c in cols], None
+        if held is not None:
+            cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+        key = cols[0] & -2
+        cut = len(key) - int((key == key[-1]).sum())
+        held = [c[cut:] for c in cols]
+        yield from _out(list(_buckets([c[:cut] for c in cols], bucket)))
+        if len(held[0]) > FEW:
+            goes_on = key[-1]
+            first, at = np.unique(held[1][held[0] & 1 == INDEXED], return_index=True)
+            order = np.argsort(at)[:CENTRES]
+            centres = (first[order].view(K.U64), held[2][held[0] & 1 == INDEXED][at[order]].view(K.U64))
+            if len(centres[0]):
+                yield from large(held)
+                held = None
+            else:
+                centres = None  # probes that no index row can meet, as index rows come first
+                held = [c[:1] for c in held]
+    if held is not None:
+        yield from _out(list(_buckets(held, bucket)))
 
 
 def _buckets(cols: list[np.ndarray], bucket) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs of each bucket that has both sides and more than one line."""
-    key, line, hist, side = cols
-    if not len(key):
+    if not len(cols[0]):
         return
+    key, side = cols[0] & -2, cols[0] & 1
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     stop = np.append(head[1:], len(key))
     probes = np.add.reduceat((side == PROBED).astype(np.int64), head)
-    index = (stop - head) - probes
-    other = np.maximum.reduceat(line, head) != np.minimum.reduceat(line, head)
-    for a, b in zip(head[(probes > 0) & (index > 0) & other].tolist(), stop[(probes > 0) & (index > 0) & other].tolist(), strict=True):
-        yield from bucket(line[a:b].view(K.U64), hist[a:b].view(K.U64), side[a:b])
+    other = np.maximum.reduceat(cols[1], head) != np.minimum.reduceat(cols[1], head)
+    ok = (probes > 0) & (stop - head > probes) & other
+    for a, b in zip(head[ok].tolist(), stop[ok].tolist(), strict=True):
+        yield from bucket([c[a:b] for c in cols])
+
+
+def _late(rows: pa.Table) -> pa.Table:
+    """The pairs of one block of minor rows and one of others, of different components and sides."""
+    line, hist, component = (np.asarray(rows.column(c)).view(K.U64) for c in ("line", "histogram", "component"))
+    minor, side = (np.asarray(rows.column(c).combine_chunks().cast(pa.int8())) for c in ("minor", "side"))
+    pick = lambda m, s: tuple(c[(minor == m) & (side == s)] for c in (line, hist, component))
+    pairs = [p for s in (INDEXED, PROBED) for p in crossed(pick(1, s), pick(0, 1 - s))]
+    got = list(_out(pairs)) or [pa.record_batch([pa.array([], pa.int64())] * 3, ["a", "b", "key"])]
+    return pa.Table.from_batches(got).select(["a", "b"])
 
 
 def within(a: list[bytes], b: list[bytes], edits: int = EDITS) -> np.ndarray:
@@ -245,8 +302,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stop = at
             while stop < len(order) and (stop == at or (stop - at + 1) * (len(a[order[stop]]) + EDITS) <= 1 << 21):
                 stop += 1
-            some = order[at:stop]
-            ok[some] = within([a[i] for i in some], [b[i] for i in some])
+            for edits in range(1, EDITS + 1):
+                some = [i for i in order[at:stop] if allowed(min(len(a[i]), len(b[i]))) == edits]
+                ok[some] = within([a[i] for i in some], [b[i] for i in some], edits)
             at = stop
         yield batch.select(["a", "b"]).filter(pa.array(ok))
 
@@ -280,11 +338,8 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_lines", "n_removed", "kept_sha256", "kept"])
 
 
-def links(own: DataFrame, first: DataFrame) -> DataFrame:
-    """a, b: hashes of different lines within EDITS edits. own: doc, text; first: line, at (doc, place)."""
-    rows = in_arrow(own.select("doc", "text"), _keys, "key long, line long, histogram long")
-    met = in_arrow(rows.repartition(F.col("key").bitwiseAND(F.lit(-2))).sortWithinPartitions("key"), _meet, "a long, b long")
-    pairs = written(met.distinct())
+def verified(own: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of lines those that are near. own: doc, text; first: line, at (doc, place)."""
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
     asked = first.join(wanted, "line", "left_semi").groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("at.place").alias("place"), "line")).alias("asked"))
     got = in_arrow(own.select("doc", "text").join(asked, "doc"), _fetch, "line long, bytes binary")
@@ -294,6 +349,31 @@ def links(own: DataFrame, first: DataFrame) -> DataFrame:
     return written(in_arrow(full.select("a", "b", "x", "y"), _verify, "a long, b long"))
 
 
+def late_pairs(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows: line, histogram, key, side of large buckets; found: line, component -> pairs that the centres left open."""
+    told = written(rows.join(found, "line", "left").withColumn("component", F.coalesce("component", "line")))
+    sizes = told.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+    open_ = sizes.filter(F.col("top.n") < F.col("n")).select("key", F.col("top.component").alias("most"), (F.col("n") - F.col("top.n")).alias("minors"), F.col("n").alias("rows"))
+    told = joined(told, open_, ["key"]).withColumn("dealt", F.xxhash64("line", "side"))
+    many, others = F.ceil(F.col("minors") / MINOR).cast("int"), F.ceil(F.col("rows") / OTHERS).cast("int")
+    row = ["key", "line", "histogram", "component", "side"]
+    minor = told.filter("component <> most").select(*row, F.pmod("dealt", many).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), others - 1)).alias("y"), F.lit(True).alias("minor"))
+    other = told.select(*row, F.explode(F.sequence(F.lit(0), many - 1)).alias("x"), F.pmod("dealt", others).cast("int").alias("y"), F.lit(False).alias("minor"))
+    return minor.union(other).groupBy("key", "x", "y").applyInArrow(_late, "a long, b long").distinct()
+
+
+def links(own: DataFrame, first: DataFrame) -> DataFrame:
+    """a, b: hashes of different lines that are near. own: doc, text; first: line, at (doc, place)."""
+    rows = in_arrow(own.select("doc", "text"), _keys, "key long, line long, histogram long")
+    met = written(in_arrow(rows.repartition(F.col("key").bitwiseAND(F.lit(-2))).sortWithinPartitions("key"), _meet, MET))
+    near = verified(own, first, written(met.filter("key = 0").select("a", "b").distinct()))
+    rest = met.filter("key <> 0").select(F.col("a").alias("line"), F.col("b").alias("histogram"), F.col("key").bitwiseAND(F.lit(-2)).alias("key"), F.col("key").bitwiseAND(F.lit(1)).cast("int").alias("side"))
+    if not rest.limit(1).count():
+        return near
+    late = written(late_pairs(rest, components(near).withColumnRenamed("v", "line")))
+    return near.union(verified(own, first, late)) if late.limit(1).count() else near
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256, kept (the text without the removed lines); one row a document."""
     own = numbered(docs)
@@ -303,7 +383,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     heads = first.join(found, "line").groupBy("component").agg(F.min("at").alias("head"))
     classed = found.join(heads, "component").select("line", "head")
     judged = first.join(classed, "line", "left").select("line", F.coalesce("head", "at").alias("head"), "c", "at").filter((F.col("c") > 1) | (F.col("head") != F.col("at")))
-    gone = joined(seen, judged.select("line", "head"), ["line"], ["doc", "place"]).filter(F.struct("doc", "place") != F.col("head")).groupBy("doc").agg(F.collect_set("place").alias("gone"))
+    gone = joined(seen, judged.select("line", "head"), ["line"]).filter(F.struct("doc", "place") != F.col("head")).groupBy("doc").agg(F.collect_set("place").alias("gone"))
     kind = dict(docs.dtypes)["doc_id"]
     return in_arrow(own.join(gone, "doc", "left").select("doc_id", "text", "gone"), _keep, f"doc_id {kind}, n_lines long, n_removed long, kept_sha256 string, kept string")
 

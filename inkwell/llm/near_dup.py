@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import kernels as K
-from inkwell.llm.common import in_arrow, joined, table, written
+from inkwell.llm.common import HOT, MOST_HOT, in_arrow, joined, table, written
 from inkwell.llm.graph import components
 
 WORDS, THRESHOLD = 5, 75
@@ -47,8 +47,8 @@ BANDS, ROWS, MANTISSA = 40, 4, 10
 BUCKETS = BANDS * ROWS
 #: Estimates this far below the threshold are not confirmed: five standard deviations of the register count.
 MARGIN = 0.18
-#: Cells of the odd sketch.
-ODD = 512
+#: Cells of the odd sketch; classes of a bucket that a task compares with the others.
+ODD, BLOCK = 512, 512
 ROW_BITS = K.U64(16)
 _rng = np.random.Generator(np.random.PCG64(5))
 _ODD = _rng.integers(0, 2**31, size=BUCKETS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -179,18 +179,20 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def late_pairs(rest: DataFrame, reps: DataFrame, full: DataFrame) -> DataFrame:
-    """rest: band, key, rep, n, component -> pairs (a, b) of a bucket and of two components that may link."""
+    """rest: band, key, c (classes of the bucket), rep, n, component -> pairs (a, b) of a bucket and of two components that may link."""
     each = full.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode("grams").alias("gram"))
     own = each.groupBy("gram").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
     able = rest.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).filter(F.col("most") * 100 >= F.col("n") * THRESHOLD)
-    able = written(able.join(reps.select("rep", "odd"), "rep").select("band", "key", "rep", "n", "component", "most", *[F.col("odd")[i].alias(f"o{i}") for i in range(ODD // 64)]))
-    x, y = (able.select("band", "key", *[F.col(c).alias(f"{c}_{s}") for c in able.columns[2:]]) for s in "xy")
+    able = written(able.join(reps.select("rep", "odd"), "rep").select("band", "key", "c", "rep", "n", "component", "most", *[F.col("odd")[i].alias(f"o{i}") for i in range(ODD // 64)]))
+    # A bucket of c classes is cut into blocks of BLOCK, each of which meets all classes of the bucket in a task of its own.
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    x, y = (able.select("band", "key", part.alias("block"), *[F.col(c).alias(f"{c}_{s}") for c in able.columns[3:]]) for s, part in (("x", F.pmod(F.xxhash64("rep"), blocks).cast("int")), ("y", F.explode(F.sequence(F.lit(0), blocks - 1)))))
     both = F.col("n_x") + F.col("n_y")
     # i / (n_x + n_y - i) >= t for some i up to the bound, which the smaller set bounds too
     may = F.least("most_x", "most_y") * (100 + THRESHOLD) >= both * THRESHOLD
     differ = sum((F.bit_count(F.col(f"o{i}_x").bitwiseXOR(F.col(f"o{i}_y"))) for i in range(ODD // 64)), F.lit(0))
     may = may & (differ * (100 + THRESHOLD) <= both * (100 - THRESHOLD))
-    met = x.join(y, ["band", "key"]).filter((F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & may)
+    met = x.join(y, ["band", "key", "block"]).filter((F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & may)
     return met.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
 
 
@@ -201,23 +203,25 @@ def link(docs: DataFrame) -> DataFrame:
     classes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = written(signed.withColumnRenamed("doc_id", "rep").join(classes.drop("copies"), ["d1", "d2", "n", "rep"]).dropDuplicates(["rep", "d1", "d2"]))
     banded = reps.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("c")).filter("c > 1")
-    shared = written(banded.join(sizes, ["band", "key"]).select("band", "key", "rep", "n", "c"))  # buckets with company
+    bucket = ["band", "key"]
+    sizes = written(banded.groupBy(*bucket).agg(F.count("*").alias("c")).filter("c > 1"))  # buckets with company
+    hot = written(sizes.filter(F.col("c") > max(HOT, BANDS * reps.count() // MOST_HOT)).select(*bucket))
+    shared = written(joined(banded, sizes, bucket, hot=hot).select("band", "key", "rep", "n", "c"))
     scores = shared.groupBy("rep").agg(F.sum("c").alias("score"))
     central = shared.join(scores, "rep").groupBy("band", "key").agg(F.max(F.struct("score", (-F.col("rep")).alias("r"))).alias("best")).select("band", "key", (-F.col("best.r")).alias("head"))
-    stars = shared.join(central, ["band", "key"]).filter("rep <> head").select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")).distinct()
+    stars = joined(shared, central, bucket, hot=hot).filter("rep <> head").select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")).distinct()
     full = full_sets(docs, reps.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", "d1", "d2"))
     links = confirmed(stars, reps, full)
     found = components(links)
     inside = shared.join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = inside.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key")
-    rest = written(inside.join(split, ["band", "key"]).select("band", "key", "rep", "n", "component"))
+    rest = written(joined(inside, split, bucket, hot=hot).select("band", "key", "c", "rep", "n", "component"))
     late = confirmed(late_pairs(rest, reps, full), reps, full)
     if late.limit(1).count():
         found = components(links.union(late))
     told = classes.join(found.withColumnRenamed("v", "rep"), "rep", "left").filter("copies > 1 OR component IS NOT NULL")
     told = told.select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
-    out = joined(signed, told, ["d1", "d2", "n"], ["doc_id"], "left")
+    out = joined(signed, told, ["d1", "d2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.llm import ann, decontaminate, langid, line_dedup, lm_score, mixing, near_dup, registry, sharding, suffix_dedup, url_filter
+from inkwell.llm import ann, common, decontaminate, langid, line_dedup, lm_score, mixing, near_dup, registry, sharding, suffix_dedup, url_filter
 from tests.llm import helpers as H
 
 
@@ -252,8 +252,12 @@ def test_near_duplicates(spark, odd):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows(near_dup.op5_near_dup(spark, odd))) == want
 
 
-def test_near_duplicate_chains(spark, tmp_path):
-    """Groups of near copies around the threshold: every link of the brute-force version is found."""
+@pytest.mark.parametrize("hot", [1 << 12, 5])
+def test_near_duplicate_chains(spark, tmp_path, monkeypatch, hot):
+    """Groups of near copies around the threshold: every link of the brute-force version is found, with hot keys too."""
+    for module in (common, near_dup):
+        monkeypatch.setattr(module, "HOT", hot)
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
     r = np.random.default_rng(5)
     docs = []
     for g in range(6):
@@ -449,14 +453,37 @@ def test_banded_distance():
     assert line_dedup.within(a, b).tolist() == [edits(x, y) <= 2 for x, y in zip(a, b, strict=True)]
 
 
+def test_lines_of_one_template(spark, monkeypatch):
+    """Lines that differ in a number, in buckets beyond FEW: the links of all pairs, by a linear number of verified ones."""
+    monkeypatch.setattr(line_dedup, "FEW", 50)
+    monkeypatch.setattr(line_dedup, "CENTRES", 4)
+    monkeypatch.setattr(line_dedup, "MINOR", 64)
+    monkeypatch.setattr(line_dedup, "OTHERS", 128)
+    pick = np.random.default_rng(9)
+    words = ["".join(map(chr, pick.integers(97, 123, 40))) for _ in range(150)]
+    texts = [f"page {i * 7919 % 10**6:06} of the collected works" for i in range(700)] + [f"copyright of the house {w}" for w in words] + [f"copyright of the house {w[:-1]}" for w in words[::10]]
+    seen = []
+    verify = line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda own, first, pairs: seen.append(pairs.count()) or verify(own, first, pairs))
+    out = rows(line_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    near = lambda x, y: edits(x.encode(), y.encode()) <= 2
+    rough = [(x, y) for k, x in enumerate(texts) for y in texts[:k] if abs(len(x) - len(y)) <= 2 and x[:5] == y[:5] and sum(a != b for a, b in zip(x, y, strict=False)) <= 12]
+    comp = H.components(texts, [(x, y) for x, y in rough if near(x, y)])
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(comp[t], i)
+    assert {r["doc_id"] for r in out if r["n_removed"]} == {i for i, t in enumerate(texts) if first[comp[t]] != i}
+    assert sum(seen) < 40 * len(texts)
+
+
 def test_lines(spark, tmp_path):
     r = np.random.default_rng(8)
-    base = [bytes(r.integers(97, 123, int(r.integers(15, 60))).astype(np.uint8)) for _ in range(25)]
+    base = [bytes(r.integers(97, 123, int(r.integers(5, 60))).astype(np.uint8)) for _ in range(25)]
     docs = [(i, "\n".join(edited(r, base[int(r.integers(25))]).decode() for _ in range(6))) for i in range(40)] + [(50, None), (51, ""), (52, "\n\n \n"), (53, base[0].decode() + "\n")]
     H.write(spark, str(tmp_path), docs, "doc_id long, text string")
     occ = [(i, k, x) for i, t in docs for k, x in enumerate((t or "").encode().split(b"\n")) if x.strip()]
     lines = sorted({x for *_, x in occ})
-    comp = H.components(lines, [(x, y) for x in lines for y in lines if x < y and min(len(x), len(y)) >= 20 and abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2])
+    comp = H.components(lines, [(x, y) for x in lines for y in lines if x < y and abs(len(x) - len(y)) <= 2 and edits(x, y) <= min(2, min(len(x), len(y)) // 10)])
     head = {}
     for i, k, x in occ:
         head[comp[x]] = min(head.get(comp[x], (i, k)), (i, k))
