@@ -20,8 +20,9 @@ anchors and the strings of an anchor lie side by side in a region of 100 to 176
    regions of a gram are in several pieces, the firsts of the pieces meet in a last, small shuffle.
 
 Grams that hold more than a MOST_HOT-th of all regions are found first (each task tells those
-above that share of its own) and dealt over salts by the fingerprint, so equal regions still meet and
-no gram gathers in one task; its salts are pieces.
+above that share of its own). Their buckets are finer from the start: the strings of a region
+that hold the NEXT bytes after the anchor's gram are in the bucket of the gram and these bytes,
+the others, which hold those before it, in that of the gram and the bytes before.
 
 Defined results: a null text has no bytes; a text under 100 bytes loses nothing; a long text
 is read in overlapping pieces with the same strings; ids order the documents, null after all
@@ -47,6 +48,8 @@ from inkwell.llm.common import in_arrow, numbered, table, written
 
 SPAN, GRAM = 100, 24
 GRAMS = SPAN - GRAM + 1
+#: Bytes beside a hot gram that its finer buckets take in: half of what a string has beside it.
+NEXT = (SPAN - GRAM) // 2
 #: Bytes of the first buckets, as one number.
 FIRST = 8
 #: Bits of a packed value that hold a place in a piece; pieces are shorter than that.
@@ -67,8 +70,8 @@ def pieces(column) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
             yield a, buf[s:e], np.array([0, e - s]), np.array([s - lo])
 
 
-def regions(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, first string, strings, gram of the anchor, fingerprint) of each region."""
+def regions(buf: np.ndarray, offs: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(row, first string, strings, bucket, fingerprint) of each region; hot: sorted grams whose buckets are finer."""
     none = tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, K.U64) for _ in range(2))
     n = len(buf) - SPAN + 1
     if n <= 0:
@@ -95,10 +98,24 @@ def regions(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     if not len(first):
         return none
     stop = np.flatnonzero(ok & np.append(new[1:] | ~ok[1:], True)) + 1
+    many, anchor = stop - first, anchor[first]
+    bucket = gram[anchor]
+    if hot is not None and len(hot):
+        at = np.searchsorted(hot, bucket)
+        at[at == len(hot)] = 0
+        split = hot[at] == bucket
+        # strings up to NEXT bytes before the anchor hold as many after its gram; those before hold NEXT + 1 before it
+        f, m, a, g = first[split], many[split], anchor[split], bucket[split]
+        cut = np.clip(a - NEXT, f, f + m)
+        right, left = f + m > cut, cut > f
+        finer = lambda pick, where, size, k: K.mix(g[pick] * K.PLACES[k] + K.span(prefix, where[pick], size))
+        first = np.concatenate([first[~split], cut[right], f[left]])
+        many = np.concatenate([many[~split], (f + m - cut)[right], (cut - f)[left]])
+        anchor = np.concatenate([anchor[~split], a[right], a[left]])
+        bucket = np.concatenate([bucket[~split], finer(right, a + GRAM, NEXT, 3), finer(left, a - NEXT - 1, NEXT + 1, 4)])
     row = np.searchsorted(offs, first, "right") - 1
-    many = stop - first
-    print_ = K.mix(K.span(prefix, first, many + SPAN - 1) + (anchor[first] - first).astype(K.U64))
-    return row, first, many, gram[anchor[first]], print_
+    print_ = K.mix(K.span(prefix, first, many + SPAN - 1) + (anchor - first).astype(K.U64))
+    return row, first, many, bucket, print_
 
 
 def _merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,12 +133,11 @@ def _merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[at], start[at], np.maximum.reduceat(end + lift, at) - lift[at]
 
 
-def _rows(kind: int | np.ndarray, doc: np.ndarray, start: np.ndarray, many: np.ndarray, gram: np.ndarray | None = None, print_: np.ndarray | None = None, salt: np.ndarray | None = None) -> pa.RecordBatch:
+def _rows(kind: int, doc: np.ndarray, start: np.ndarray, many: np.ndarray, gram: np.ndarray | None = None, print_: np.ndarray | None = None) -> pa.RecordBatch:
     """Place, number and kind share a number; rows without a gram are dealt by document."""
     packed = start << 24 | many.clip(max=(1 << 22) - 1) << 2 | kind
     gram = (K.mix(doc.astype(K.U64)) if gram is None else gram).view(np.int64)
-    salt, print_ = np.zeros(len(doc), np.int32) if salt is None else salt, np.zeros(len(doc), np.int64) if print_ is None else print_.view(np.int64)
-    return pa.record_batch([pa.array(doc.astype(np.int64)), pa.array(packed.astype(np.int64)), pa.array(gram), pa.array(print_), pa.array(salt)], ["doc", "packed", "gram", "print", "salt"])
+    return pa.record_batch([pa.array(doc.astype(np.int64)), pa.array(packed.astype(np.int64)), pa.array(gram), pa.array(np.zeros(len(doc), np.int64) if print_ is None else print_.view(np.int64))], ["doc", "packed", "gram", "print"])
 
 
 def _gone(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -134,11 +150,13 @@ def _gone(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.Re
         doc, start, end = doc[left], (start + size)[left], end[left]
 
 
-ROWS = "doc long, packed long, gram long, print long, salt int"
-#: Kinds of rows: a region to sort, a range that is removed, a region whose strings must be refined, one of a gram in pieces.
-REGION, GONE, OPEN, PIECE_OF = 0, 1, 2, 3
+ROWS = "doc long, packed long, gram long, print long"
+#: Kinds of rows: a region to sort, a range that is removed, a region whose strings must be refined.
+REGION, GONE, OPEN = 0, 1, 2
 #: Regions resolved together, and strings refined together.
 FLUSH, LIMIT = 400_000, 400_000
+#: Rows that are added at once.
+STEP = 512
 #: Hot grams at most, and regions of one at least.
 MOST_HOT, HOT = 1 << 16, 1 << 11
 
@@ -178,43 +196,29 @@ def _heat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(np.append(grams.view(np.int64), 0)), pa.array(np.append(many, 0)), pa.array(np.append(np.zeros(len(many), np.int64), total))], ["gram", "n", "total"])
 
 
-def hot_grams(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted grams that must be dealt over salts, at most MOST_HOT, and how many salts each."""
+def hot_grams(own: DataFrame) -> np.ndarray:
+    """Sorted grams whose buckets must be finer, at most MOST_HOT."""
     told = written(in_arrow(own.select("text"), _heat, "gram long, n long, total long"))
     most = max(HOT, (told.agg(F.sum("total")).first()[0] or 0) // MOST_HOT)
-    got = told.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > most).toArrow()  # a gram has a MOST_HOT-th of all regions or more
-    gram, n = np.asarray(got.column("gram")).view(K.U64), np.asarray(got.column("n"))
-    order = np.argsort(gram)
-    return gram[order], (-(-n // most))[order].astype(np.int32)
+    got = told.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("gram").toArrow()  # each holds a MOST_HOT-th of all regions
+    return np.sort(np.asarray(got.column("gram")).view(K.U64))
 
 
-def _anchor(held):
-    hot, salts = held
-
-    def salted(gram: np.ndarray, print_: np.ndarray) -> np.ndarray:
-        """0 of cold grams, else 1 or more by the fingerprint."""
-        out = np.zeros(len(gram), np.int32)
-        if len(hot):
-            at = np.searchsorted(hot, gram)
-            at[at == len(hot)] = 0
-            met = hot[at] == gram
-            out[met] = 1 + (print_[met] % salts[at[met]].astype(K.U64)).astype(np.int32)
-        return out
-
+def _anchor(hot: np.ndarray):
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _anchored(batches, salted)
+        yield from _anchored(batches, hot)
 
     return anchor
 
 
-def _anchored(batches: Iterator[pa.RecordBatch], salted) -> Iterator[pa.RecordBatch]:
+def _anchored(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         doc, start, many, gram, print_ = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((start, doc, print_, gram))
         doc, start, many, gram, print_ = doc[order], start[order], many[order], gram[order], print_[order]
         same = np.concatenate([[False], (gram[1:] == gram[:-1]) & (print_[1:] == print_[:-1])])
         once = same & np.concatenate([[False], (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])])  # versions of one row
-        yield _rows(REGION, doc[~same], start[~same], many[~same], gram[~same], print_[~same], salted(gram[~same], print_[~same]))
+        yield _rows(REGION, doc[~same], start[~same], many[~same], gram[~same], print_[~same])
         same &= ~once
         yield from _gone(doc[same], start[same], start[same] + many[same] + SPAN - 1)
 
@@ -223,7 +227,7 @@ def _anchored(batches: Iterator[pa.RecordBatch], salted) -> Iterator[pa.RecordBa
     for batch in batches:
         ids = np.asarray(batch.column("doc"))
         for a, buf, offs, shift in pieces(batch.column("text")):
-            row, first, many, gram, print_ = regions(buf, offs)
+            row, first, many, gram, print_ = regions(buf, offs, hot)
             if len(row):
                 parts.append((ids[a + row], first - offs[row] + shift[row], many, gram, print_))
                 size += len(row)
@@ -235,16 +239,16 @@ def _anchored(batches: Iterator[pa.RecordBatch], salted) -> Iterator[pa.RecordBa
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by gram, print, doc, packed. Of equal regions the first stays; it is open if its gram has another print or salts."""
+    """Rows come sorted by gram, print, doc, packed. Of equal regions the first stays; it is open if its gram has another print."""
     last: tuple | None = None  # doc, start, gram, print of the region before
     head: tuple = ()  # doc, start, many, gram of the first region of the last print
     said = False  # whether that one is out as open
     for batch in batches:
-        doc, packed, gram, print_, salt = (np.asarray(batch.column(c)) for c in ("doc", "packed", "gram", "print", "salt"))
+        doc, packed, gram, print_ = (np.asarray(batch.column(c)) for c in ("doc", "packed", "gram", "print"))
         through = packed & 3 != REGION
         if through.any():
             yield batch.filter(pa.array(through))
-        doc, packed, gram, print_, salt = (x[~through] for x in (doc, packed, gram, print_, salt))
+        doc, packed, gram, print_ = (x[~through] for x in (doc, packed, gram, print_))
         if not len(doc):
             continue
         start, many = packed >> 24, packed >> 2 & (1 << 22) - 1
@@ -256,16 +260,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = same_gram[lead]  # its gram had another print before
         if len(lead) and opened[0] and head and not said:
             yield _rows(OPEN, *(np.array([x]) for x in head))
-        hot = salt[lead] > 0
-        openly = lead[opened | np.append(opened[1:], False) | hot] if len(lead) else lead
+        openly = lead[opened | np.append(opened[1:], False)] if len(lead) else lead
         if len(openly):
-            piece = salt[openly] > 0
-            of = np.where(piece, K.mix(gram[openly].view(K.U64) + salt[openly].astype(K.U64)), gram[openly].view(K.U64))
-            yield _rows(np.where(piece, PIECE_OF, OPEN), doc[openly], start[openly], many[openly], of)
+            yield _rows(OPEN, doc[openly], start[openly], many[openly], gram[openly])
         yield from _gone(doc[gone], start[gone], start[gone] + many[gone] + SPAN - 1)
         if len(lead):
             k = lead[-1]
-            head, said = (doc[k], start[k], many[k], gram[k]), bool(opened[-1] | hot[-1])
+            head, said = (doc[k], start[k], many[k], gram[k]), bool(opened[-1])
         last = (doc[-1], start[-1], gram[-1], print_[-1])
 
 
@@ -311,16 +312,16 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.asarray(batch.column("doc"))
         buf, offs = K.texts(batch.column("text"))
         raw = buf.tobytes()
-        out: list[list] = [[] for _ in range(5)]
+        out: list[list] = [[] for _ in range(4)]
         for i, own in enumerate(batch.column("spans")):
             lo, hi = int(offs[i]), int(offs[i + 1])
-            for g, s, m, piece in zip(*(own.values.field(c).to_pylist() for c in ("gram", "start", "many", "piece")), strict=True):
+            for g, s, m in zip(*(own.values.field(c).to_pylist() for c in ("gram", "start", "many")), strict=True):
                 part = raw[lo + s : min(hi, lo + s + m + SPAN - 1)]
                 if len(part) >= SPAN:  # another version of the document may be shorter
-                    for c, v in zip(out, (g, int(ids[i]), s, part, piece), strict=True):
+                    for c, v in zip(out, (g, int(ids[i]), s, part), strict=True):
                         c.append(v)
         if out[0]:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], ["gram", "doc", "start", "bytes", "piece"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["gram", "doc", "start", "bytes"])
 
 
 def _resolve(rows: pa.Table, parted: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -341,40 +342,37 @@ def _resolve(rows: pa.Table, parted: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by gram; some LIMIT strings are refined together."""
-    held: list[pa.RecordBatch] = []
-    size, before = 0, None  # before: the gram that the last flush ended in
+    """Rows come sorted by gram; whole grams of some LIMIT strings together are refined together, larger grams in pieces."""
+    held = pa.table({"gram": pa.array([], pa.int64()), "doc": pa.array([], pa.int64()), "start": pa.array([], pa.int64()), "bytes": pa.array([], pa.binary())})
+    size, before = 0, None  # before: the gram of which a piece is out
+    many = lambda t: int(np.diff(K.texts(t.column("bytes"))[1] - (SPAN - 1) * np.arange(t.num_rows + 1)).sum())
 
-    def flush(after) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held)
+    def flush(rows: pa.Table, after: int | None) -> Iterator[pa.RecordBatch]:
         gram = np.asarray(rows.column("gram"))
-        parted = np.asarray(rows.column("piece").combine_chunks().cast(pa.int8())) > 0
+        parted = np.zeros(len(gram), dtype=bool)
         for other in (before, after):
             if other is not None:
-                parted = parted | (gram == other)
+                parted |= gram == other
         yield from _resolve(rows, parted)
 
     for batch in batches:
-        gram = np.asarray(batch.column("gram"))
-        if not len(gram):
-            continue
-        if size >= LIMIT:
-            yield from flush(gram[0])
-            before = held[-1].column("gram")[-1].as_py()
-            held, size = [], 0
-        many = np.diff(np.asarray(K.texts(batch.column("bytes"))[1])) - SPAN + 1
-        at = 0
-        while at < len(gram):
-            stop = min(len(gram), at + 1 + int(np.searchsorted(np.cumsum(many[at:]), max(1, LIMIT - size))))
-            held.append(batch.slice(at, stop - at))
-            size += int(many[at:stop].sum())
-            at = stop
-            if size >= LIMIT and at < len(gram):
-                yield from flush(gram[at])
-                before = gram[at - 1]
-                held, size = [], 0
-    if held:
-        yield from flush(None)
+        for at in range(0, batch.num_rows, STEP):
+            some = pa.Table.from_batches([batch.slice(at, STEP)])
+            held, size = pa.concat_tables([held, some]), size + many(some)
+            if size < LIMIT:
+                continue
+            gram = np.asarray(held.column("gram"))
+            last = int(gram[-1])
+            tail = int(np.flatnonzero(gram == last)[0])
+            if tail:
+                yield from flush(held.slice(0, tail), None)
+                held, before = held.slice(tail), None if before != last else before
+                size = many(held)
+            if size >= LIMIT:  # one gram alone
+                yield from flush(held, last)
+                held, size, before = held.slice(held.num_rows), 0, last
+    if held.num_rows:
+        yield from flush(held, None)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,11 +400,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed ranges); one row a document."""
     own = numbered(docs)
     # Removed ranges travel with the regions, so that the texts are read once for both.
-    anchored = in_arrow(own.select("doc", "text"), _anchor(hot_grams(own)), ROWS).repartition("gram", "salt").sortWithinPartitions("gram", "print", "doc", "packed")
+    anchored = in_arrow(own.select("doc", "text"), _anchor(hot_grams(own)), ROWS).repartition("gram").sortWithinPartitions("gram", "print", "doc", "packed")
     met = written(in_arrow(anchored, _meet, ROWS))
-    spans = met.filter(kind() >= OPEN).groupBy("doc").agg(F.collect_list(F.struct("gram", start().alias("start"), many().alias("many"), (kind() == PIECE_OF).alias("piece"))).alias("spans"))
+    spans = met.filter(kind() == OPEN).groupBy("doc").agg(F.collect_list(F.struct("gram", start().alias("start"), many().alias("many"))).alias("spans"))
     dealt = own.repartition("doc")  # one exchange of the texts, for this join and the last
-    opened = in_arrow(dealt.join(spans, "doc").select("doc_id", "text", "doc", "spans"), _fetch, "gram long, doc long, start long, bytes binary, piece boolean")
+    opened = in_arrow(dealt.join(spans, "doc").select("doc_id", "text", "doc", "spans"), _fetch, "gram long, doc long, start long, bytes binary")
     strings = in_arrow(opened.repartition("gram").sortWithinPartitions("gram"), _strings, ROWS)
     first = F.min(F.struct("doc", "packed")).over(Window.partitionBy("gram"))
     late = strings.withColumn("first", F.when(kind() == OPEN, first))

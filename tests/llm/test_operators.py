@@ -320,6 +320,7 @@ def brute_spans(docs):
 @pytest.mark.parametrize(("limit", "hot"), [(400_000, 1 << 11), (150, 1 << 11), (400_000, 1)])
 def test_repeated_strings(spark, odd, monkeypatch, limit, hot):
     monkeypatch.setattr(suffix_dedup, "LIMIT", limit)
+    monkeypatch.setattr(suffix_dedup, "STEP", 2 if limit < 1000 else 512)
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     docs = sorted(texts(), key=lambda r: (r[0] is None, r[0] or 0))
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(suffix_dedup.op8_suffix_dedup(spark, odd)))
