@@ -5,8 +5,12 @@ DataFrame that is written as Parquet and read again as the next stage's docs. Al
 the last return the columns of documents.
 
 Defined results for odd rows are those of the operators. In the pipeline, a document
-without a letter goes at the first stage, rows that share an id stand or fall together,
-and a null id is kept by every filter.
+without a letter goes at the first stage (so do null and empty texts), rows that share an id
+stand or fall together at near duplicates and in the mix, where each is repeated as often as the
+one of them that is taken most, and a null id is no near duplicate of anything. Long texts are read
+whole by every stage. Of equal texts the smallest id stays; ties in the mix go by the hash of the id, then by
+the id, then by size. An empty table gives an empty result; further columns stay as they are up
+to the last stage.
 """
 
 from __future__ import annotations
@@ -58,7 +62,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("contaminated", contaminated), ("mixed", mixed), ("sharded", sharded)]
 
-#: Three stages have no SQL; tests hold run() against a brute-force version.
+#: Three stages have no SQL; tests/llm/test_pipeline.py holds all rows of run() against plain versions of the stages.
 ORACLE_SQL = None
 
 
