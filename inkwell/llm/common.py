@@ -81,7 +81,7 @@ def written(df: DataFrame) -> DataFrame:
 
 
 #: A key is hot if it holds more than a MOST_HOT-th of all rows (and HOT rows): there are at most MOST_HOT such keys.
-MOST_HOT, HOT = 1 << 16, 1 << 12
+MOST_HOT, HOT = 1 << 16, 1 << 10
 
 
 def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
