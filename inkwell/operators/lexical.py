@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.operators.ranking import top_k_per_group
+from inkwell.sources.tables import cut
 
 K1, B = 1.2, 0.75
 #: Distinct (question, term) rows that are broadcast; larger sets are joined by shuffle.
@@ -33,18 +34,29 @@ def idf(flavour: str, n: Column, df: Column) -> Column:
     return F.ln(1 + ratio) if flavour == "plain" else F.greatest(F.ln(ratio), F.lit(1e-6))
 
 
-def bm25(docs: DataFrame, questions: DataFrame, key: str, doc_terms: Column, question_terms: Column, k: int, flavour: str = "plain", question: str = "query_id", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """question, key, score, rank: the k best documents of each question, ties to the smaller key; scores have 6 digits."""
+def bm25_scores(docs: DataFrame, questions: DataFrame, key: str, doc_terms: Column, question_terms: Column, flavours: tuple[str, ...], question: str = "query_id", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """question, key and a score (6 digits) for each flavour. Texts are read twice: for their lengths, and for the postings of
+    the asked terms, which are written and serve term statistics and scores of all flavours."""
     asked = questions.select(question, F.explode(F.array_distinct(question_terms)).alias("term"))
     small = asked.limit(max_broadcast + 1).count() <= max_broadcast
     wanted = asked.select("term").distinct()
     hint = F.broadcast if small else lambda df: df
     sized = docs.select(key, doc_terms.alias("terms")).withColumn("dl", F.size("terms").cast("long"))
     total = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    found = sized.select(key, "dl", F.explode("terms").alias("term")).join(hint(wanted), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    found = cut(sized.select(key, "dl", F.explode("terms").alias("term")).join(hint(wanted), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf")))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     # df has a row for each asked term, `total` one row.
-    weight = hint(df).crossJoin(F.broadcast(total)).select("term", idf(flavour, F.col("n"), F.col("df")).alias("idf"), "avgdl")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.join(hint(weight), "term").join(hint(asked), "term").groupBy(question, key).agg(F.round(F.sum(part), 6).alias("score"))
-    return top_k_per_group(scored.filter("score > 0"), [question], [F.desc("score"), F.col(key)], k)
+    weight = hint(df).crossJoin(F.broadcast(total)).select("term", *[idf(f, F.col("n"), F.col("df")).alias(f"idf_{f}") for f in flavours], "avgdl")
+    part = lambda f: F.col(f"idf_{f}") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return found.join(hint(weight), "term").join(hint(asked), "term").groupBy(question, key).agg(*[F.round(F.sum(part(f)), 6).alias(f) for f in flavours])
+
+
+def best_scored(scores: DataFrame, key: str, flavour: str, k: int, question: str = "query_id") -> DataFrame:
+    """question, key, score, rank: the k best documents of each question, ties to the smaller key."""
+    one = scores.select(question, key, F.col(flavour).alias("score")).filter("score > 0")
+    return top_k_per_group(one, [question], [F.desc("score"), F.col(key)], k)
+
+
+def bm25(docs: DataFrame, questions: DataFrame, key: str, doc_terms: Column, question_terms: Column, k: int, flavour: str = "plain", question: str = "query_id", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """question, key, score, rank of one flavour."""
+    return best_scored(bm25_scores(docs, questions, key, doc_terms, question_terms, (flavour,), question, max_broadcast), key, flavour, k, question)

@@ -33,20 +33,22 @@ def sql(text: str):
 
 
 def lexicon_lookup(spark, d):
-    """Questions against part names: exact, else by the first word, else by containment; the first tier with a hit, five hits at most."""
-    p = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name"))
-    q = table(spark, d, "part").filter("p_partkey % 400 = 3").select(F.col("p_partkey").alias("query_id"), F.lower("p_name").alias("full"))
-    q = q.withColumn("term", F.when(F.col("query_id") % 800 == 3, F.col("full")).otherwise(F.substring("full", 1, 6)))
-    # The questions are few and stated; each tier is an equi-join but the last.
-    tiers = p.join(F.broadcast(q), F.contains("name", F.col("term"))).withColumn("tier", F.when(F.col("name") == F.col("term"), 0).when(F.startswith("name", F.col("term")), 1).otherwise(2))
-    best = tiers.groupBy("query_id").agg(F.min("tier").alias("tier"))
-    return top_k_per_group(tiers.join(best, ["query_id", "tier"]), ["query_id"], [F.col("p_partkey")], 5).select("query_id", "tier", "rank", "p_partkey")
+    """Each word of the part names as a term: names that are the term, else begin with it, else hold it; the first tier with a hit, five hits
+    at most. Every tier is met by the words of the names, so a term meets no name without it."""
+    names = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name")).withColumn("w", F.split("name", " "))
+    first = F.element_at("w", 1)
+    hits = names.select("p_partkey", "name", first.alias("first"), F.explode(F.array_distinct("w")).alias("term")).filter("term <> ''")
+    tiers = hits.withColumn("tier", F.when(F.col("name") == F.col("term"), 0).when(F.col("first") == F.col("term"), 1).otherwise(2))
+    # The tier is the first key of the order, so one limited window finds the best tier's first five and drops the other tiers' after it.
+    top = top_k_per_group(tiers, ["term"], [F.col("tier"), F.col("p_partkey")], 5)
+    best = top.filter("rank = 1").select("term", F.col("tier").alias("best"))
+    return top.join(best, "term").filter("tier = best").select("term", "tier", "rank", "p_partkey")
 
 
-LEXICON = """WITH q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 800 = 3 THEN lower(p_name) ELSE substr(lower(p_name), 1, 6) END AS term FROM part WHERE p_partkey % 400 = 3),
-t AS (SELECT query_id, p_partkey, CASE WHEN lower(p_name) = term THEN 0 WHEN starts_with(lower(p_name), term) THEN 1 ELSE 2 END AS tier FROM part JOIN q ON contains(lower(p_name), term)),
-b AS (SELECT * FROM t QUALIFY tier = min(tier) OVER (PARTITION BY query_id))
-SELECT query_id, tier, row_number() OVER (PARTITION BY query_id ORDER BY p_partkey)::INT AS rank, p_partkey FROM b QUALIFY rank <= 5"""
+LEXICON = """WITH n AS (SELECT p_partkey, lower(p_name) AS name, string_split(lower(p_name), ' ') AS w FROM part),
+t AS (SELECT DISTINCT p_partkey, term, CASE WHEN name = term THEN 0 WHEN w[1] = term THEN 1 ELSE 2 END AS tier FROM (SELECT *, unnest(w) AS term FROM n) WHERE term <> ''),
+b AS (SELECT * FROM t QUALIFY tier = min(tier) OVER (PARTITION BY term))
+SELECT term, tier, row_number() OVER (PARTITION BY term ORDER BY p_partkey)::INT AS rank, p_partkey FROM b QUALIFY rank <= 5"""
 
 
 def client_keys(spark, d):
@@ -129,11 +131,11 @@ QUERIES = {
     # A reranker's order where it has one, else the baseline's; ranks made contiguous.
     "rerank_fallback": sql("SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_acctbal > 0 THEN 0 ELSE 1 END, CASE WHEN c_acctbal > 0 THEN -c_acctbal ELSE CAST(c_custkey AS DOUBLE) END, c_custkey) AS INT) AS final_rank FROM customer"),
     # Which lists lack a wanted item, and the best rank of it elsewhere.
-    "list_diagnostics": sql("WITH r AS (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rnk FROM lineitem), t AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS lists, min(rnk) AS best FROM r WHERE rnk <= 20 GROUP BY l_partkey) SELECT p_partkey, coalesce(lists, 0) AS lists, CAST(best AS BIGINT) AS best FROM part LEFT JOIN t ON l_partkey = p_partkey WHERE p_partkey <= 200"),
+    "list_diagnostics": sql("WITH r AS (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rnk FROM lineitem), t AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS lists, min(rnk) AS best FROM r WHERE rnk <= 20 GROUP BY l_partkey) SELECT p_partkey, coalesce(lists, 0) AS lists, CAST(best AS BIGINT) AS best FROM part LEFT JOIN t ON l_partkey = p_partkey"),
     # Manifest against records: identities on one side only, and fields that differ.
     "record_audit": sql("WITH m AS (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 7 <> 0), r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN 'x' ELSE c_name END AS v FROM customer WHERE c_custkey % 5 <> 0) SELECT CASE WHEN m.k IS NULL THEN 'only_record' WHEN r.k IS NULL THEN 'only_manifest' WHEN m.v <> r.v THEN 'field' ELSE 'equal' END AS state, count(*) AS n FROM m FULL OUTER JOIN r ON m.k = r.k GROUP BY 1"),
     # Review decisions: conflicts within a sheet, and with what holds already.
-    "review_sheet": sql("WITH s AS (SELECT o_custkey AS k, o_orderpriority AS v FROM orders WHERE o_orderkey % 3 = 0), c AS (SELECT k, count(DISTINCT v) AS vs, min(v) AS v FROM s GROUP BY k) SELECT CASE WHEN vs > 1 THEN 'conflict' WHEN c_mktsegment = 'BUILDING' THEN 'held' ELSE 'new' END AS outcome, count(*) AS n FROM c JOIN customer ON c_custkey = k GROUP BY 1"),
+    "review_sheet": sql("WITH s AS (SELECT o_custkey AS k, o_orderpriority AS v FROM orders), c AS (SELECT k, count(DISTINCT v) AS vs, min(v) AS v FROM s GROUP BY k) SELECT CASE WHEN vs > 1 THEN 'conflict' WHEN c_mktsegment = 'BUILDING' THEN 'held' ELSE 'new' END AS outcome, count(*) AS n FROM c JOIN customer ON c_custkey = k GROUP BY 1"),
     # Quote, offset and length of evidence against its paragraph.
     "quote_check": sql("SELECT doc_id, substr(text, 5, 20) = substr(text, 1 + 4, 20) AS exact, CAST(length(substr(text, 5, 20)) AS BIGINT) AS n, instr(text, substr(text, 5, 20)) = 5 AS first_place FROM documents"),
     # Groups keep the first value of one column and the ordered distinct values of another.

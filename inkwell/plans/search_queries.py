@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.functions import vector as V
 from inkwell.operators import chronology as C
-from inkwell.operators.lexical import bm25
+from inkwell.operators.lexical import best_scored, bm25, bm25_scores
 from inkwell.operators.ranking import evidence, evenly_spaced, first_per_work, renumbered, rrf, top_k_per_group
 from inkwell.operators.vectors import exact_top_k
-from inkwell.sources.tables import table
+from inkwell.sources.tables import cut, table
 
+#: Characters of evidence, words of a question's beginning, questions that are broadcast.
+EVIDENCE, FIRST, MAX_BROADCAST = 40, 4, 100_000
 KNOWN = [label for group in C.TOY_STARTS for label in group]
 
 
@@ -53,13 +57,13 @@ def _vectors(spark, d) -> DataFrame:
 
 def dense_topk(spark, d):
     v = _vectors(spark, d)
-    return exact_top_k(v, v.filter("id < 10"), 20).select("query_id", "vec_id", "score", "rank")
+    return exact_top_k(v, v.filter("id % 20 = 0"), 20).select("query_id", "vec_id", "score", "rank")
 
 
 def dense_topk_filtered(spark, d):
     """The same within an allow-list of labels; the filter comes before the scan."""
     v = _vectors(spark, d)
-    return exact_top_k(v.filter(F.col("grp").isin(1, 3, 5)), v.filter("id < 10"), 20, "self").select("query_id", "vec_id", "score", "rank")
+    return exact_top_k(v.filter(F.col("grp").isin(1, 3, 5)), v.filter("id % 20 = 0"), 20, "self").select("query_id", "vec_id", "score", "rank")
 
 
 def cross_label_neighbours(spark, d):
@@ -68,7 +72,7 @@ def cross_label_neighbours(spark, d):
     return exact_top_k(v, v, 5, "group").select("query_id", "vec_id", "score", "rank")
 
 
-def dense_sql(k: int, where: str, q: str = "vec_id < 10", name: str = "dense") -> str:
+def dense_sql(k: int, where: str, q: str = "vec_id % 20 = 0", name: str = "dense") -> str:
     return f"""{name} AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id)::INT AS rank
  FROM embeddings q, embeddings e WHERE q.{q} AND {where} QUALIFY rank <= {k})"""
@@ -86,22 +90,23 @@ def vector_checks(spark, d):
 
 
 VECTOR_CHECKS = """SELECT label, count(*) AS n, count(*) FILTER (len(embedding) = 64 AND abs(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) <= 3e-4) AS sound,
-1.0::DOUBLE AS unit, round(avg(list_inner_product(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[]))), 6) AS reversed FROM embeddings GROUP BY label"""
+round(avg(sqrt(list_inner_product(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))))), 6) AS unit, round(avg(list_inner_product(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[]))), 6) AS reversed FROM embeddings GROUP BY label"""
 
 
 def probe_ranks(spark, d):
-    """Rank of chosen rows in the full order of a question, by counting what is ahead: nothing is sorted."""
+    """Rank of the vector after each question's own in the question's full order, by counting what is ahead: nothing is sorted."""
     v = _vectors(spark, d)
-    q = v.filter("id < 3").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    scored = v.join(F.broadcast(q), F.lit(True)).select("query_id", "id", F.round(V.dot(F.col("q"), F.col("v")), 6).alias("score"))  # three questions
-    probes = scored.filter(F.col("id").isin(7, 77, 177)).select("query_id", F.col("id").alias("probe_id"), F.col("score").alias("probe_score"))
-    ahead = scored.join(F.broadcast(probes), "query_id").filter((F.col("score") > F.col("probe_score")) | ((F.col("score") == F.col("probe_score")) & (F.col("id") < F.col("probe_id"))))
-    return probes.join(ahead.groupBy("query_id", "probe_id").agg(F.count("*").alias("n")), ["query_id", "probe_id"], "left").select("query_id", "probe_id", "probe_score", (F.coalesce("n", F.lit(0)) + 1).alias("probe_rank"))
+    q = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    near = q.withColumn("id", F.col("query_id") + 1).join(v, "id").select("query_id", "q", F.col("id").alias("probe_id"), F.round(V.dot(F.col("q"), F.col("v")), 6).alias("probe_score"))
+    score = F.round(V.dot(F.col("q"), F.col("v")), 6)
+    first = (score > F.col("probe_score")) | ((score == F.col("probe_score")) & (F.col("id") < F.col("probe_id")))
+    # The stated questions against all vectors: counts are added up within each task before they are shuffled.
+    return v.join(near, F.lit(True)).groupBy("query_id", "probe_id", "probe_score").agg((F.count_if(first) + 1).alias("probe_rank"))
 
 
-PROBE_RANKS = """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 3),
+PROBE_RANKS = """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
-SELECT query_id, id AS probe_id, score AS probe_score, rank AS probe_rank FROM r WHERE id IN (7, 77, 177)"""
+SELECT query_id, id AS probe_id, score AS probe_score, rank AS probe_rank FROM r WHERE id = query_id + 1"""
 
 
 def even_sample(spark, d):
@@ -116,21 +121,39 @@ EVEN_SAMPLE = """WITH n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) -
 SELECT vec_id, place FROM n WHERE place IN (SELECT (i * (SELECT max(n) - 1 FROM n)) // 49 FROM range(50) t(i))"""
 
 
+def _dense(spark, d) -> DataFrame:
+    """The vectors nearest to each question's among those of documents; the vector whose id is the question's stands in for its encoding."""
+    v = _vectors(spark, d)
+    q = v.join(_questions(spark, d).select(F.col("query_id").alias("id")), "id", "left_semi")
+    have = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    return exact_top_k(v.join(have, "id", "left_semi"), q, 20).select("query_id", F.col("vec_id").alias("work_id"), "rank")
+
+
 def _channels(spark, d) -> DataFrame:
-    """Two lexical channels with contiguous ranks: query_id, channel, rank, work_id, text (the channel's name for evidence)."""
-    one = bm25_hits(spark, d, "plain", 20).withColumn("channel", F.lit("bm25"))
-    two = bm25_hits(spark, d, "fts", 20).withColumn("channel", F.lit("fts"))
-    return one.unionByName(two)
+    """Two lexical channels and a dense one with contiguous ranks: query_id, channel, rank, work_id, text (the work's beginning). A written
+    table, so that the parts of a plan share one search."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    scores = bm25_scores(docs, _questions(spark, d), "doc_id", T.words(F.col("text")), T.words(F.col("question")), ("plain", "fts"))
+    scores = cut(scores.withColumnRenamed("doc_id", "work_id"))
+    lists = [best_scored(scores, "work_id", f, 20).withColumn("channel", F.lit(c)) for f, c in (("plain", "bm25"), ("fts", "fts"))] + [_dense(spark, d).withColumn("channel", F.lit("dense"))]
+    hits = reduce(DataFrame.unionByName, [h.select("query_id", "channel", "rank", "work_id") for h in lists])
+    text = F.substring(T.collapse(F.col("text")), 1, EVIDENCE)
+    return cut(hits.join(docs.select(F.col("doc_id").alias("work_id"), text.alias("text")), "work_id").select("query_id", "channel", "rank", "work_id", "text"))
 
 
-def bm25_hits(spark, d, flavour: str, k: int) -> DataFrame:
-    return _bm25(spark, d, k, flavour).withColumnRenamed("doc_id", "work_id")
+COLLAPSED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 
-def _channels_sql() -> str:
+def _lexical_sql() -> str:
     a, b = bm25_sql(20, "plain", "h1"), bm25_sql(20, "fts", "h2")
     b = b[b.index(" sc AS") :].replace(" sc AS", "sc2 AS").replace("FROM sc ", "FROM sc2 ")
-    return f"{a}, {b}, hits AS (SELECT query_id, 'bm25' AS channel, rank, doc_id AS work_id FROM h1 UNION ALL SELECT query_id, 'fts', rank, doc_id FROM h2)"
+    return f"{a}, {b}, lexical AS (SELECT query_id, 'bm25' AS channel, rank, doc_id AS work_id FROM h1 UNION ALL SELECT query_id, 'fts', rank, doc_id FROM h2)"
+
+
+def _channels_sql() -> str:
+    dense = dense_sql(20, "e.vec_id IN (SELECT doc_id FROM documents)", "vec_id IN (SELECT item_id FROM benchmark)", "h3")
+    return f"""{_lexical_sql()}, {dense}, ranked AS (SELECT * FROM lexical UNION ALL SELECT query_id, 'dense', rank, vec_id FROM h3),
+ hits AS (SELECT ranked.*, substr({COLLAPSED.format('text')}, 1, {EVIDENCE}) AS text FROM ranked JOIN documents ON doc_id = work_id)"""
 
 
 def rrf_fusion(spark, d):
@@ -153,7 +176,7 @@ def channel_overlap(spark, d):
     return per.select("query_id", F.size("a").cast("long").alias("n_bm25"), F.size("b").cast("long").alias("n_fts"), both.cast("long").alias("n_both"), F.round(both / F.least(F.size("a"), F.size("b")), 4).alias("share"))
 
 
-OVERLAP = "WITH " + _channels_sql() + """, per AS (SELECT query_id, count(*) FILTER (channel = 'bm25') AS n_bm25, count(*) FILTER (channel = 'fts') AS n_fts, count(*) - count(DISTINCT work_id) AS n_both FROM hits GROUP BY 1)
+OVERLAP = "WITH " + _channels_sql() + """, per AS (SELECT query_id, count(*) FILTER (channel = 'bm25') AS n_bm25, count(*) FILTER (channel = 'fts') AS n_fts, count(*) FILTER (channel <> 'dense') - count(DISTINCT work_id) FILTER (channel <> 'dense') AS n_both FROM hits GROUP BY 1)
 SELECT *, round(n_both / least(n_bm25, n_fts), 4) AS share FROM per"""
 
 
@@ -161,21 +184,19 @@ def rrf_two_stage(spark, d):
     """Sentences of a question are questions of their own; each is fused and cut at 10, then their ranks are fused."""
     q = table(spark, d, "benchmark").select("item_id", F.posexplode(T.sentences(F.col("text"))).alias("part", "s")).select(F.concat_ws(":", "item_id", "part").alias("query_id"), F.col("s.text").alias("question"), "item_id")
     docs = table(spark, d, "documents").select("doc_id", "text")
-    lists = None
-    for flavour in ("plain", "fts"):
-        one = bm25(docs, q, "doc_id", T.words(F.col("text")), T.words(F.col("question")), 20, flavour).select("query_id", F.col("doc_id").alias("work_id"), "rank").withColumn("channel", F.lit(flavour))
-        lists = one if lists is None else lists.unionByName(one)
+    scores = cut(bm25_scores(docs, q, "doc_id", T.words(F.col("text")), T.words(F.col("question")), ("plain", "fts")).withColumnRenamed("doc_id", "work_id"))
+    lists = reduce(DataFrame.unionByName, [best_scored(scores, "work_id", f, 20).select("query_id", "work_id", "rank", F.lit(f).alias("channel")) for f in ("plain", "fts")])
     inner = rrf(lists, ["query_id"], ["channel"], limit=10).select(F.split("query_id", ":")[0].cast("long").alias("item_id"), F.col("query_id").alias("part"), "work_id", "rank")
     return rrf(inner, ["item_id"], ["part"], limit=5)
 
 
 def _two_stage_sql() -> str:
-    base = _channels_sql()
+    base = _lexical_sql()
     from inkwell.plans.text_queries import SENTENCE_SQL, chunk_sql
 
     cut = chunk_sql(SENTENCE_SQL, ".!?").replace("documents", "benchmark").replace("doc_id", "item_id").replace(" p AS", " bp AS").replace("FROM p)", "FROM bp)")
     base = base.replace("SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark", "SELECT DISTINCT item_id || ':' || chunk_index AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM k")
-    return f"""WITH {cut}, {base}, inr AS ({rrf_sql('hits', 'QUALIFY rank <= 10')}), i2 AS (SELECT split_part(query_id, ':', 1)::BIGINT AS query_id, work_id, rank FROM inr)
+    return f"""WITH {cut}, {base}, inr AS ({rrf_sql('lexical', 'QUALIFY rank <= 10')}), i2 AS (SELECT split_part(query_id, ':', 1)::BIGINT AS query_id, work_id, rank FROM inr)
 SELECT query_id AS item_id, * EXCLUDE (query_id) FROM ({rrf_sql('i2', 'QUALIFY rank <= 5')})"""
 
 
@@ -183,27 +204,52 @@ TWO_STAGE = _two_stage_sql()
 
 
 def _self_alias(spark, d) -> DataFrame:
-    """Each question's own works: those that contain its text."""
-    q = _questions(spark, d)
-    first = F.substring(T.collapse(F.col("question")), 1, 30)
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("work_id"), "text")
-    return docs.join(F.broadcast(q.select("query_id", first.alias("probe"))), F.contains("text", F.col("probe"))).select("query_id", "work_id")  # the questions are few
+    """Each question's own works: those that hold all its words in a row, whatever the white space.
+
+    Documents give the hashes of their runs of up to FIRST words, for the lengths that the questions' beginnings have, and
+    meet these by an equi-join; what meets is compared in full. Questions without words have no works.
+    """
+    norm = lambda c: T.collapse(F.col(c))
+    run = lambda w, i, n: F.xxhash64(F.array_join(F.slice(w, i, n), " "))
+    q = _questions(spark, d).select("query_id", norm("question").alias("asked")).filter("asked <> ''").withColumn("w", F.split("asked", " ")).withColumn("n", F.least(F.size("w"), F.lit(FIRST)))
+    q = q.select("query_id", "asked", "n", run(F.col("w"), 1, F.col("n")).alias("h"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("work_id"), norm("text").alias("text"))
+    sizes = sorted(r[0] for r in q.select("n").distinct().collect())  # FIRST numbers at most
+    if not sizes:
+        return q.join(docs, F.lit(False)).select("query_id", "work_id")
+
+    def starts(n: int):
+        all_ = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: run(F.col("w"), i, F.lit(n)))
+        return F.when(F.size("w") >= n, all_).otherwise(F.array().cast("array<bigint>"))
+
+    runs = map(starts, sizes)
+    places = docs.select("work_id", F.split("text", " ").alias("w")).select("work_id", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("h"))
+    hint = F.broadcast if q.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else lambda df: df
+    met = places.join(hint(q.select("query_id", "h")), "h").select("query_id", "work_id").distinct()
+    full = met.join(docs, "work_id").join(hint(q.select("query_id", "asked")), "query_id")
+    pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    return full.filter(F.contains(pad("text"), pad("asked"))).select("query_id", "work_id")
 
 
 def eligibility(spark, d):
     """Fused candidates with chronology status and reason of rejection; target: the language of the best candidate."""
-    fused = rrf(_channels(spark, d), ["query_id"], ["channel"], limit=20).join(table(spark, d, "documents").select(F.col("doc_id").alias("work_id"), "lang"), "work_id")
+    return _judged(spark, d, _channels(spark, d)).select("query_id", "work_id", "rank", "chronology_status", "reason")
+
+
+def _judged(spark, d, hits: DataFrame) -> DataFrame:
+    """The fused list of `hits`, 20 works a question, with chronology_status and reason. A written table."""
+    fused = rrf(hits, ["query_id"], ["channel"], limit=20).join(table(spark, d, "documents").select(F.col("doc_id").alias("work_id"), "lang"), "work_id")
     target = fused.filter("rank = 1").select("query_id", F.col("lang").alias("target_lang"))
     own = _self_alias(spark, d).withColumn("is_self", F.lit(True))
     met = C.classified(fused.join(target, "query_id").join(own, ["query_id", "work_id"], "left"), "lang", "target_lang", C.lookup(spark, C.TOY_STARTS, C.TOY_OVERLAPS))
-    return met.select("query_id", "work_id", "rank", "chronology_status", C.rejection(F.coalesce("is_self", F.lit(False))).alias("reason"))
+    return cut(met.withColumn("reason", C.rejection(F.coalesce("is_self", F.lit(False)))).select("query_id", "work_id", "rank", "rrf_score", "best_rank", "support", "chronology_status", "reason"))
 
 
 def _eligible_sql() -> str:
     rel = ", ".join(f"('{a}', '{b}', '{s}')" for a, b, s, _ in C.relations(C.TOY_STARTS, C.TOY_OVERLAPS))
     return f"""{_channels_sql()}, fused AS ({rrf_sql('hits', 'QUALIFY rank <= 20')}), fl AS (SELECT f.*, lang FROM fused f JOIN documents ON doc_id = work_id),
  tg AS (SELECT query_id, lang AS target_lang FROM fl WHERE rank = 1), rel(lang, target_lang, status) AS (VALUES {rel}),
- own AS (SELECT item_id AS query_id, doc_id AS work_id, true AS is_self FROM documents d, (SELECT item_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 30) AS probe FROM benchmark) b WHERE contains(d.text, probe)),
+ own AS (SELECT item_id AS query_id, doc_id AS work_id, true AS is_self FROM (SELECT doc_id, {COLLAPSED.format('text')} AS t FROM documents) d, (SELECT item_id, {COLLAPSED.format('text')} AS probe FROM benchmark) b WHERE probe <> '' AND contains(' ' || d.t || ' ', ' ' || probe || ' ')),
  el AS (SELECT query_id, work_id, rank, best_rank, support, rrf_score, coalesce(status, 'unknown') AS chronology_status,
   CASE WHEN coalesce(is_self, false) THEN 'self_hit' WHEN status = 'clearly_later' THEN 'clearly_later' END AS reason
   FROM fl JOIN tg USING (query_id) LEFT JOIN rel USING (lang, target_lang) LEFT JOIN own USING (query_id, work_id))"""
@@ -213,26 +259,26 @@ ELIGIBILITY = "WITH " + _eligible_sql() + " SELECT query_id, work_id, rank, chro
 
 
 def hybrid_search(spark, d):
-    """From questions to final ranks: channels, fusion, chronology and self hits, the best evidence, at most eight."""
-    hits = _channels(spark, d).withColumn("text", F.col("channel"))
-    fused = rrf(hits, ["query_id"], ["channel"], limit=20)
-    kept = eligibility(spark, d).filter("reason IS NULL").select("query_id", "work_id", "chronology_status")
-    final = renumbered(fused.join(kept, ["query_id", "work_id"]).withColumnRenamed("rank", "fused_rank"), ["query_id"], "fused_rank").filter("rank <= 8")
+    """From questions to final ranks: lexical and dense channels, fusion, chronology and self hits, the best evidence, at most eight."""
+    hits = _channels(spark, d)
+    kept = _judged(spark, d, hits).filter("reason IS NULL").drop("reason").withColumnRenamed("rank", "fused_rank")
+    final = renumbered(kept, ["query_id"], "fused_rank").filter("rank <= 8")
     best = evidence(first_per_work(hits, ["query_id", "channel"]), ["query_id"])
-    return final.join(best, ["query_id", "work_id"]).select("query_id", "rank", "work_id", "rrf_score", "best_rank", "support", "chronology_status", "evidence_channel", "evidence_rank", F.lit("ok").alias("status"))
+    return final.join(best, ["query_id", "work_id"]).select("query_id", "rank", "work_id", "rrf_score", "best_rank", "support", "chronology_status", "evidence_channel", "evidence_rank", "evidence_text")
 
 
-HYBRID = "WITH " + _eligible_sql() + """, ev AS (SELECT query_id, work_id, min(struct_pack(r := rank, c := channel)) AS e FROM hits GROUP BY ALL)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS rank, work_id, rrf_score, best_rank, support, chronology_status, e.c AS evidence_channel, e.r AS evidence_rank, 'ok' AS status
+HYBRID = "WITH " + _eligible_sql() + """, ev AS (SELECT query_id, work_id, min(struct_pack(r := rank, c := channel, t := text)) AS e FROM hits GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS rank, work_id, rrf_score, best_rank, support, chronology_status, e.c AS evidence_channel, e.r AS evidence_rank, e.t AS evidence_text
 FROM el JOIN ev USING (query_id, work_id) WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY el.rank) <= 8"""
 
 
 def prefilter_ab(spark, d):
     """Filtering before fusion against after it: works in the first five of either arm, and in both."""
     hits = _channels(spark, d)
-    gone = eligibility(spark, d).filter("reason IS NOT NULL").select("query_id", "work_id")
+    judged = _judged(spark, d, hits)
+    gone = judged.filter("reason IS NOT NULL").select("query_id", "work_id")
     before = rrf(renumbered(hits.join(gone, ["query_id", "work_id"], "left_anti").withColumnRenamed("rank", "raw"), ["query_id", "channel"], "raw"), ["query_id"], ["channel"], limit=5)
-    after = renumbered(rrf(hits, ["query_id"], ["channel"], limit=20).join(gone, ["query_id", "work_id"], "left_anti").withColumnRenamed("rank", "raw"), ["query_id"], "raw").filter("rank <= 5")
+    after = renumbered(judged.filter("reason IS NULL").withColumnRenamed("rank", "raw"), ["query_id"], "raw").filter("rank <= 5")
     arms = before.select("query_id", "work_id", F.lit("before").alias("arm")).unionByName(after.select("query_id", "work_id", F.lit("after").alias("arm")))
     return arms.groupBy("query_id").agg(F.count_if(F.col("arm") == "before").alias("n_before"), F.count_if(F.col("arm") == "after").alias("n_after"), (F.count("*") - F.countDistinct("work_id")).alias("n_both"))
 
@@ -313,15 +359,15 @@ RANK_CONTRACT = "WITH " + _channels_sql() + ", g AS (SELECT query_id, channel, c
 
 
 def document_search(spark, d):
-    """Hybrid search within a hierarchy: BM25 over parts with their brand, cut to five with a truncated text."""
+    """Search within a hierarchy: BM25 over parts with their brand, each type a question (named by its first part), cut to five with a truncated text."""
     parts = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("text"))
-    q = table(spark, d, "part").filter("p_partkey % 500 = 1").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("question"))
+    q = table(spark, d, "part").groupBy(F.col("p_type").alias("question")).agg(F.min("p_partkey").alias("query_id"))
     hits = bm25(parts, q, "p_partkey", T.words(F.col("text")), T.words(F.col("question")), 5)
     return hits.join(parts, "p_partkey").select("query_id", "rank", "p_partkey", "score", F.substring("text", 1, 12).alias("text"), (F.char_length("text") > 12).alias("truncated"))
 
 
 def _document_sql() -> str:
-    s = bm25_sql(5, "plain").replace("documents", "parts").replace("doc_id", "p_partkey").replace("item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark", "p_partkey AS query_id, unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS term FROM part WHERE p_partkey % 500 = 1")
+    s = bm25_sql(5, "plain").replace("documents", "parts").replace("doc_id", "p_partkey").replace("item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark", "query_id, unnest(regexp_extract_all(lower(p_type), '[a-z0-9]+')) AS term FROM (SELECT p_type, min(p_partkey) AS query_id FROM part GROUP BY p_type)")
     return f"WITH parts AS (SELECT p_partkey, p_brand || ' ' || p_name || ' ' || p_type AS text FROM part), {s} SELECT query_id, rank, p_partkey, score, substr(text, 1, 12) AS text, length(text) > 12 AS truncated FROM bm25_hits JOIN parts USING (p_partkey)"
 
 

@@ -110,14 +110,15 @@ FROM documents WHERE source IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1"""
 
 
 def exact_dup_groups(spark, d):
-    """Records equal in all compared fields: groups with their size and up to ten members."""
+    """Records equal in all compared fields: each member with its group's hash and size."""
     docs = table(spark, d, "documents")
     key = F.sha2(F.concat_ws("\0", F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit(""))), 256)
-    return docs.groupBy(key.alias("record_hash")).agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 10), ",").alias("members")).filter("n > 1")
+    members = docs.select(key.alias("record_hash"), "doc_id")
+    sizes = members.groupBy("record_hash").agg(F.count("*").alias("n")).filter("n > 1")
+    return members.join(sizes, "record_hash")
 
 
-EXACT_DUPS = """SELECT sha256(coalesce(lang, '') || chr(0) || coalesce(text, '')) AS record_hash, count(*) AS n,
-array_to_string((list(doc_id ORDER BY doc_id))[1:10], ',') AS members FROM documents GROUP BY 1 HAVING count(*) > 1"""
+EXACT_DUPS = """SELECT record_hash, doc_id, n FROM (SELECT doc_id, sha256(coalesce(lang, '') || chr(0) || coalesce(text, '')) AS record_hash, count(*) OVER (PARTITION BY coalesce(lang, ''), coalesce(text, '')) AS n FROM documents) WHERE n > 1"""
 
 
 def text_features(spark, d):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,3 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as works: work_id, author (source), era (lang), content."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("work_id"), F.col("source").alias("author"), F.col("lang").alias("era"), F.col("text").alias("content"))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one, on one machine only."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="inkwell-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, for a frame that several parts of a plan read."""
+    path = f"{shared_dir(df.sparkSession)}/inkwell/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
