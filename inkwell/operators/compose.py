@@ -2,31 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import same_hit
+from inkwell.functions.hashing import nfkc
+from inkwell.functions.text import letters_only, same_hit
 from inkwell.operators.ranking import renumbered
 from inkwell.plans.ship import ship
 
 PREFIX, MIN_PIECE = 12, 24
+#: Segments of items that are broadcast; more are joined by shuffle.
+MAX_BROADCAST = 200_000
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for a row, also where body uses it in a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _grams(c: Column, size: int) -> Column:
+    """Hashes of the substrings of `size` characters at each place; the text is cut into characters once, so this is linear."""
+    return _let(F.split(c, ""), lambda chars: F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(chars, i, size))))
+
+
+def _anchors(c: Column, size: int, span: int) -> Column:
+    """array<struct<h,at>>: of each `span` characters the first of the least hashes of substrings of `size`; neighbours share theirs."""
+    width = span - size + 1
+    placed = F.transform(_grams(c, size), lambda h, i: F.struct(h.alias("h"), i.alias("at")))
+    least = _let(placed, lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - width + 1, F.lit(1))), lambda i: F.array_min(F.slice(g, i, width))))
+    return _let(least, lambda m: F.filter(m, lambda x, i: (i == 0) | (x["at"] != F.get(m, i - 1)["at"])))
 
 
 def occurrences(works: DataFrame, min_piece: int = MIN_PIECE, prefix: int = PREFIX) -> DataFrame:
-    """host, pos, end, member, ord: places in a host at which a shorter work of its author stands in full.
+    """host, pos, end, member, len: places in a host at which a shorter work of its author stands in full.
 
-    A host gives its substrings of `prefix` characters at each place, hashed, and meets the
-    first characters of the works of the same author; equal authors and hashes are joined, then
-    compared in full. Works that are of the host's length or longer are no members.
+    Of any `min_piece` characters the least hash of `prefix` characters is their anchor. A work is known by the anchor of its
+    beginning, a host by all of its anchors (about one in seven places), so wherever the work stands the two meet; equal authors
+    and hashes are joined, then compared in full. Works that are of the host's length or longer are no members.
     """
-    pieces = works.filter((F.char_length("content") >= min_piece) & (F.coalesce("author", F.lit("")) != ""))
-    pieces = pieces.select("author", F.col("work_id").alias("member"), F.col("content").alias("piece"), F.char_length("content").alias("n"), F.xxhash64(F.substring("content", 1, prefix)).alias("h"))
-    hosts = works.filter((F.char_length("content") >= 2 * min_piece) & (F.coalesce("author", F.lit("")) != "")).select("author", F.col("work_id").alias("host"), "content", F.char_length("content").alias("len"))
-    starts = hosts.select("author", "host", "len", F.explode(F.sequence(F.lit(0), F.col("len") - prefix)).alias("pos"), "content").select("author", "host", "len", "pos", F.xxhash64(F.expr(f"substring(content, pos + 1, {prefix})")).alias("h"))
-    met = starts.join(pieces.select("author", "h", "member", "n"), ["author", "h"]).filter((F.col("n") < F.col("len")) & (F.col("pos") + F.col("n") <= F.col("len"))).select("host", "member", "pos", "n")
+    works = works.filter(F.coalesce("author", F.lit("")) != "")
+    pieces = works.filter(F.char_length("content") >= min_piece)
+    pieces = pieces.select("author", F.col("work_id").alias("member"), F.col("content").alias("piece"), F.char_length("content").alias("n"), _anchors(F.substring("content", 1, min_piece), prefix, min_piece)[0].alias("a"))
+    hosts = works.filter(F.char_length("content") >= 2 * min_piece).select("author", F.col("work_id").alias("host"), "content", F.char_length("content").alias("len"))
+    starts = hosts.select("author", "host", "len", F.inline(_anchors(F.col("content"), prefix, min_piece)))
+    met = starts.join(pieces.select("author", F.col("a.h").alias("h"), F.col("a.at").alias("lead"), "member", "n"), ["author", "h"]).withColumn("pos", F.col("at") - F.col("lead"))
+    met = met.filter((F.col("n") < F.col("len")) & (F.col("pos") >= 0) & (F.col("pos") + F.col("n") <= F.col("len"))).select("host", "member", "pos", "n")
     full = met.join(hosts.select("host", "content"), "host").join(pieces.select("member", "piece"), "member")
     return full.filter(F.expr("substring(content, pos + 1, n)") == F.col("piece")).select("host", "pos", (F.col("pos") + F.col("n")).alias("end"), "member", F.char_length("content").alias("len"))
 
@@ -62,6 +85,44 @@ def covers(works: DataFrame, min_piece: int = MIN_PIECE) -> DataFrame:
     return found.groupBy("host").applyInPandas(walk, f"host {kind}, member_order int, member {kind}, start int, end int")
 
 
+def normalised(works: DataFrame) -> DataFrame:
+    """works with content in NFKC and of letters and digits only."""
+    return works.withColumn("content", letters_only(nfkc(works.sparkSession)(F.col("content"))))
+
+
+def normalised_covers(works: DataFrame, known: DataFrame | None = None, min_piece: int = MIN_PIECE) -> DataFrame:
+    """covers() of the normalised texts, without the hosts (host) that are known and those that are covers as they stand."""
+    out = covers(normalised(works), min_piece).join(covers(works, min_piece).select("host").distinct(), "host", "left_anti")
+    return out if known is None else out.join(known, "host", "left_anti")
+
+
+def greedy_cover(works: DataFrame, least: float = 0.8, min_piece: int = MIN_PIECE, signal: str | None = None) -> DataFrame:
+    """host, part, member, start, end, coverage: hosts that hold two or more other works of their author, walked from the left:
+    at each place the longest work (the smallest id of equals) is taken and the walk goes on at its end. Hosts are returned if
+    `least` of their length is covered. `signal` names a boolean column: a work counts only if it, or the host, has it."""
+    found = occurrences(works, min_piece)
+    if signal:
+        told = works.select("work_id", F.col(signal).alias("_s"))
+        found = found.join(told.withColumnRenamed("work_id", "member").withColumnRenamed("_s", "_m"), "member").join(told.withColumnRenamed("work_id", "host").withColumnRenamed("_s", "_h"), "host").filter("_m OR _h").drop("_m", "_h")
+    # A place has one candidate left before the walk, which then holds no more rows than the host has characters.
+    found = found.withColumn("_n", F.row_number().over(Window.partitionBy("host", "pos").orderBy(F.desc("end"), "member"))).filter("_n = 1").drop("_n")
+    ship(works.sparkSession)
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        at, out = 0, []
+        for pos, end, member in group.sort_values("pos")[["pos", "end", "member"]].itertuples(index=False):
+            if pos >= at:
+                out.append((member, pos, end))
+                at = end
+        share = sum(e - p for _, p, e in out) / int(group["len"].iloc[0])
+        if len(out) < 2 or share < least:
+            out = []
+        return pd.DataFrame([(group["host"].iloc[0], i, m, p, e, round(share, 4)) for i, (m, p, e) in enumerate(out)], columns=["host", "part", "member", "start", "end", "coverage"])
+
+    kind = dict(works.dtypes)["work_id"]
+    return found.groupBy("host").applyInPandas(walk, f"host {kind}, part int, member {kind}, start int, end int, coverage double")
+
+
 def composition_filter(candidates: DataFrame, edges: DataFrame, aliases: DataFrame, current: str, k: int, pool: int = 32) -> DataFrame:
     """Candidates (query_id, rank, work_id, text; `current` is a column of the current text) without the collections
     that hold the current work or another candidate with the same hit; then the first k, renumbered."""
@@ -97,6 +158,28 @@ def min_substring_edits(text: str, pattern: str, most: int) -> int | None:
     return best if best <= most else None
 
 
+def containing(docs: DataFrame, items: DataFrame, key: str, item: str, most: int = 3) -> DataFrame:
+    """key, item: pairs whose text may hold the item's with `most` edits or fewer. The item's letters are split into most + 1 segments;
+    an item within the edits leaves one of them whole, so every such pair, and every exact or normalised one, shares a segment.
+    Segments are met by hash at each place of a text; items too short for segments of 6 letters are met by the whole of them."""
+    letters = lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}]", "")
+    part = items.select(item, letters(F.col("text")).alias("_p")).filter("_p <> ''").withColumn("_n", F.char_length("_p"))
+    count = F.when(F.col("_n") >= 6 * (most + 1), F.lit(most + 1)).otherwise(F.lit(1))
+    cut = lambda i: F.floor(F.col("_n") * i / F.col("_c")).cast("int")
+    segments = part.withColumn("_c", count).select(item, "_p", F.explode(F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda i: F.struct(cut(i).alias("at"), (cut(i + 1) - cut(i)).alias("size")))).alias("s")).select(item, F.substring(F.col("_p"), F.col("s.at") + 1, F.col("s.size")).alias("_q"))
+    # A text meets the first letters of segments, of one length for all; what meets is compared in full before it counts.
+    width = segments.agg(F.min(F.char_length("_q"))).first()[0]
+    if width is None:
+        return docs.select(key).limit(0).crossJoin(items.select(item).limit(0))
+    width = min(width, 12)
+    segments = segments.select(item, "_q", _grams(F.substring("_q", 1, width), width)[0].alias("_h"))
+    texts = docs.select(key, letters(F.col("text")).alias("_t")).filter(F.char_length("_t") >= width)
+    starts = texts.select(key, F.explode(F.array_distinct(_grams(F.col("_t"), width))).alias("_h"))
+    small = segments.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    met = starts.join(F.broadcast(segments) if small else segments, "_h").select(key, item, "_q")
+    return met.join(texts, key).filter(F.contains("_t", F.col("_q"))).select(key, item).distinct()
+
+
 def containment(pairs: DataFrame, most: int = 3) -> DataFrame:
     """pairs: id, text, part -> id, kind: `exact` (24 characters or more), `normalized` (24 letters or more), `near`
     (40 letters or more, edits), or `none`. Only pairs that the cheap tests leave open reach the edit distance."""

@@ -13,48 +13,101 @@ from inkwell.sources.markup import blocks
 from inkwell.sources.tables import table, works
 
 
+def _sentences(spark, d) -> DataFrame:
+    """doc_id, author, i, s: every sentence of documents with an author, from 1."""
+    return works(spark, d).filter("author IS NOT NULL").select(F.col("work_id").alias("doc_id"), "author", F.posexplode(F.transform(T.sentences(F.col("content")), lambda x: x["text"])).alias("i", "s")).withColumn("i", F.col("i") + 1)
+
+
 def _works(spark, d) -> DataFrame:
-    """Sentences of 40 characters or more as works, and for each document the concatenation of its first three."""
-    docs = works(spark, d).filter("author IS NOT NULL").withColumn("s", F.filter(F.transform(T.sentences(F.col("content")), lambda x: x["text"]), lambda x: F.char_length(x) >= 40)).filter(F.size("s") >= 3)
-    members = docs.select("author", F.posexplode(F.slice("s", 1, 3)).alias("i", "content"), "work_id").select((F.col("work_id") * 10 + F.col("i") + 1).alias("work_id"), "author", "content")
-    hosts = docs.select((F.col("work_id") * 10).alias("work_id"), "author", F.array_join(F.slice("s", 1, 3), "").alias("content"))
-    return members.union(hosts)
+    """Works of two kinds: each sentence of 24 characters or more (`doc:i`), and for each document the concatenation of them all (`doc`)."""
+    docs = works(spark, d).filter("author IS NOT NULL").select("work_id", "author", F.filter(F.transform(T.sentences(F.col("content")), lambda x: x["text"]), lambda x: F.char_length(x) >= compose.MIN_PIECE).alias("s"))
+    members = docs.select("author", F.posexplode("s").alias("i", "content"), "work_id").select(F.concat_ws(":", F.col("work_id"), F.col("i") + 1).alias("work_id"), "author", "content")
+    return members.union(docs.select(F.col("work_id").cast("string"), "author", F.array_join("s", "").alias("content")))
+
+
+def _documents_as_hosts(spark, d) -> DataFrame:
+    """Whole documents as hosts (`doc`) beside their sentences as works (`doc:i`), repeated texts of an author once."""
+    s = _sentences(spark, d).groupBy("author", "s").agg(F.min(F.struct("doc_id", "i")).alias("k")).select(F.concat_ws(":", "k.doc_id", "k.i").alias("work_id"), "author", F.col("s").alias("content"))
+    return s.union(works(spark, d).filter("author IS NOT NULL").select(F.col("work_id").cast("string"), "author", "content"))
+
+
+def _edges(cover: DataFrame) -> DataFrame:
+    return cover.select(F.col("host").alias("parent_work_id"), F.col("member").alias("member_work_id"), "member_order")
 
 
 def concat_cover(spark, d):
     """Hosts that are a concatenation: number of parts, and whether validation of the edges agrees."""
     all_works = _works(spark, d)
-    edges = compose.covers(all_works).select(F.col("host").alias("parent_work_id"), F.col("member").alias("member_work_id"), "member_order")
-    good = compose.validated_edges(edges, all_works)
-    return good.groupBy("parent_work_id").agg(F.count("*").alias("parts"), F.every("valid").alias("valid"))
+    good = compose.validated_edges(_edges(compose.covers(all_works)), all_works)
+    return good.groupBy("parent_work_id").agg(F.count("*").alias("parts"), F.every("valid").alias("valid"), F.max("end").alias("end"))
 
 
-WORKS_SQL = r"""s AS (SELECT doc_id, source AS author, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]+["'')]*|[^.!?]+$'), lambda x: trim(x, E' \n\t\r')), lambda x: length(x) >= 40 AND regexp_matches(x, '[^\s.!?"'')]')) AS s FROM documents WHERE source IS NOT NULL),
-w AS (SELECT doc_id * 10 + i AS work_id, author, s[i] AS content FROM s, range(1, 4) t(i) WHERE len(s) >= 3 UNION ALL SELECT doc_id * 10, author, s[1] || s[2] || s[3] FROM s WHERE len(s) >= 3)"""
-COVER = f"""WITH {WORKS_SQL} SELECT work_id AS parent_work_id, 3::BIGINT AS parts, true AS valid FROM w WHERE work_id % 10 = 0"""
+def cover_sql(pieces: str, hosts: str, name: str) -> str:
+    """Reachable ends from 0, the first predecessor (place, member) of each, and the walk back, as recursive SQL over `pieces` and `hosts`."""
+    return f"""{name}_p AS (SELECT work_id AS member, author, content AS piece, length(content) AS n, left(content, 12) AS k FROM {pieces} WHERE length(content) >= 24),
+{name}_h AS (SELECT work_id AS host, author, content, length(content) AS len FROM {hosts} WHERE length(content) >= 48),
+{name}_r AS (SELECT host, author, content, len, 0::BIGINT AS pos, 0::BIGINT AS was, NULL::VARCHAR AS member FROM {name}_h
+ UNION SELECT r.host, r.author, r.content, r.len, r.pos + p.n, r.pos, p.member FROM {name}_r r JOIN {name}_p p ON p.author = r.author AND p.k = substring(r.content, r.pos + 1, 12) AND substring(r.content, r.pos + 1, p.n) = p.piece WHERE p.n < r.len),
+{name}_b AS (SELECT host, len, pos, was, member FROM {name}_r WHERE member IS NOT NULL QUALIFY row_number() OVER (PARTITION BY host, pos ORDER BY was, member) = 1),
+{name}_w AS (SELECT host, pos, was, member FROM {name}_b WHERE pos = len UNION ALL SELECT w.host, b.pos, b.was, b.member FROM {name}_w w JOIN {name}_b b ON b.host = w.host AND b.pos = w.was)"""
 
 
-def containment_kinds(spark, d):
-    """Benchmark items against documents of their first words: kinds of containment."""
-    head = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, 4), " "))
-    items = table(spark, d, "benchmark").withColumn("w", T.words(F.col("text"))).select("item_id", F.col("text").alias("part"), head(F.col("w"), 1).alias("h"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    places = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: head(F.col("w"), i))
-    starts = docs.select("doc_id", T.words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(places)).alias("h"))
-    pairs = starts.join(items, "h").select("doc_id", "item_id", "part").join(docs, "doc_id").select(F.concat_ws(":", "doc_id", "item_id").alias("id"), "text", "part")
-    return compose.containment(pairs).groupBy("kind").agg(F.count("*").alias("n"))
+SENTENCES_SQL = r"""sl AS (SELECT doc_id, source AS author, text, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]+["'')]*|[^.!?]+$'), lambda x: trim(x, E' \n\t\r')), lambda x: regexp_matches(x, '[^\s.!?"'')]')) AS s FROM documents WHERE source IS NOT NULL)"""
+WORKS_SQL = f"""{SENTENCES_SQL}, lo AS (SELECT doc_id, author, list_filter(s, lambda x: length(x) >= 24) AS s FROM sl),
+w AS (SELECT doc_id || ':' || generate_subscripts(s, 1) AS work_id, author, unnest(s) AS content FROM lo UNION ALL SELECT doc_id::VARCHAR, author, array_to_string(s, '') FROM lo)"""
+COVER = f"""WITH RECURSIVE {WORKS_SQL}, {cover_sql("w", "w", "c")} SELECT host AS parent_work_id, count(*) AS parts, true AS valid, max(pos) AS "end" FROM c_w GROUP BY host HAVING count(*) >= 2"""
 
 
-def suppressed_candidates(spark, d):
-    """Candidates of a host and its members: the collection goes where its hit overlaps a member's."""
-    edges = _works(spark, d).filter("work_id % 10 > 0").select((F.floor(F.col("work_id") / 10) * 10).cast("long").alias("parent_work_id"), F.col("work_id").alias("member_work_id"))
-    cand = _works(spark, d).select((F.floor(F.col("work_id") / 10)).alias("query_id"), "work_id", F.col("content").alias("text"), F.lit("").alias("current"))
-    cand = cand.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("work_id")))
-    aliases = edges.limit(0).select(F.lit(0).cast("long").alias("query_id"), F.col("member_work_id").alias("alias"))
-    return compose.composition_filter(cand, edges, aliases, "current", 8).select("query_id", "rank", "work_id")
+def normalised_cover(spark, d):
+    """Documents whose letters and digits are a concatenation of those of sentences of their author; documents that are one as they stand are left out."""
+    return compose.normalised_covers(_documents_as_hosts(spark, d)).groupBy("host").agg(F.count("*").alias("parts"), F.max("end").alias("end"))
+
 
+HOSTS_SQL = f"""{SENTENCES_SQL}, u AS (SELECT doc_id, author, generate_subscripts(s, 1) AS i, unnest(s) AS content FROM sl),
+w AS (SELECT arg_min(doc_id || ':' || i, (doc_id, i)) AS work_id, author, content FROM u GROUP BY author, content UNION ALL SELECT doc_id::VARCHAR, author, text FROM sl)"""
+NORMALISED = rf"""WITH RECURSIVE {HOSTS_SQL}, m AS (SELECT work_id, author, regexp_replace(nfc_normalize(content), '[^\p{{L}}\p{{N}}]', '', 'g') AS content FROM w), {cover_sql("m", "m", "c")}, {cover_sql("w", "w", "e")}
+SELECT host, count(*) AS parts, max(pos) AS "end" FROM c_w WHERE host NOT IN (SELECT host FROM e_w GROUP BY host HAVING count(*) >= 2) GROUP BY host HAVING count(*) >= 2"""
 
-SUPPRESSED = f"WITH {WORKS_SQL} SELECT work_id // 10 AS query_id, (work_id % 10)::INT AS rank, work_id FROM w WHERE work_id % 10 > 0"
+
+def partial_cover(spark, d):
+    """Documents of which sentences of their author cover eight tenths or more, walked from the left."""
+    return compose.greedy_cover(_documents_as_hosts(spark, d)).groupBy("host").agg(F.count("*").alias("parts"), F.first("coverage").alias("coverage"), F.sum(F.col("end") - F.col("start")).alias("covered"))
+
+
+PARTIAL = f"""WITH RECURSIVE {HOSTS_SQL}, p AS (SELECT author, work_id AS member, content AS piece, length(content) AS n, left(content, 12) AS k FROM w WHERE length(content) >= 24),
+h AS (SELECT author, work_id AS host, content, length(content) AS len FROM w WHERE length(content) >= 48), x AS (SELECT author, host, content, len, unnest(range(0, len - 11)) AS pos FROM h),
+o AS (SELECT host, len, pos, pos + n AS e FROM x JOIN p ON p.author = x.author AND p.k = substring(content, pos + 1, 12) AND substring(content, pos + 1, n) = piece WHERE n < len),
+b AS (SELECT host, len, pos, max(e) AS e FROM o GROUP BY ALL), nx AS (SELECT b.host, b.pos, b.e, b.len, n.pos AS then_pos FROM b ASOF LEFT JOIN b n ON b.host = n.host AND b.e <= n.pos),
+k AS (SELECT * FROM nx QUALIFY row_number() OVER (PARTITION BY host ORDER BY pos) = 1 UNION ALL SELECT n.* FROM k JOIN nx n ON n.host = k.host AND n.pos = k.then_pos)
+SELECT host, count(*) AS parts, round(sum(e - pos) / max(len), 4) AS coverage, sum(e - pos)::BIGINT AS covered FROM k GROUP BY host HAVING count(*) >= 2 AND sum(e - pos) / max(len) >= 0.8"""
+
+
+def containment_kinds(spark, d):
+    """Documents that hold a benchmark item, as it stands, by its letters, or within three edits: pairs by kind."""
+    items, docs = table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text")
+    met = compose.containing(docs, items, "doc_id", "item_id").join(docs, "doc_id").join(items.withColumnRenamed("text", "part"), "item_id")
+    return compose.containment(met.select(F.concat_ws(":", "doc_id", "item_id").alias("id"), "text", "part")).filter("kind <> 'none'").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def suppressed_candidates(spark, d):
+    """For each document its first sentence of 24 characters as the question, and as candidates the collection it is in and all its sentences:
+    the collection goes, as a candidate's hit or the question itself (an alias of its own work) is a member of it."""
+    w = _works(spark, d)
+    parent = F.split_part("work_id", F.lit(":"), F.lit(1))
+    edges = w.filter(F.col("work_id").contains(":")).select(parent.alias("parent_work_id"), F.col("work_id").alias("member_work_id"))
+    first = w.filter(F.col("work_id").endswith(":1")).select(parent.alias("query_id"), F.col("work_id").alias("alias"), F.col("content").alias("current"))
+    # The collection and the members that are not the question; by kind, then by number.
+    place = F.when(F.col("work_id").contains(":"), F.split_part("work_id", F.lit(":"), F.lit(2)).cast("int")).otherwise(F.lit(0))
+    cand = w.select(parent.alias("query_id"), "work_id", F.col("content").alias("text"), place.alias("place")).filter("place <> 1").join(first, "query_id")
+    cand = cand.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
+    return compose.composition_filter(cand.select("query_id", "rank", "work_id", "text", "current"), edges, first.select("query_id", "alias"), "current", 8).select("query_id", "rank", "work_id")
+
+
+SUPPRESSED = rf"""WITH {WORKS_SQL}, f AS (SELECT split_part(work_id, ':', 1) AS q, content AS cur FROM w WHERE ends_with(work_id, ':1')),
+c AS (SELECT q, work_id, content, cur, CASE WHEN contains(work_id, ':') THEN split_part(work_id, ':', 2)::INT ELSE 0 END AS place FROM w JOIN f ON q = split_part(work_id, ':', 1) WHERE NOT ends_with(work_id, ':1')),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY place) AS n FROM c), z AS (SELECT q, work_id, place, regexp_replace(content, '\s+', '', 'g') AS t, regexp_replace(cur, '\s+', '', 'g') AS u FROM r WHERE n <= 32),
+gone AS (SELECT q FROM z a WHERE place = 0 AND (contains(t, u) OR contains(u, t) OR EXISTS (SELECT 1 FROM z b WHERE b.q = a.q AND b.place > 0 AND contains(a.t, b.t))))
+SELECT q AS query_id, row_number() OVER (PARTITION BY q ORDER BY place)::INT AS rank, work_id FROM z WHERE NOT (place = 0 AND q IN (SELECT q FROM gone)) QUALIFY rank <= 8"""
 
 
 def html_blocks(spark, d):
@@ -86,6 +139,6 @@ def clusters(spark, d):
 
 
 QUERIES = {
-    "concat_cover": (concat_cover, COVER), "containment_kinds": (containment_kinds, None), "suppressed_candidates": (suppressed_candidates, SUPPRESSED), "html_blocks": (html_blocks, None),
+    "concat_cover": (concat_cover, COVER), "normalised_cover": (normalised_cover, NORMALISED), "partial_cover": (partial_cover, PARTIAL), "containment_kinds": (containment_kinds, None), "suppressed_candidates": (suppressed_candidates, SUPPRESSED), "html_blocks": (html_blocks, None),
     "block_sections": (block_sections, None), "ivf_recall": (ivf_recall, None), "clusters": (clusters, None),
 }
