@@ -66,12 +66,11 @@ def covers(works: DataFrame, min_piece: int = MIN_PIECE) -> DataFrame:
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         ends: dict[int, tuple[int, object]] = {}
         reached = {0}
-        for pos, at in group.sort_values(["pos", "member"]).groupby("pos"):
-            if pos in reached:
-                for end, member in zip(at["end"], at["member"], strict=True):
-                    if end not in reached:
-                        reached.add(end)
-                        ends[end] = (pos, member)
+        # By place, so a place is known to be reached before the works that begin there are seen.
+        for pos, member, end in sorted(zip(group["pos"], group["member"], group["end"], strict=True)):
+            if pos in reached and end not in reached:
+                reached.add(end)
+                ends[end] = (pos, member)
         out, p = [], int(group["len"].iloc[0])
         if p in ends:
             while p:
@@ -110,7 +109,7 @@ def greedy_cover(works: DataFrame, least: float = 0.8, min_piece: int = MIN_PIEC
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         at, out = 0, []
-        for pos, end, member in group.sort_values("pos")[["pos", "end", "member"]].itertuples(index=False):
+        for pos, end, member in sorted(zip(group["pos"], group["end"], group["member"], strict=True)):
             if pos >= at:
                 out.append((member, pos, end))
                 at = end
