@@ -1,31 +1,66 @@
 """Inverted index and BM25.
 
-The index is three tables: postings (term, doc, tf), lengths (doc, dl) and term
-statistics (term, df), and two numbers. A search filters the postings by the terms
+The index is postings (term, doc, length, tf), term statistics (term, df) and two
+numbers; it is stored by build() and save(), or made for one search. A search filters the postings by the terms
 of the questions before anything else, so what it shuffles is the questions' share of
 the index. Questions are a small stated set; they are broadcast after a count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.operators.ranking import top_k_per_group
 from inkwell.sources.tables import cut
 
 K1, B = 1.2, 0.75
+#: Folders of a stored index, by the hash of the term; within a file rows are sorted by term.
+BUCKETS = 64
 #: Distinct (question, term) rows that are broadcast; larger sets are joined by shuffle.
 MAX_BROADCAST = 200_000
 
 
-def postings(docs: DataFrame, key: str, terms: Column) -> DataFrame:
-    """key, term, tf. Term counts of one document are made before any shuffle but the one by (key, term)."""
-    return docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+@dataclass
+class Index:
+    key: str
+    postings: DataFrame  # term, key, dl, tf, bucket
+    terms: DataFrame  # term, df, bucket
+    totals: DataFrame  # n, avgdl: one row
+
+    def save(self, path: str) -> None:
+        """Three tables; there must be none at `path`."""
+        for name, df in (("postings", self.postings), ("terms", self.terms)):
+            df.repartition(BUCKETS, "bucket", F.xxhash64("term")).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/{name}")
+        self.totals.withColumn("key", F.lit(self.key)).coalesce(1).write.parquet(f"{path}/totals")
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def build(docs: DataFrame, key: str, terms: Column) -> Index:
+    """The index of all texts, which are cut into terms for the postings and for the totals."""
+    sized = docs.select(key, terms.alias("terms")).withColumn("dl", F.size("terms").cast("long"))
+    postings = sized.select(key, "dl", F.explode("terms").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf")).withColumn("bucket", _bucket())
+    return Index(key, postings, postings.groupBy("term", "bucket").agg(F.count("*").alias("df")), sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
-def lengths(docs: DataFrame, key: str, terms: Column) -> DataFrame:
-    return docs.select(key, F.size(terms).cast("long").alias("dl"))
+def load(spark: SparkSession, path: str) -> Index:
+    totals = spark.read.parquet(f"{path}/totals")
+    return Index(totals.first()["key"], spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), totals.drop("key"))
+
+
+def search(index: Index, questions: DataFrame, question_terms: Column, k: int, flavour: str = "plain", question: str = "query_id", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """question, key, score, rank. Of a stored index the folders and row groups of the asked terms are read, and no text."""
+    asked = questions.select(question, F.explode(F.array_distinct(question_terms)).alias("term"))
+    hint = F.broadcast if asked.limit(max_broadcast + 1).count() <= max_broadcast else lambda df: df
+    wanted = hint(asked.select("term").distinct().withColumn("bucket", _bucket()))
+    found = index.postings.join(wanted, ["bucket", "term"], "left_semi")
+    df = index.terms.join(wanted, ["bucket", "term"], "left_semi").select("term", "df")
+    return best_scored(_scored(found, df, index.totals, asked, hint, index.key, (flavour,), question), index.key, flavour, k, question)
 
 
 def idf(flavour: str, n: Column, df: Column) -> Column:
@@ -45,6 +80,10 @@ def bm25_scores(docs: DataFrame, questions: DataFrame, key: str, doc_terms: Colu
     total = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     found = cut(sized.select(key, "dl", F.explode("terms").alias("term")).join(hint(wanted), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf")))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
+    return _scored(found, df, total, asked, hint, key, flavours, question)
+
+
+def _scored(found: DataFrame, df: DataFrame, total: DataFrame, asked: DataFrame, hint, key: str, flavours: tuple[str, ...], question: str) -> DataFrame:
     # df has a row for each asked term, `total` one row.
     weight = hint(df).crossJoin(F.broadcast(total)).select("term", *[idf(f, F.col("n"), F.col("df")).alias(f"idf_{f}") for f in flavours], "avgdl")
     part = lambda f: F.col(f"idf_{f}") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.sources.tables import cut
+
 RRF_K = 60
 
 
@@ -47,3 +49,25 @@ def evenly_spaced(size: int, n: int) -> list[int]:
     if n <= 0 or size <= 0:
         return []
     return sorted({i * (n - 1) // max(1, size - 1) for i in range(size)}) if size > 1 else [0]
+
+
+def placed(df: DataFrame, order: list[Column], place: str = "place") -> DataFrame:
+    """df with each row's place in an order, from 0. Rows are sorted over all tasks and written with their number within the
+    task; the one window that is not partitioned sees a row for each task."""
+    at = cut(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    task, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    ahead = F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    starts = at.groupBy(task.alias("_task")).agg(F.count("*").alias("_n")).select("_task", F.coalesce(ahead, F.lit(0)).alias("_start"))
+    return at.withColumn("_task", task).join(F.broadcast(starts), "_task").withColumn(place, F.col("_start") + inside).select(*df.columns, place)
+
+
+def reranked(hits: DataFrame, query: list[str], score: str, rank: str = "rank", work: str = "work_id") -> DataFrame:
+    """hits with final_rank and `reranked`: by falling score where every score of the list is finite, else the ranks that were there.
+
+    A list with a missing, NaN or infinite score is one whose scorer failed: none of it moves. Ties keep the earlier rank.
+    """
+    whole = Window.partitionBy(*query)
+    fine = F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))
+    out = hits.withColumn("reranked", F.min(F.coalesce(fine, F.lit(False))).over(whole))
+    order = F.when(F.col("reranked"), -F.col(score)).otherwise(0.0)
+    return out.withColumn("final_rank", F.row_number().over(whole.orderBy(order, rank, work)))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from inkwell.operators.ranking import top_k_per_group
+from inkwell.operators.ranking import placed, top_k_per_group
 from inkwell.sources.tables import table
 from inkwell.streaming.quota import daily_quota, rate_limited
 
@@ -49,8 +49,7 @@ def daily_pick(spark, d):
     parts = table(spark, d, "part").select("p_partkey")
     n = parts.count()
     place = (F.conv(F.substring(F.sha2("day", 256), 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(n).cast("decimal(20,0)")).cast("long")
-    placed = parts.select("p_partkey", (F.row_number().over(Window.orderBy("p_partkey")) - 1).cast("long").alias("place"))  # keys only
-    return days.withColumn("place", place).join(placed, "place").select("day", "place", "p_partkey")
+    return days.withColumn("place", place).join(placed(parts, [F.col("p_partkey")]), "place").select("day", "place", "p_partkey")
 
 
 DAILY_PICK = """WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part), dd AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events)
@@ -345,6 +344,14 @@ def rate_limit(spark, d):
     return out.groupBy("accepted").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+#: Requests of a client one after the other, with the times of the last two that were accepted.
+RATE_LIMIT = """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT event_id, user_id, i, true AS accepted, ts AS last, NULL::TIMESTAMP AS before FROM e WHERE i = 1
+UNION ALL SELECT e.event_id, e.user_id, e.i, r.before IS NULL OR r.before < e.ts - INTERVAL 6 HOUR, CASE WHEN r.before IS NULL OR r.before < e.ts - INTERVAL 6 HOUR THEN e.ts ELSE r.last END,
+ CASE WHEN r.before IS NULL OR r.before < e.ts - INTERVAL 6 HOUR THEN r.last ELSE r.before END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT accepted, count(*) AS n, sum(event_id)::BIGINT AS ids FROM r GROUP BY 1"""
+
+
 def sessions(spark, d):
     """Sessions of users with gaps of two hours."""
     e = table(spark, d, "events")
@@ -381,5 +388,5 @@ QUERIES = {
     "structure_matrix": (structure_matrix, STRUCTURE), "conflicting_labels": (conflicting_labels, CONFLICTS), "balanced_sample": (balanced_sample, BALANCED), "stratified_sample": (stratified_sample, STRATIFIED),
     "carry_forward": (carry_forward, CARRY), "running_offsets": (running_offsets, OFFSETS), "history_window": (history_window, HISTORY), "turn_validation": (turn_validation, TURNS), "event_props": (event_props, PROPS),
     "nested_caps": (nested_caps, NESTED), "manifest_mismatch": (manifest_mismatch, MANIFEST), "presence_and_entries": (presence_and_entries, PRESENCE), "latency_summary": (latency_summary, LATENCY),
-    "quota_by_day": (quota_by_day, QUOTA), "rate_limit": (rate_limit, None), "sessions": (sessions, SESSIONS), "concurrency": (concurrency, CONCURRENCY), "ext_rollup": (ext_rollup, ROLLUP),
+    "quota_by_day": (quota_by_day, QUOTA), "rate_limit": (rate_limit, RATE_LIMIT), "sessions": (sessions, SESSIONS), "concurrency": (concurrency, CONCURRENCY), "ext_rollup": (ext_rollup, ROLLUP),
 }

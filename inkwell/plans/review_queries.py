@@ -57,6 +57,16 @@ def client_keys(spark, d):
     return e.groupBy("day").agg(F.countDistinct(hashing.hmac_sha256(b"inkwell", F.concat_ws(":", "day", "u"))).alias("clients"), F.min(hashing.hmac_sha256(b"inkwell", F.concat_ws(":", "day", "u"))).alias("least"))
 
 
+def _padded(x: int) -> str:
+    """The key of client_keys, filled with zeros to 64 bytes, each byte crossed with x; in hex."""
+    return bytes(b ^ x for b in b"inkwell".ljust(64, b"\0")).hex()
+
+
+CLIENT_KEYS = f"""WITH e AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, user_id FROM events),
+k AS (SELECT day, sha256(unhex('{_padded(0x5C)}') || unhex(sha256(unhex('{_padded(0x36)}') || encode(day || ':' || user_id)))) AS key FROM e)
+SELECT day, count(DISTINCT key) AS clients, min(key) AS least FROM k GROUP BY day"""
+
+
 def alias_closure(spark, d):
     """Parts as aliases of the part of a third of their number, resolved to the end of the chain, with its length."""
     pairs = table(spark, d, "part").filter("p_partkey % 3 = 0 AND p_partkey > 0").select(F.col("p_partkey").alias("name"), (F.col("p_partkey") / 3).cast("long").alias("alias_of"))
@@ -126,7 +136,7 @@ def normalised_terms(spark, d):
 NORMALISED = "SELECT lang, count(*) AS tokens, count(DISTINCT w) AS terms FROM (SELECT lang, unnest(regexp_extract_all(lower(nfc_normalize(text)), '[a-z0-9]+')) AS w FROM documents) GROUP BY lang"
 
 QUERIES = {
-    "lexicon_lookup": (lexicon_lookup, LEXICON), "client_keys": (client_keys, None), "alias_closure": (alias_closure, ALIASES), "referenced_pages": (referenced_pages, REFERENCED), "stanza_groups": (stanza_groups, STANZAS),
+    "lexicon_lookup": (lexicon_lookup, LEXICON), "client_keys": (client_keys, CLIENT_KEYS), "alias_closure": (alias_closure, ALIASES), "referenced_pages": (referenced_pages, REFERENCED), "stanza_groups": (stanza_groups, STANZAS),
     "tool_trace": (tool_trace, TRACE), "ancestor_paths": (ancestor_paths, ANCESTORS), "normalised_terms": (normalised_terms, NORMALISED),
     # A reranker's order where it has one, else the baseline's; ranks made contiguous.
     "rerank_fallback": sql("SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_acctbal > 0 THEN 0 ELSE 1 END, CASE WHEN c_acctbal > 0 THEN -c_acctbal ELSE CAST(c_custkey AS DOUBLE) END, c_custkey) AS INT) AS final_rank FROM customer"),

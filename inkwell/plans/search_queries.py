@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.functions import vector as V
 from inkwell.operators import chronology as C
 from inkwell.operators.lexical import best_scored, bm25, bm25_scores
-from inkwell.operators.ranking import evidence, evenly_spaced, first_per_work, renumbered, rrf, top_k_per_group
+from inkwell.operators.ranking import evidence, evenly_spaced, first_per_work, placed, renumbered, rrf, top_k_per_group
 from inkwell.operators.vectors import exact_top_k
 from inkwell.sources.tables import cut, table
 
@@ -113,8 +113,7 @@ def even_sample(spark, d):
     """Vectors at evenly spaced places of the order of ids."""
     e = table(spark, d, "embeddings")
     places = evenly_spaced(50, e.count())
-    numbered = e.select("vec_id", (F.row_number().over(Window.orderBy("vec_id")) - 1).alias("place"))  # ids only
-    return numbered.filter(F.col("place").isin(places)).select("vec_id", F.col("place").cast("long").alias("place"))
+    return placed(e.select("vec_id"), [F.col("vec_id")]).filter(F.col("place").isin(places))
 
 
 EVEN_SAMPLE = """WITH n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings)
