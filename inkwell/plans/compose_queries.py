@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +124,18 @@ def block_sections(spark, d):
     return b.select("page_id", "ordinal", "tag", F.last(F.when(F.col("tag").startswith("h"), F.col("text")), ignorenulls=True).over(w).alias("heading"), F.lag("tag").over(w).alias("before"), F.lead("tag").over(w).alias("after"))
 
 
+# A block ends at its own closing tag or where the next one begins. The named characters of the tables' pages.
+NAMED = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+PLAIN_SQL = reduce(lambda t, n: f"replace({t}, '{n[0]}', '{n[1]}')", NAMED, "t")
+BLOCKS_SQL = r"""x AS (SELECT page_id, string_split(regexp_replace(regexp_replace(html, '(?s)<(?:script|style|nav)\b.*?</(?:script|style|nav)>|<!--.*?-->', '', 'g'), '<(h[1-6]|p|li|td)(?:\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS l FROM pages),
+y AS (SELECT page_id, string_split(unnest(l[2:]), chr(2)) AS m, generate_subscripts(l[2:], 1) AS i FROM x), z AS (SELECT page_id, i, m[1] AS tag, regexp_replace(string_split(m[2], '</' || m[1] || '>')[1], '<[^>]*>', '', 'g') AS t FROM y),
+u AS (SELECT page_id, i, tag, trim(regexp_replace(@plain, '\s+', ' ', 'g')) AS text FROM z),
+b AS (SELECT page_id, tag, text, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS ordinal FROM u WHERE text <> '')""".replace("@plain", PLAIN_SQL)
+HTML_BLOCKS = f"WITH {BLOCKS_SQL} SELECT page_id, count(*) AS n, count(*) FILTER (tag = 'p') AS paragraphs, count(*) FILTER (starts_with(tag, 'h')) AS headings, sum(length(text))::BIGINT AS chars FROM b GROUP BY page_id"
+BLOCK_SECTIONS = f"""WITH {BLOCKS_SQL} SELECT page_id, ordinal, tag, last_value(CASE WHEN starts_with(tag, 'h') THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS heading,
+lag(tag) OVER w AS before, lead(tag) OVER w AS after FROM b WINDOW w AS (PARTITION BY page_id ORDER BY ordinal)"""
+
+
 def ivf_recall(spark, d):
     """Recall at 20 of the inverted lists against the exact scan, over the vectors whose ids are divisible by 20."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("grp"), F.col("embedding").cast("array<double>").alias("v"))
@@ -139,6 +153,6 @@ def clusters(spark, d):
 
 
 QUERIES = {
-    "concat_cover": (concat_cover, COVER), "normalised_cover": (normalised_cover, NORMALISED), "partial_cover": (partial_cover, PARTIAL), "containment_kinds": (containment_kinds, None), "suppressed_candidates": (suppressed_candidates, SUPPRESSED), "html_blocks": (html_blocks, None),
-    "block_sections": (block_sections, None), "ivf_recall": (ivf_recall, None), "clusters": (clusters, None),
+    "concat_cover": (concat_cover, COVER), "normalised_cover": (normalised_cover, NORMALISED), "partial_cover": (partial_cover, PARTIAL), "containment_kinds": (containment_kinds, None), "suppressed_candidates": (suppressed_candidates, SUPPRESSED), "html_blocks": (html_blocks, HTML_BLOCKS),
+    "block_sections": (block_sections, BLOCK_SECTIONS), "ivf_recall": (ivf_recall, None), "clusters": (clusters, None),
 }

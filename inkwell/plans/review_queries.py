@@ -138,8 +138,6 @@ NORMALISED = "SELECT lang, count(*) AS tokens, count(DISTINCT w) AS terms FROM (
 QUERIES = {
     "lexicon_lookup": (lexicon_lookup, LEXICON), "client_keys": (client_keys, CLIENT_KEYS), "alias_closure": (alias_closure, ALIASES), "referenced_pages": (referenced_pages, REFERENCED), "stanza_groups": (stanza_groups, STANZAS),
     "tool_trace": (tool_trace, TRACE), "ancestor_paths": (ancestor_paths, ANCESTORS), "normalised_terms": (normalised_terms, NORMALISED),
-    # A reranker's order where it has one, else the baseline's; ranks made contiguous.
-    "rerank_fallback": sql("SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_acctbal > 0 THEN 0 ELSE 1 END, CASE WHEN c_acctbal > 0 THEN -c_acctbal ELSE CAST(c_custkey AS DOUBLE) END, c_custkey) AS INT) AS final_rank FROM customer"),
     # Which lists lack a wanted item, and the best rank of it elsewhere.
     "list_diagnostics": sql("WITH r AS (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rnk FROM lineitem), t AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS lists, min(rnk) AS best FROM r WHERE rnk <= 20 GROUP BY l_partkey) SELECT p_partkey, coalesce(lists, 0) AS lists, CAST(best AS BIGINT) AS best FROM part LEFT JOIN t ON l_partkey = p_partkey"),
     # Manifest against records: identities on one side only, and fields that differ.
