@@ -21,6 +21,7 @@ texts are read whole; other columns are not read; an empty table gives an empty
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from itertools import permutations
 
@@ -112,11 +113,8 @@ def masks(docs: DataFrame, labels: DataFrame, first: int = FIRST, bits: int = 64
 def orders(counts: DataFrame) -> DataFrame:
     """counts by part and mask -> a row for each part, order of the filters and step."""
     per = counts.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("m"))  # 32 at most
-    every = F.array(*[F.lit("".join(p)) for p in permutations(LETTERS)])
-    rows = per.select("part", "m", F.explode(every).alias("filter_order")).select("*", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("step"))
-    bit_at = lambda i: F.pow(F.lit(2), F.instr(F.lit(LETTERS), F.substring(F.col("filter_order"), i, F.lit(1))) - 1).cast("int")
-    before = F.aggregate(F.filter(F.sequence(F.lit(1), F.lit(5)), lambda i: i < F.col("step")), F.lit(0), lambda a, i: a + bit_at(i))
-    rows = rows.withColumn("bit", bit_at(F.col("step"))).withColumn("before", before)
+    steps = [{"filter_order": "".join(p), "step": i + 1, "bit": 1 << LETTERS.index(c), "before": sum(1 << LETTERS.index(x) for x in p[:i])} for p in permutations(LETTERS) for i, c in enumerate(p)]
+    rows = per.select("part", "m", F.inline(F.from_json(F.lit(json.dumps(steps)), "array<struct<filter_order: string, step: int, bit: int, before: int>>")))
     fails = lambda x: x["mask"].bitwiseAND(F.col("bit")) != 0
     gone = lambda x: x["mask"].bitwiseAND(F.col("before")) != 0
     total = lambda test, of="n", times=None: F.aggregate(F.filter("m", test), F.lit(0).cast("long"), lambda a, x: a + x[of] * (times(x) if times else F.lit(1)))
