@@ -16,7 +16,7 @@ Relations between sets are used twice:
   a link possible and the two are not connected yet.
 * In the index. A list's sets are kept in blocks of one star and one size with their least position. What a pair can share is bounded by
   what is left of both sets from that position on, so blocks whose sizes or positions rule a link out are skipped
-  whole, and lists of one component are not opened again.
+  whole, and lists of one component are not opened again. The number of lists in which two stars meet bounds what their members share, too.
 
 Every link between different sets is thus found, derived, refuted by a bound, or within one component, whose
 pairs need not be told apart. Verification is on whole shingle sets.
@@ -49,7 +49,7 @@ BOTH = 100 + THRESHOLD
 #: Shingles that count as common at most, and the occurrences from which one may.
 COMMON, LEAST = 1 << 20, 256
 #: Shingles of a task that are counted at once; those of fewer than LOCAL occurrences among them are not told.
-CHUNK, LOCAL = 1 << 22, 4
+CHUNK, LOCAL = 1 << 21, 4
 #: Classes whose ids are broadcast to find their texts; more are met by a shuffle.
 MAX_BROADCAST = 1_000_000
 #: Blocks of a list that a task compares with the others; pairs of one set that are given its shingles in one task.
@@ -202,8 +202,14 @@ def star_pairs(index: DataFrame, place: DataFrame) -> DataFrame:
     x = rest.select("token", "band", F.pmod(F.xxhash64("a", "n"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"{c}_x") for c in ("a", "component", "n", "pos")])
     y = rest.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "parts", *[F.col(c).alias(f"{c}_y") for c in ("a", "component", "n", "pos")]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     n, m = F.col("n_x"), F.col("n_y")
-    met = x.join(y, ["token", "band", "part"]).filter((F.col("a_x") < F.col("a_y")) & (F.col("component_x") != F.col("component_y")) & _may(n, m, F.least(n - F.col("pos_x"), m - F.col("pos_y"))))
-    return written(met.select(F.col("a_x").alias("a"), F.col("a_y").alias("b")).distinct())
+    met = x.join(y, ["token", "band", "part"]).filter((F.col("a_x") < F.col("a_y")) & (F.col("component_x") != F.col("component_y")) & _may(n, m, F.least(n, m)))
+    # Beyond its prefix a set has 85 % of its shingles at most. The prefix that ends first in the order holds all that is shared up
+    # there, so the lists in which two sets meet and the rest of the larger one bound what they share.
+    rest_of = lambda c: F.floor((c * THRESHOLD + 99) / 100) - 1
+    need = F.ceil((n + m) * THRESHOLD / BOTH - 1e-9) - F.greatest(rest_of(n), rest_of(m))
+    open_here = F.when(_may(n, m, F.least(n - F.col("pos_x"), m - F.col("pos_y"))), need)
+    met = met.groupBy(F.col("a_x").alias("a"), F.col("a_y").alias("b")).agg(F.count("*").alias("k"), F.min(open_here).alias("need"))
+    return written(met.filter("k >= need").select("a", "b"))
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:

@@ -63,21 +63,14 @@ def groups(seed):
     return out + [(i + 1000, t) for i, t in out[:20]] + [(5, "another text under the same id as before and so one vertex"), (7, docs and " ".join(docs[30])), (None, out[0][1])]
 
 
-@pytest.mark.parametrize(("seed", "least", "block"), [(1, 256, 512), (2, 4, 512), (3, 8, 3)])
-def test_against_all_pairs(spark, monkeypatch, seed, least, block):
-    monkeypatch.setattr(S, "LEAST", least)
-    monkeypatch.setattr(S, "BLOCK", block)
-    monkeypatch.setattr(S, "DEALT", block)
+@pytest.mark.parametrize(("seed", "least", "block", "broadcast"), [(1, 256, 512, 10**6), (2, 4, 512, 0), (3, 8, 3, 10**6)])
+def test_against_all_pairs(spark, monkeypatch, seed, least, block, broadcast):
+    for name, value in (("LEAST", least), ("BLOCK", block), ("DEALT", block), ("MAX_BROADCAST", broadcast)):
+        monkeypatch.setattr(S, name, value)
     docs = groups(seed)
     assert run(spark, docs) == plain(docs)
 
 
-def test_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(S, "MAX_BROADCAST", 0)
-    docs = groups(4)[:120]
-    assert run(spark, docs) == plain(docs)
-
-
 def test_prefix():
     import numpy as np
 
