@@ -97,15 +97,14 @@ def prefix(n: np.ndarray) -> np.ndarray:
 
 
 def postings(docs: DataFrame, told, of_common: bool) -> DataFrame:
-    """token, c, n, pos: the prefixes' shingles, either common or others; docs: text, c (only texts whose digest is c count)."""
+    """token, c, n, pos: the prefixes' shingles, either common or others; equal sets of a slice are folded, c is their digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = told.value
         for batch in batches:
-            c = batch.column("c").to_numpy()
             for a, b, buf, offs in _slices(batch.column("text")):
                 grams, at = sets(buf, offs, WORDS)
-                n = np.diff(at)
+                n, c = np.diff(at), _digest(grams, at)[0]
                 row = np.repeat(np.arange(b - a), n)
                 key = grams.copy()
                 is_hot = np.zeros(len(grams), bool)
@@ -115,11 +114,12 @@ def postings(docs: DataFrame, told, of_common: bool) -> DataFrame:
                     key[is_hot] = K.U64(1 << 48) + rank[i[is_hot]]
                 by = np.argsort((row.astype(K.U64) << K.U64(49)) | key)  # rows are fewer than 2^13
                 pos = np.arange(len(by)) - np.repeat(at[:-1], n)
-                mine = c[a:b] == _digest(grams, at)[0]
+                mine = np.zeros(b - a, bool)
+                mine[np.unique(c, return_index=True)[1]] = True
                 take = (pos < np.repeat(prefix(n), n)) & (is_hot[by] == of_common) & mine[row]
-                yield pa.record_batch([pa.array(grams[by[take]].astype(np.int64)), pa.array(c[a:b][row[take]]), pa.array(n[row[take]].astype(np.int32)), pa.array(pos[take].astype(np.int32))], ["token", "c", "n", "pos"])
+                yield pa.record_batch([pa.array(grams[by[take]].astype(np.int64)), pa.array(c[row[take]]), pa.array(n[row[take]].astype(np.int32)), pa.array(pos[take].astype(np.int32))], ["token", "c", "n", "pos"])
 
-    return in_arrow(docs.select("text", "c"), run, "token long, c long, n int, pos int")
+    return in_arrow(docs.select("text"), run, "token long, c long, n int, pos int")
 
 
 def _shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,7 @@ def given(pairs: DataFrame, key: str, docs: DataFrame, classes: DataFrame, out:
     counts = written(pairs.groupBy(key).agg(F.ceil(F.count("*") / DEALT).cast("int").alias("_parts")))
     wanted = classes.join(counts, classes["c"] == counts[key]).select("rep", "c", F.struct("_parts").alias("extra"))
     full = sets_of(docs, wanted).select(F.col("c").alias(key), F.explode(F.sequence(F.lit(0), F.col("extra._parts") - 1)).alias("_part"), F.col("grams").alias(out))
-    dealt = joined(pairs, counts, [key]).withColumn("_part", F.pmod(F.xxhash64(*pairs.columns), F.col("_parts")).cast("int")).drop("_parts")
+    dealt = pairs.join(counts, key).withColumn("_part", F.pmod(F.xxhash64(*pairs.columns), F.col("_parts")).cast("int")).drop("_parts")
     return dealt.join(full, [key, "_part"]).drop("_part")
 
 
@@ -180,11 +180,11 @@ def stars(index: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     met = index.filter((h["c"] != F.col("c")) & _may(F.col("n"), h["n"], F.least(F.col("n") - F.col("pos"), h["n"] - h["pos"])))
     best = met.groupBy("c", h["c"].alias("a")).agg(F.count("*").alias("k")).groupBy("c").agg(F.max(F.struct("k", F.col("a"))).alias("best")).select(F.col("best.a").alias("a"), F.col("c").alias("y"))
     own = classes.select("c", "n", *[F.col("odd")[i].alias(f"o{i}") for i in range(ODD // 64)])
-    best = joined(written(best), own.toDF(*["a", "n_a", *[f"x{i}" for i in range(ODD // 64)]]), ["a"]).join(own.toDF(*["y", "n", *[f"y{i}" for i in range(ODD // 64)]]), "y")
+    best = best.join(own.toDF(*["a", "n_a", *[f"x{i}" for i in range(ODD // 64)]]), "a").join(own.toDF(*["y", "n", *[f"y{i}" for i in range(ODD // 64)]]), "y")
     near = written(best.filter(_may(F.col("n"), F.col("n_a"), _shared([(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(ODD // 64)], F.col("n"), F.col("n_a")))).select("a", "y", "n", "n_a"))
     # A star's members meet its centre in tasks of DEALT; each set is read and sent once.
     parts = written(near.groupBy("a").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("_parts")))
-    dealt = joined(near, parts, ["a"]).withColumn("_part", F.pmod(F.xxhash64("y"), F.col("_parts")).cast("int"))
+    dealt = near.join(parts, "a").withColumn("_part", F.pmod(F.xxhash64("y"), F.col("_parts")).cast("int"))
     rep = classes.select("rep", "c")
     members = sets_of(docs, dealt.withColumnRenamed("y", "c").join(rep, "c").select("rep", "c", F.struct("a", "_part", "n", "n_a").alias("extra"))).select("extra.*", F.col("c").alias("y"), F.col("grams").alias("mine"))
     centres = sets_of(docs, parts.withColumnRenamed("a", "c").join(rep, "c").select("rep", "c", F.struct("_parts").alias("extra"))).select(F.col("c").alias("a"), F.explode(F.sequence(F.lit(0), F.col("extra._parts") - 1)).alias("_part"), F.col("grams").alias("other"))
@@ -215,7 +215,7 @@ def star_pairs(index: DataFrame, place: DataFrame) -> DataFrame:
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """pairs whose stars a and b are not connected yet."""
     side = lambda k: found.select(F.col("v").alias(k), F.col("component").alias(f"_{k}"))
-    told = joined(joined(pairs, side("a"), ["a"], "left"), side("b"), ["b"], "left")
+    told = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
     return told.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select(pairs.columns)
 
 
@@ -229,7 +229,7 @@ def derived(pairs: DataFrame, members: DataFrame, docs: DataFrame, classes: Data
     cells = [F.col("odd")[i].alias(f"o{i}") for i in range(ODD // 64)]
     own = classes.join(most, classes["c"] == most["a"]).select("a", "n", "most", *cells)
     side = lambda k: own.toDF(k, f"n_{k}", f"most_{k}", *[f"{k}{i}" for i in range(ODD // 64)])
-    near = joined(joined(pairs, side("a"), ["a"]), side("b"), ["b"])
+    near = pairs.join(side("a"), "a").join(side("b"), "b")
     ub = _shared([(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(ODD // 64)], F.col("n_a"), F.col("n_b"))
     near = written(near.filter(ub * BOTH + F.col("most_a") + F.col("most_b") >= 0).select("a", "b", "most_a", "most_b"))
     if not near.limit(1).count():
@@ -241,7 +241,7 @@ def derived(pairs: DataFrame, members: DataFrame, docs: DataFrame, classes: Data
     one = given(written(one), "b", docs, classes, "y").withColumn("o", F.col("o") + F.size(F.array_intersect("added", "y")) - F.size(F.array_intersect("removed", "y")))
     one = written(one.select("a", "b", "v", "n", "o", "most_b").filter(F.col("o") * BOTH - F.col("n") * THRESHOLD + F.col("most_b") >= 0).distinct())
     size = classes.select(F.col("c").alias("b"), F.col("n").alias("n_b"))
-    linked = written(joined(one, size, ["b"]).filter(_may(F.col("n"), F.col("n_b"), F.col("o"))).select(F.col("v").alias("a"), "b"))
+    linked = written(one.join(size, "b").filter(_may(F.col("n"), F.col("n_b"), F.col("o"))).select(F.col("v").alias("a"), "b"))
     links = links.unionByName(linked)
     if linked.limit(1).count():
         found = components(links)
@@ -267,7 +267,7 @@ def link(docs: DataFrame) -> DataFrame:
     total = classes.agg(F.sum("n")).first()[0] or 0
     hot = common(docs, total)
     told = docs.sparkSession.sparkContext.broadcast(hot)
-    index = lists(texts_of(docs, classes.select("rep", "c")), told, len(hot[0]) > 0)
+    index = lists(docs.filter("doc_id IS NOT NULL"), told, len(hot[0]) > 0)
     members = stars(index, docs, classes)
     links = links.unionByName(members.select("a", F.col("y").alias("b")))
     found = components(links)
