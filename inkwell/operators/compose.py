@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.functions.edits import substring_edits
 from inkwell.functions.hashing import nfkc
 from inkwell.functions.text import letters_only, same_hit
 from inkwell.operators.ranking import renumbered
@@ -145,18 +146,6 @@ def validated_edges(edges: DataFrame, works: DataFrame) -> DataFrame:
     return met.select("parent_work_id", "member_work_id", "member_order", "start", "end", ok.alias("valid"))
 
 
-def min_substring_edits(text: str, pattern: str, most: int) -> int | None:
-    """Least edits that turn `pattern` into some substring of `text`, if `most` at most."""
-    column = list(range(len(pattern) + 1))
-    best = column[-1]
-    for c in text:
-        diagonal, column[0] = column[0], 0
-        for i, p in enumerate(pattern, 1):
-            diagonal, column[i] = column[i], min(column[i] + 1, column[i - 1] + 1, diagonal + (c != p))
-        best = min(best, column[-1])
-    return best if best <= most else None
-
-
 def containing(docs: DataFrame, items: DataFrame, key: str, item: str, most: int = 3) -> DataFrame:
     """key, item: pairs whose text may hold the item's with `most` edits or fewer. The item's letters are split into most + 1 segments;
     an item within the edits leaves one of them whole, so every such pair, and every exact or normalised one, shares a segment.
@@ -190,7 +179,8 @@ def containment(pairs: DataFrame, most: int = 3) -> DataFrame:
 
     def near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"id": part["id"], "kind": ["none" if min_substring_edits(a, b, most) is None else "near" for a, b in zip(part["_t"], part["_p"], strict=True)]})
+            edits = substring_edits(part["_t"].tolist(), part["_p"].tolist())
+            yield pd.DataFrame({"id": part["id"], "kind": ["near" if e <= most else "none" for e in edits]})
 
     kind = dict(pairs.dtypes)["id"]
     return t.filter("kind IS NOT NULL").select("id", "kind").unionByName(t.filter("kind IS NULL").select("id", "_t", "_p").mapInPandas(near, f"id {kind}, kind string"))

@@ -91,6 +91,16 @@ def containment_kinds(spark, d):
     return compose.containment(met.select(F.concat_ws(":", "doc_id", "item_id").alias("id"), "text", "part")).filter("kind <> 'none'").groupBy("kind").agg(F.count("*").alias("n"))
 
 
+# Near: a segment of an item (four, each of a quarter of its letters) stands in the text; around it, the least distance of the item to the substrings that begin and end within three letters of its place.
+KINDS = r"""WITH d AS MATERIALIZED (SELECT doc_id, text, regexp_replace(text, '[^\p{L}\p{N}]', '', 'g') AS t FROM documents), i AS MATERIALIZED (SELECT item_id, text AS part, regexp_replace(text, '[^\p{L}\p{N}]', '', 'g') AS p FROM benchmark),
+c AS (SELECT doc_id, item_id, t, p, CASE WHEN length(part) >= 24 AND contains(text, part) THEN 'exact' WHEN length(p) >= 24 AND contains(t, p) THEN 'normalized' WHEN length(p) >= 40 THEN 'open' ELSE 'none' END AS kind FROM d, i WHERE p <> ''),
+s AS (SELECT doc_id, item_id, t, p, unnest([0, 1, 2, 3]) AS k FROM c WHERE kind = 'open'), q AS (SELECT *, length(p) * k // 4 AS off, substr(p, length(p) * k // 4 + 1, length(p) * (k + 1) // 4 - length(p) * k // 4) AS seg FROM s),
+o AS (SELECT *, string_split(t, seg) AS l FROM q WHERE contains(t, seg)), u AS (SELECT *, unnest(range(1, len(l))) AS n FROM o), w AS (SELECT doc_id, item_id, t, p, list_sum(list_transform(l[1:n], lambda x: length(x))) + (n - 1) * length(seg) - off AS place FROM u),
+g AS (SELECT doc_id, item_id, t, p, place + unnest(range(-3, 4)) AS b FROM w), h AS (SELECT *, length(p) + unnest(range(-3, 4)) AS m FROM g WHERE b >= 0),
+near AS (SELECT DISTINCT doc_id, item_id FROM h WHERE levenshtein(substr(t, b::BIGINT + 1, m::BIGINT), p) <= 3)
+SELECT kind, count(*) AS n FROM (SELECT kind FROM c WHERE kind IN ('exact', 'normalized') UNION ALL SELECT 'near' FROM near) GROUP BY kind"""
+
+
 def suppressed_candidates(spark, d):
     """For each document its first sentence of 24 characters as the question, and as candidates the collection it is in and all its sentences:
     the collection goes, as a candidate's hit or the question itself (an alias of its own work) is a member of it."""
@@ -153,6 +163,6 @@ def clusters(spark, d):
 
 
 QUERIES = {
-    "concat_cover": (concat_cover, COVER), "normalised_cover": (normalised_cover, NORMALISED), "partial_cover": (partial_cover, PARTIAL), "containment_kinds": (containment_kinds, None), "suppressed_candidates": (suppressed_candidates, SUPPRESSED), "html_blocks": (html_blocks, HTML_BLOCKS),
+    "concat_cover": (concat_cover, COVER), "normalised_cover": (normalised_cover, NORMALISED), "partial_cover": (partial_cover, PARTIAL), "containment_kinds": (containment_kinds, KINDS), "suppressed_candidates": (suppressed_candidates, SUPPRESSED), "html_blocks": (html_blocks, HTML_BLOCKS),
     "block_sections": (block_sections, BLOCK_SECTIONS), "ivf_recall": (ivf_recall, None), "clusters": (clusters, None),
 }

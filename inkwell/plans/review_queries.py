@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from inkwell.functions import hashing
 from inkwell.functions import text as T
 from inkwell.operators.closure import reachable, resolved
-from inkwell.operators.ranking import top_k_per_group
-from inkwell.sources.tables import table
+from inkwell.operators.lexicon import grams, lookup
+from inkwell.sources.tables import cut, table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -33,22 +33,20 @@ def sql(text: str):
 
 
 def lexicon_lookup(spark, d):
-    """Each word of the part names as a term: names that are the term, else begin with it, else hold it; the first tier with a hit, five hits
-    at most. Every tier is met by the words of the names, so a term meets no name without it."""
-    names = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name")).withColumn("w", F.split("name", " "))
-    first = F.element_at("w", 1)
-    hits = names.select("p_partkey", "name", first.alias("first"), F.explode(F.array_distinct("w")).alias("term")).filter("term <> ''")
-    tiers = hits.withColumn("tier", F.when(F.col("name") == F.col("term"), 0).when(F.col("first") == F.col("term"), 1).otherwise(2))
-    # The tier is the first key of the order, so one limited window finds the best tier's first five and drops the other tiers' after it.
-    top = top_k_per_group(tiers, ["term"], [F.col("tier"), F.col("p_partkey")], 5)
-    best = top.filter("rank = 1").select("term", F.col("tier").alias("best"))
-    return top.join(best, "term").filter("tier = best").select("term", "tier", "rank", "p_partkey")
-
-
-LEXICON = """WITH n AS (SELECT p_partkey, lower(p_name) AS name, string_split(lower(p_name), ' ') AS w FROM part),
-t AS (SELECT DISTINCT p_partkey, term, CASE WHEN name = term THEN 0 WHEN w[1] = term THEN 1 ELSE 2 END AS tier FROM (SELECT *, unnest(w) AS term FROM n) WHERE term <> ''),
-b AS (SELECT * FROM t QUALIFY tier = min(tier) OVER (PARTITION BY term))
-SELECT term, tier, row_number() OVER (PARTITION BY term ORDER BY p_partkey)::INT AS rank, p_partkey FROM b QUALIFY rank <= 5"""
+    """The parts as a lexicon: the name is the headword, brand and reversed name its variants, name and type the text. Looked up are all words of
+    the names, the inner letters of words, their first two letters, and all brands and names: five entries at most, by key."""
+    parts = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("headword"), F.lower("p_brand").alias("brand"), F.lower("p_type").alias("type"))
+    w = F.split("headword", " ")
+    entries = parts.select(F.col("p_partkey"), "headword", F.array(F.col("brand"), F.array_join(F.reverse(w), " ")).alias("variants"), F.concat_ws(" ", "headword", "type").alias("text"))
+    asked = F.flatten(F.array(w, F.transform(w, lambda x: F.substring(x, 2, 3)), F.transform(w, lambda x: F.substring(x, 1, 2)), F.array("headword", "brand")))
+    return lookup(parts.select(F.explode(asked).alias("term")), entries, cut(grams(entries, "p_partkey")), 5, "p_partkey")
+
+
+LEXICON = """WITH n AS (SELECT p_partkey, lower(p_name) AS name, lower(p_brand) AS brand, string_split(lower(p_name), ' ') AS w, lower(p_name) || ' ' || lower(p_type) AS text FROM part),
+a AS (SELECT DISTINCT unnest(w || list_transform(w, lambda x: substr(x, 2, 3)) || list_transform(w, lambda x: substr(x, 1, 2)) || [name, brand]) AS term FROM n),
+e AS (SELECT DISTINCT p_partkey, unnest([name, brand, array_to_string(list_reverse(w), ' ')]) AS term FROM n),
+x AS (SELECT term, 0 AS tier, p_partkey FROM e SEMI JOIN a USING (term) UNION ALL SELECT term, 1, p_partkey FROM (SELECT term FROM a WHERE term <> '' AND term NOT IN (SELECT term FROM e WHERE term IS NOT NULL)) JOIN n ON contains(text, term))
+SELECT term, tier::INT AS tier, row_number() OVER (PARTITION BY term ORDER BY p_partkey)::INT AS rank, p_partkey FROM x WHERE term <> '' QUALIFY rank <= 5"""
 
 
 def client_keys(spark, d):
