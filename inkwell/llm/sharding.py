@@ -80,7 +80,7 @@ def rebalanced(held: DataFrame, by_slot: DataFrame, shards: int) -> DataFrame:
     joined = held.join(by_slot, "virtual_slot", "left").select("virtual_slot", "shard", "version", F.coalesce("slot_bytes", F.lit(0)).alias("slot_bytes"))
     own = Window.partitionBy("shard").orderBy(F.desc("slot_bytes"), "virtual_slot")
     mean = F.sum("slot_bytes").over(Window.partitionBy()) / shards
-    seen = joined.withColumn("stays", (F.sum("slot_bytes").over(own) <= mean) | (F.col("slot_bytes") == 0)).withColumn("_next", F.max("version").over(Window.partitionBy()) + 1)
+    seen = joined.withColumn("stays", ((F.sum("slot_bytes").over(own) <= mean) | (F.col("slot_bytes") == 0)) & (F.col("shard") < shards)).withColumn("_next", F.max("version").over(Window.partitionBy()) + 1)
     moved = F.filter("slots", lambda s: ~s["stays"])
     kept = F.filter("slots", lambda s: s["stays"])
     zero = F.array_repeat(F.lit(0).cast("long"), shards)

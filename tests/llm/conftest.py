@@ -13,6 +13,7 @@ def odd(spark, tmp_path_factory):
     vec = [(i, [float((i * 7 + j * 3) % 11 - 5) for j in range(8)]) for i in range(100)]
     vec += [(100, None), (101, [0.0] * 8), (102, [1.0] * 7), (103, [float("nan")] * 8), (104, [None] + [1.0] * 7), (None, [1.0] * 8), (105, [3.0] * 8), (106, [3.0] * 8), (106, [3.0] * 8), (120, [3.0] * 8)]
     H.write(spark, at, vec, "vec_id long, embedding array<float>", "embeddings")
+    H.write(spark, at, [(1, 1, 0, "x"), (3, 0, 1, "y"), (3, 1, 1, "y"), (None, 1, 1, "z"), (12, None, 1, "z")], "doc_id long, quality int, toxic int, mask string", "labels")
     return at
 
 
@@ -23,4 +24,5 @@ def empty(spark, tmp_path_factory):
     H.write(spark, at, [], "item_id long, text string", "benchmark")
     H.write(spark, at, [], "page_id long, url string", "pages")
     H.write(spark, at, [], "vec_id long, embedding array<float>", "embeddings")
+    H.write(spark, at, [], "doc_id long, quality int, toxic int", "labels")
     return at

@@ -528,6 +528,9 @@ def test_sharding_balance_and_growth(spark, tmp_path):
     assert 0.03 < share < 0.1 and after.agg({"version": "max"}).first()[0] == 2
     with pytest.raises(ValueError):
         sharding.load(spark, path, 7)
+    few = load(sharding.shard(docs, 20, path=path))  # shards 20 to 24 are emptied
+    assert len(few) == 20 and max(few) - min(few) <= 0.01 * max(few)
+    assert sharding.load(spark, path).agg({"shard": "max"}).first()[0] == 19 and sharding.load(spark, path).count() == sharding.VIRTUAL
 
 
 def test_sharding_of_equal_records(spark, monkeypatch):
