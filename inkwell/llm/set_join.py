@@ -236,18 +236,22 @@ def derived(pairs: DataFrame, members: DataFrame, docs: DataFrame, classes: Data
         return links
     met = given(given(near, "a", docs, classes, "x"), "b", docs, classes, "y")
     centres = written(met.select("a", "b", "most_a", "most_b", F.size(F.array_intersect("x", "y")).alias("o")).filter(F.col("o") * BOTH + F.col("most_a") + F.col("most_b") >= 0).distinct())
-    # Members of a with the centre b.
-    one = centres.join(each, "a").filter(F.col("o") * BOTH + F.col("slack") + F.col("most_b") >= 0).select("a", "b", "most_b", "o", "v", "n", "added", "removed")
-    one = given(written(one), "b", docs, classes, "y").withColumn("o", F.col("o") + F.size(F.array_intersect("added", "y")) - F.size(F.array_intersect("removed", "y")))
-    one = written(one.select("a", "b", "v", "n", "o", "most_b").filter(F.col("o") * BOTH - F.col("n") * THRESHOLD + F.col("most_b") >= 0).distinct())
+    # Members of either star with the centre of the other.
+    turned = centres.unionByName(centres.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("most_b").alias("most_a"), F.col("most_a").alias("most_b"), "o"))
+    one = turned.join(each, "a").filter(F.col("o") * BOTH + F.col("slack") + F.col("most_b") >= 0).select("a", "b", "most_b", "o", "v", "n", "slack", "added", "removed")
+    one = given(written(one), "b", docs, classes, "y").withColumn("o", F.col("o") + F.size(F.array_intersect("added", "y")) - F.size(F.array_intersect("removed", "y"))).drop("y")
+    one = written(one.filter(F.col("o") * BOTH - F.col("n") * THRESHOLD + F.col("most_b") >= 0).dropDuplicates(["a", "b", "v"]))
     size = classes.select(F.col("c").alias("b"), F.col("n").alias("n_b"))
     linked = written(one.join(size, "b").filter(_may(F.col("n"), F.col("n_b"), F.col("o"))).select(F.col("v").alias("a"), "b"))
     links = links.unionByName(linked)
     if linked.limit(1).count():
         found = components(links)
-    # Members of a with members of b, where still apart.
-    left = _apart(one, found)
-    two = left.join(each.select(F.col("a").alias("b"), F.col("v").alias("z"), F.col("n").alias("m"), "added", "removed", "slack"), "b").filter((F.col("z") != F.col("b")) & (F.col("o") * BOTH - F.col("n") * THRESHOLD + F.col("slack") >= 0))
+    # Members of a with members of b, where still apart and neither side's overlap with the other centre rules a link out.
+    left = _apart(one, found).filter("v <> a")
+    x = left.filter("a < b").select("a", "b", "v", "n", "o", F.col("slack").alias("slack_v"))
+    y = left.filter("a > b").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("v").alias("z"), F.col("n").alias("m"), F.col("o").alias("p"), F.col("slack").alias("slack_z"), "added", "removed")
+    open_both = (F.col("o") * BOTH - F.col("n") * THRESHOLD + F.col("slack_z") >= 0) & (F.col("p") * BOTH - F.col("m") * THRESHOLD + F.col("slack_v") >= 0)
+    two = x.join(y, ["a", "b"]).filter(open_both)
     two = written(two.select("v", "z", "n", "m", "o", "added", "removed"))
     if not two.limit(1).count():
         return links
