@@ -231,11 +231,17 @@ def derived(pairs: DataFrame, members: DataFrame, docs: DataFrame, classes: Data
     side = lambda k: own.toDF(k, f"n_{k}", f"most_{k}", *[f"{k}{i}" for i in range(ODD // 64)])
     near = pairs.join(side("a"), "a").join(side("b"), "b")
     ub = _shared([(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(ODD // 64)], F.col("n_a"), F.col("n_b"))
-    near = written(near.filter(ub * BOTH + F.col("most_a") + F.col("most_b") >= 0).select("a", "b", "most_a", "most_b"))
+    near = written(near.filter(ub * BOTH + F.col("most_a") + F.col("most_b") >= 0).select("a", "b", "n_a", "n_b", "most_a", "most_b"))
     if not near.limit(1).count():
         return links
     met = given(given(near, "a", docs, classes, "x"), "b", docs, classes, "y")
-    centres = written(met.select("a", "b", "most_a", "most_b", F.size(F.array_intersect("x", "y")).alias("o")).filter(F.col("o") * BOTH + F.col("most_a") + F.col("most_b") >= 0).distinct())
+    centres = written(met.select("a", "b", "n_a", "n_b", "most_a", "most_b", F.size(F.array_intersect("x", "y")).alias("o")).filter(F.col("o") * BOTH + F.col("most_a") + F.col("most_b") >= 0).distinct())
+    linked = centres.filter(_may(F.col("n_a"), F.col("n_b"), F.col("o"))).select("a", "b")
+    if linked.limit(1).count():  # stars whose centres link need no look at their members
+        links = links.unionByName(linked)
+        found = components(links)
+        centres = written(_apart(centres, found))
+    centres = centres.drop("n_a", "n_b")
     # Members of either star with the centre of the other.
     turned = centres.unionByName(centres.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("most_b").alias("most_a"), F.col("most_a").alias("most_b"), "o"))
     one = turned.join(each, "a").filter(F.col("o") * BOTH + F.col("slack") + F.col("most_b") >= 0).select("a", "b", "most_b", "o", "v", "n", "slack", "added", "removed")
