@@ -19,9 +19,12 @@ hold the most classes, so the least edited of a group of near copies. Then the
 components so far are known, and only pairs of a bucket that are still in
 different components are compared, without the classes that cannot link: a
 shingle that occurs in no other class of these buckets is shared with none, which
-bounds every intersection from above. Every pair of classes that shares a band is
-therefore confirmed, refuted or already connected, while groups of near copies
-and texts around a common passage never unfold.
+bounds every intersection from above. Buckets of more than FEW classes are not
+unfolded even then: each class meets the smallest of the bucket, its pivot, and
+pairs that may link without it are sought by the rarest shingles that the pivot
+lacks (`pivoted`), so texts filled into one template meet only those that share
+more than the template. Every pair of classes that shares a band is therefore
+confirmed, refuted or already connected.
 
 Defined results: a null or wordless text has an empty set, n_shingles 0, and is
 linked with nothing; texts of fewer words than a shingle are one shingle; a null
@@ -47,8 +50,8 @@ BANDS, ROWS, MANTISSA = 40, 4, 10
 BUCKETS = BANDS * ROWS
 #: Estimates this far below the threshold are not confirmed: five standard deviations of the register count.
 MARGIN = 0.18
-#: Cells of the odd sketch; classes of a bucket that a task compares with the others.
-ODD, BLOCK = 512, 512
+#: Cells of the odd sketch; classes of a bucket that a task compares with the others; classes of a bucket all of whose pairs are compared.
+ODD, BLOCK, FEW = 512, 512, 16
 ROW_BITS = K.U64(16)
 _rng = np.random.Generator(np.random.PCG64(5))
 _ODD = _rng.integers(0, 2**31, size=BUCKETS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -178,24 +181,88 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(full.groupBy("rep").agg(F.first("grams").alias("grams")))
 
 
-def late_pairs(rest: DataFrame, reps: DataFrame, full: DataFrame) -> DataFrame:
-    """rest: band, key, c (classes of the bucket), rep, n, component -> pairs (a, b) of a bucket and of two components that may link."""
+def able_classes(rest: DataFrame, reps: DataFrame, full: DataFrame) -> DataFrame:
+    """rest: band, key, c (classes of the bucket), rep, n, component -> its classes that may link, with `most` (bound of any intersection) and the odd sketch."""
     each = full.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode("grams").alias("gram"))
     own = each.groupBy("gram").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
     able = rest.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).filter(F.col("most") * 100 >= F.col("n") * THRESHOLD)
-    able = written(able.join(reps.select("rep", "odd"), "rep").select("band", "key", "c", "rep", "n", "component", "most", *[F.col("odd")[i].alias(f"o{i}") for i in range(ODD // 64)]))
-    # A bucket of c classes is cut into blocks of BLOCK, each of which meets all classes of the bucket in a task of its own.
+    return written(able.join(reps.select("rep", "odd"), "rep").select("band", "key", "c", "rep", "n", "component", "most", *[F.col("odd")[i].alias(f"o{i}") for i in range(ODD // 64)]))
+
+
+def met_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs (a, b) of rows of equal keys and two components that no bound refutes; c: rows of the keys.
+
+    Keys of c rows are cut into blocks of BLOCK, each of which meets all rows of its keys in a task of its own.
+    """
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    x, y = (able.select("band", "key", part.alias("block"), *[F.col(c).alias(f"{c}_{s}") for c in able.columns[3:]]) for s, part in (("x", F.pmod(F.xxhash64("rep"), blocks).cast("int")), ("y", F.explode(F.sequence(F.lit(0), blocks - 1)))))
+    told = ["rep", "n", "component", "most", *[f"o{i}" for i in range(ODD // 64)]]
+    x, y = (rows.select(*keys, part.alias("block"), *[F.col(c).alias(f"{c}_{s}") for c in told]) for s, part in (("x", F.pmod(F.xxhash64("rep"), blocks).cast("int")), ("y", F.explode(F.sequence(F.lit(0), blocks - 1)))))
     both = F.col("n_x") + F.col("n_y")
     # i / (n_x + n_y - i) >= t for some i up to the bound, which the smaller set bounds too
     may = F.least("most_x", "most_y") * (100 + THRESHOLD) >= both * THRESHOLD
     differ = sum((F.bit_count(F.col(f"o{i}_x").bitwiseXOR(F.col(f"o{i}_y"))) for i in range(ODD // 64)), F.lit(0))
     may = may & (differ * (100 + THRESHOLD) <= both * (100 - THRESHOLD))
-    met = x.join(y, ["band", "key", "block"]).filter((F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & may)
+    met = x.join(y, [*keys, "block"]).filter((F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & may)
     return met.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
 
 
+def pivoted(many: DataFrame, full: DataFrame, hot: DataFrame) -> DataFrame:
+    """pivot, pn, rep, n, i (shingles shared with the pivot), prefix: each class of `many` with the smallest class of each of its buckets.
+
+    Two classes x, y that link, but not both with their pivot p, share a shingle outside p: p is the smallest, so the one
+    that does not link shares less than (n_p + n_x) * t / (1 + t) shingles with it, t = THRESHOLD / 100, which is less than x and y share.
+    They share at least (n_x + n_y) * t / (1 + t) - i_x outside p. So of the n - i shingles outside p, rarest first, so many
+    less one may be left out at the end; those kept that occur in another class are the prefix.
+    """
+    bucket = ["band", "key"]
+    least = many.groupBy(*bucket).agg(F.min(F.struct("n", "rep")).alias("p"))
+    tied = joined(many, least, bucket, hot=hot).select("rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn")).distinct()
+    each = written(full.join(many.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode("grams").alias("gram")))
+    counts = each.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1")
+    ordered = joined(each, counts, ["gram"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).getField("gram").alias("ordered"))
+    met = tied.join(ordered, "rep").join(full.select(F.col("rep").alias("pivot"), F.col("grams").alias("held")), "pivot")
+    met = met.withColumn("outside", F.array_except("ordered", "held")).withColumn("i", F.size("ordered") - F.size("outside"))
+    least_other = F.greatest("pn", F.expr(f"({THRESHOLD} * n + 99) div 100"))
+    met = met.withColumn("_both", F.col("n") + least_other).withColumn("_need", F.greatest(F.lit(1), F.expr(f"({THRESHOLD} * _both + {99 + THRESHOLD}) div {100 + THRESHOLD}") - F.col("i")))
+    # shingles of no other class come first and are not written
+    take = F.size("ordered") - F.col("i") - F.col("_need") + 1
+    return written(met.select("pivot", "pn", "rep", "n", "i", F.slice("outside", F.lit(1), F.greatest(F.lit(0), take).cast("int")).alias("prefix")))
+
+
+def with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (rep) with their component, which is the class itself where it has no link."""
+    return rows.drop("component").join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def listed(held: DataFrame, found: DataFrame) -> DataFrame:
+    """pivot, gram, rep, n, component, c, head: the prefixes as lists, those of more than one component."""
+    lists = written(with_component(held.select("pivot", "rep", "n", F.explode("prefix").alias("gram")), found))
+    facts = lists.groupBy("pivot", "gram").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("n", "rep", "component")).alias("head"))
+    return written(joined(lists, facts.filter("lo < hi").drop("lo", "hi"), ["pivot", "gram"]))
+
+
+def late_links(rest: DataFrame, reps: DataFrame, full: DataFrame, links: DataFrame, hot: DataFrame) -> DataFrame:
+    """Links between the classes of `rest` of different components; not all, but enough to connect what is connected.
+
+    The pairs of a bucket of up to FEW classes are compared, which is a constant for each class. In larger ones
+    pairs are sought in the lists of `pivoted`; each list is first compared with its smallest class, then by pairs that are still apart.
+    """
+    able = able_classes(rest, reps, full)
+    late = confirmed(met_pairs(able.filter(F.col("c") <= FEW), ["band", "key"]), reps, full)
+    many = written(able.filter(F.col("c") > FEW))
+    if not many.limit(1).count():
+        return late
+    held = pivoted(many.select("band", "key", "rep", "n"), full, hot)
+    direct = held.filter((F.col("rep") != F.col("pivot")) & (F.col("i") * (100 + THRESHOLD) >= (F.col("n") + F.col("pn")) * THRESHOLD)).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    late = written(late.union(direct))
+    lists = listed(held, components(links.union(late)))
+    stars = lists.filter(F.col("component") != F.col("head.component")).select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct()
+    late = written(late.union(confirmed(stars, reps, full)))
+    lists = listed(held, components(links.union(late)))
+    bounds = many.select("rep", "most", *[f"o{i}" for i in range(ODD // 64)]).distinct()
+    return late.union(confirmed(met_pairs(lists.join(bounds, "rep"), ["pivot", "gram"]), reps, full))
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row a document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -216,7 +283,7 @@ def link(docs: DataFrame) -> DataFrame:
     inside = shared.join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = inside.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key")
     rest = written(joined(inside, split, bucket, hot=hot).select("band", "key", "c", "rep", "n", "component"))
-    late = confirmed(late_pairs(rest, reps, full), reps, full)
+    late = late_links(rest, reps, full, links, hot)
     if late.limit(1).count():
         found = components(links.union(late))
     told = classes.join(found.withColumnRenamed("v", "rep"), "rep", "left").filter("copies > 1 OR component IS NOT NULL")
