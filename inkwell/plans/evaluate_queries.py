@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
+from inkwell.functions import vector as V
 from inkwell.operators import ivf, lexical, templates
 from inkwell.operators.ranking import reranked, rrf, top_k_per_group
 from inkwell.operators.vectors import exact_top_k
 from inkwell.plans import search_queries as S
+from inkwell.sources import shards
 from inkwell.sources.markup import blocks
 from inkwell.sources.tables import cut, shared_dir, table
 
@@ -34,7 +36,9 @@ def stored_search(spark, d):
     parts = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("text"))
     at = _folder(spark)
     lexical.build(parts, "p_partkey", T.ngrams(F.lower("text"))).save(at)
+    shards.sign(spark, at, shards.corpus_facts(parts) | {"terms": "ngrams 2 to 3"} | {f"rows:{t}": spark.read.parquet(f"{at}/{t}").count() for t in ("postings", "terms", "totals")})
     q = table(spark, d, "part").groupBy(F.col("p_name").alias("question")).agg(F.min("p_partkey").alias("query_id"))
+    shards.gate(spark, {"parts": at}, shards.corpus_facts(parts) | {"terms": "ngrams 2 to 3"})
     return lexical.search(lexical.load(spark, at), q, T.ngrams(F.lower("question")), 10, "fts").select("query_id", "rank", "p_partkey", "score")
 
 
@@ -145,10 +149,25 @@ def probe_sweep(spark, d):
     """Recall at 20 of stored inverted lists by the number of cells probed, over the vectors whose ids are divisible by 20."""
     v, at = S._vectors(spark, d), _folder(spark)
     ivf.save(ivf.build(v, 16), at)
+    shards.sign(spark, at, shards.corpus_facts(v) | {f"rows:{t}": spark.read.parquet(f"{at}/{t}").count() for t in ("members", "centres")})
+    shards.gate(spark, {"lists": at}, shards.corpus_facts(v))
     q = v.filter("id % 20 = 0")
     return ivf.sweep(ivf.load(spark, at), q, exact_top_k(v, q, 20, "self"), 20, PROBES)
 
 
+def resumed_shards(spark, d):
+    """Unit vectors written in shards of 100 ids by a run that ends after two shards and one that takes it up; what the shards hold."""
+    v, at = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), _folder(spark)
+    unit = lambda df: df.withColumn("v", V.normalised(F.col("v")))
+    for most in (2, None):
+        told = shards.write_shards(v, "vec_id", at, 100, {"form": "unit"}, unit, most)
+    held = spark.read.parquet(f"{at}/data").groupBy(F.col("shard").cast("long").alias("shard")).agg(F.sum(F.size("v")).alias("entries"), F.round(F.sum(V.dot(F.col("v"), F.col("v"))), 4).alias("squares"))
+    return told.join(held, "shard").select("shard", "first_row", "last_row", "rows", "entries", "squares")
+
+
+SHARDS = """SELECT vec_id // 100 AS shard, min(vec_id) AS first_row, max(vec_id) AS last_row, count(*) AS "rows", sum(len(embedding))::BIGINT AS entries, round(count(*)::DOUBLE, 4) AS squares FROM embeddings GROUP BY ALL"""
+
+
 def reduced_clusters(spark, d):
     """Vectors in 50 dimensions by principal components, clustered in three sizes: silhouette by cosine, smallest and largest cluster."""
     x = table(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
@@ -173,6 +192,6 @@ def marker_changes(spark, d):
 
 QUERIES = {
     "stored_search": (stored_search, STORED), "truncation_variants": (truncation_variants, _truncation_sql()), "rerank_fallback": (rerank_fallback, RERANK), "visible_targets": (visible_targets, VISIBLE),
-    "held_candidates": (held_candidates, HELD), "probe_summary": (probe_summary, PROBES_SQL), "attached_verdicts": (attached_verdicts, VERDICTS), "probe_sweep": (probe_sweep, None),
+    "held_candidates": (held_candidates, HELD), "probe_summary": (probe_summary, PROBES_SQL), "attached_verdicts": (attached_verdicts, VERDICTS), "probe_sweep": (probe_sweep, None), "resumed_shards": (resumed_shards, SHARDS),
     "reduced_clusters": (reduced_clusters, None), "block_templates": (block_templates, None), "marker_changes": (marker_changes, None),
 }
