@@ -15,11 +15,13 @@ bit-parallel edit distance, for many pairs side by side.
 
 Equal lines are one class from the start, batch by batch and then over all, so common
 lines never travel or unfold. A bucket of up to FEW rows gives its pairs at once. A larger one
-is read as a stream: its rows meet its first CENTRES index lines alone, and are kept. Once the
-components of those links are known, only rows outside their bucket's largest component still
-meet the bucket's other rows, block by block in tasks of their own. So lines of one template, which
-link through centres and through their rarer segments, do not unfold into all pairs; a bucket whose
-lines stay apart costs a comparison of histograms a pair, spread over tasks. No bucket is cut.
+is read as a stream: its rows meet its first CENTRES index lines alone, and are kept. A large bucket
+that these links do not connect is refined: two of its lines are near through this segment only if what is left of
+them, without the segment, is within k edits, so the rest of each line, without what the whole bucket has in common at
+both ends, is cut into k + 1 segments again, and rows meet in finer buckets (`refined`). Of a line filled into a template the
+differing part alone is left after a step or two. A rest of no more than k bytes is certain to be near, and its bucket's
+centre links it. So every bucket ends with up to FEW rows, connected or with nothing left, whatever its size; rows of a
+bucket grow with its lines, and pairs with its rows.
 
 Defined results: a null text has no lines; blank lines are kept and not judged; the
 last line may lack its end; a line of any length is read whole; rows without an id come after
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import kernels as K
@@ -45,9 +47,7 @@ from inkwell.llm.graph import components
 
 EDITS, BYTES_AN_EDIT = 2, 10
 #: Pairs of one bucket that are compared together; rows of a bucket that meet at once, centres of a larger one.
-PAIRS, FEW, CENTRES = 1 << 20, 1 << 12, 64
-#: Rows of a large bucket that a task compares: outside its largest component, and others.
-MINOR, OTHERS = 1 << 12, 1 << 14
+PAIRS, FEW, CENTRES = 1 << 20, 1 << 9, 64
 INDEXED, PROBED = 0, 1
 
 
@@ -159,13 +159,11 @@ def near_histograms(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def crossed(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(smaller, larger) lines of the pairs of x and y whose histograms are near; x, y: line, histogram and, or not, component."""
+    """(smaller, larger) lines of the pairs of x and y whose histograms are near; x, y: line, histogram."""
     wide = max(1, PAIRS // max(1, len(y[0])))
     for a in range(0, len(x[0]), wide):
         some = [c[a : a + wide, None] for c in x]
         ok = near_histograms(some[1], y[1][None, :]) & (some[0] != y[0][None, :])
-        if len(x) > 2:
-            ok &= some[2] != y[2][None, :]
         i, j = np.nonzero(ok)
         if len(i):
             yield np.minimum(x[0][a + i], y[0][j]), np.maximum(x[0][a + i], y[0][j])
@@ -245,14 +243,56 @@ def _buckets(cols: list[np.ndarray], bucket) -> Iterator[tuple[np.ndarray, np.nd
         yield from bucket([c[a:b] for c in cols])
 
 
-def _late(rows: pa.Table) -> pa.Table:
-    """The pairs of one block of minor rows and one of others, of different components and sides."""
-    line, hist, component = (np.asarray(rows.column(c)).view(K.U64) for c in ("line", "histogram", "component"))
-    minor, side = (np.asarray(rows.column(c).combine_chunks().cast(pa.int8())) for c in ("minor", "side"))
-    pick = lambda m, s: tuple(c[(minor == m) & (side == s)] for c in (line, hist, component))
-    pairs = [p for s in (INDEXED, PROBED) for p in crossed(pick(1, s), pick(0, 1 - s))]
-    got = list(_out(pairs)) or [pa.record_batch([pa.array([], pa.int64())] * 3, ["a", "b", "key"])]
-    return pa.Table.from_batches(got).select(["a", "b"])
+PARTS = "key long, line long, histogram long, edits int, less int, rest binary"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of large buckets (PARTS, and the bytes that the bucket has in common at both ends: head, tail) with a segment of their rest taken out: rows of finer buckets.
+
+    An index row has each segment of its rest, a probe row, `less` bytes longer, each place at which such a segment can lie.
+    A rest of fewer than k + 1 bytes is cut into single bytes, sought at any place; probe rows with up to k bytes left are certain.
+    """
+    for batch in batches:
+        buf, offs = K.texts(batch.column("rest"))
+        cols = [np.asarray(batch.column(c)) for c in ("key", "line", "histogram", "edits", "less", "head", "tail")]
+        for a, b in K.slices(offs):
+            part, at = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+            key, line, hist, edits, less, head, tail = (c[a:b] for c in cols)
+            start, n = at[:-1] + head, np.diff(at) - head - tail
+            short, probe = n - less, (key & 1) == PROBED
+            prefix, raw, out = K.raw(part), part.tobytes(), []
+            for k in range(1, EDITS + 1):
+                for i in range(k + 1):
+                    own = np.flatnonzero((edits == k) & (i < np.minimum(k + 1, short)) & ~(probe & (n <= k)))
+                    place, size = segments(short[own], i, np.minimum(k + 1, short[own]))
+                    for move in range(-k, 2 * k + 1):
+                        p = place + move
+                        ok = (p >= 0) & (p + size <= n[own]) & np.where(probe[own], (short[own] <= k) | ((abs(move) <= i) & (np.abs(move - less[own]) <= k - i)), move == 0)
+                        if ok.any():
+                            row, from_, wide = own[ok], start[own[ok]] + p[ok], size[ok]
+                            finer = K.mix(K.span(prefix, from_, wide) * K.PLACES[1] + (key[row] & -2).view(K.U64) * K.PLACES[2] + K.U64(i))
+                            out.append((row, from_, wide, (finer & ~K.U64(1)) | probe[row].astype(K.U64)))
+            if not out:
+                continue
+            row, from_, wide, finer = (np.concatenate(c) for c in zip(*out, strict=True))
+            begin, end = start[row], (start + n)[row]
+            rest = [raw[x:y] + raw[z:e] for x, y, z, e in zip(begin.tolist(), from_.tolist(), (from_ + wide).tolist(), end.tolist(), strict=True)]
+            yield pa.record_batch([pa.array(finer.view(np.int64)), pa.array(line[row]), pa.array(hist[row]), pa.array(edits[row]), pa.array(less[row]), pa.array(rest, pa.binary())], ["key", "line", "histogram", "edits", "less", "rest"])
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes that all rests of a bucket have in common at the start and the end, which are those of the least and the greatest of them."""
+
+    def common(x: str, y: str) -> int:
+        n = min(len(x), len(y))
+        differ = np.flatnonzero(np.frombuffer(x[:n].encode(), np.uint8) != np.frombuffer(y[:n].encode(), np.uint8))
+        return (int(differ[0]) if len(differ) else n) // 2
+
+    for batch in batches:
+        b = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+        head = [min(common(x, y), r) for x, y, r in zip(b["lo"], b["hi"], b["short"], strict=True)]
+        tail = [min(common(x, y), r - h) for x, y, r, h in zip(b["end_lo"], b["end_hi"], b["short"], head, strict=True)]
+        yield pa.record_batch([batch.column("bucket"), pa.array(head, pa.int32()), pa.array(tail, pa.int32())], ["bucket", "head", "tail"])
 
 
 def within(a: list[bytes], b: list[bytes], edits: int = EDITS) -> np.ndarray:
@@ -338,40 +378,86 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_lines", "n_removed", "kept_sha256", "kept"])
 
 
-def verified(own: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of lines those that are near. own: doc, text; first: line, at (doc, place)."""
-    wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
+def bytes_of(own: DataFrame, first: DataFrame, wanted: DataFrame) -> DataFrame:
+    """line, bytes of the lines wanted (line). own: doc, text; first: line, at (doc, place)."""
     asked = first.join(wanted, "line", "left_semi").groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("at.place").alias("place"), "line")).alias("asked"))
     got = in_arrow(own.select("doc", "text").join(asked, "doc"), _fetch, "line long, bytes binary")
     # Another version of a document has another line there: the hash of the bytes is not asked for, the first place is.
-    got = written(got.groupBy("line").agg(F.min("bytes").alias("bytes")))
+    return written(got.groupBy("line").agg(F.min("bytes").alias("bytes")))
+
+
+def verified(own: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of lines those that are near. own: doc, text; first: line, at (doc, place)."""
+    got = bytes_of(own, first, pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct())
     full = pairs.join(got.select(F.col("line").alias("a"), F.col("bytes").alias("x")), "a").join(got.select(F.col("line").alias("b"), F.col("bytes").alias("y")), "b")
     return written(in_arrow(full.select("a", "b", "x", "y"), _verify, "a long, b long"))
 
 
-def late_pairs(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows: line, histogram, key, side of large buckets; found: line, component -> pairs that the centres left open."""
-    told = written(rows.join(found, "line", "left").withColumn("component", F.coalesce("component", "line")))
-    sizes = told.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
-    open_ = sizes.filter(F.col("top.n") < F.col("n")).select("key", F.col("top.component").alias("most"), (F.col("n") - F.col("top.n")).alias("minors"), F.col("n").alias("rows"))
-    told = joined(told, open_, ["key"]).withColumn("dealt", F.xxhash64("line", "side"))
-    many, others = F.ceil(F.col("minors") / MINOR).cast("int"), F.ceil(F.col("rows") / OTHERS).cast("int")
-    row = ["key", "line", "histogram", "component", "side"]
-    minor = told.filter("component <> most").select(*row, F.pmod("dealt", many).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), others - 1)).alias("y"), F.lit(True).alias("minor"))
-    other = told.select(*row, F.explode(F.sequence(F.lit(0), many - 1)).alias("x"), F.pmod("dealt", others).cast("int").alias("y"), F.lit(False).alias("minor"))
-    return minor.union(other).groupBy("key", "x", "y").applyInArrow(_late, "a long, b long").distinct()
+def _bucket() -> Column:
+    return F.col("key").bitwiseAND(F.lit(-2))
 
 
-def links(own: DataFrame, first: DataFrame) -> DataFrame:
-    """a, b: hashes of different lines that are near. own: doc, text; first: line, at (doc, place)."""
-    rows = in_arrow(own.select("doc", "text"), _keys, "key long, line long, histogram long")
-    met = written(in_arrow(rows.repartition(F.col("key").bitwiseAND(F.lit(-2))).sortWithinPartitions("key"), _meet, MET))
-    near = verified(own, first, written(met.filter("key = 0").select("a", "b").distinct()))
-    rest = met.filter("key <> 0").select(F.col("a").alias("line"), F.col("b").alias("histogram"), F.col("key").bitwiseAND(F.lit(-2)).alias("key"), F.col("key").bitwiseAND(F.lit(1)).cast("int").alias("side"))
-    if not rest.limit(1).count():
+def met_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows: key, line, histogram -> pairs (a, b) of small buckets and with the centres of large ones; line, histogram, bucket of the large ones."""
+    met = written(in_arrow(rows.select("key", "line", "histogram").repartition(_bucket()).sortWithinPartitions("key"), _meet, MET))
+    return met.filter("key = 0").select("a", "b").distinct(), met.filter("key <> 0").select(F.col("a").alias("line"), F.col("b").alias("histogram"), _bucket().alias("bucket"))
+
+
+def open_buckets(rest: DataFrame, found: DataFrame) -> DataFrame:
+    """The buckets of `rest` (line, bucket) that hold lines of more than one component; found: v, component."""
+    told = rest.select("line", "bucket").join(found.withColumnRenamed("v", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
+    return told.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+
+
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that found (v, component) does not connect."""
+    side = lambda k: found.select(F.col("v").alias(k), F.col("component").alias(f"_{k}"))
+    told = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return told.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
+def refined(own: DataFrame, first: DataFrame, rest: DataFrame, near: DataFrame, tried: DataFrame) -> DataFrame:
+    """Links of the lines of large buckets (rest: line, histogram, bucket) beside `near`, enough to connect what is connected; tried: pairs verified before.
+
+    The lines of buckets that are not connected are cut anew from the whole line on, level by level; each level's rests are
+    shorter by a segment, so the levels are logarithmic in the length. Every level is a written table.
+    """
+    found = components(near)
+    wanted = written(rest.join(open_buckets(rest, found), "bucket", "left_semi").select("line", "histogram").distinct())
+    if not wanted.limit(1).count():
         return near
-    late = written(late_pairs(rest, components(near).withColumnRenamed("v", "line")))
-    return near.union(verified(own, first, late)) if late.limit(1).count() else near
+    # Each of these lines is a document of its own from here on.
+    lines = written(bytes_of(own, first, wanted.select("line")).join(wanted, "line"))
+    alone, at = lines.select(F.col("line").alias("doc"), F.col("bytes").alias("text")), lines.select("line", F.struct(F.col("line").alias("doc"), F.lit(0).cast("long").alias("place")).alias("at"))
+    sides = [(INDEXED, 0), *((PROBED, less) for less in range(EDITS + 1))]
+    rows = lines.select("line", "histogram", "bytes", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(n).alias("less")) for s, n in sides])).alias("_s")).select("*", (F.octet_length("bytes") - F.col("_s.less")).alias("short"))
+    edits = F.least(F.floor(F.col("short") / BYTES_AN_EDIT), F.lit(EDITS)).cast("int")
+    root = F.xxhash64("short").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("_s.side").cast("long"))
+    rows = rows.select(root.alias("key"), "line", "histogram", edits.alias("edits"), F.col("_s.less").alias("less"), F.col("bytes").alias("rest"), F.lit(0).alias("head"), F.lit(0).alias("tail")).filter("edits >= 1 AND less <= edits")
+    while True:
+        parts = written(in_arrow(rows, _cut, PARTS))
+        pairs, rest = met_rows(parts)
+        pairs = written(apart(pairs, found).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(pairs)
+        links = verified(alone, at, pairs)
+        if links.limit(1).count():
+            near = near.union(links)
+            found = components(near)
+        open_ = written(open_buckets(rest, found))
+        if not open_.limit(1).count():
+            return near
+        inside = written(joined(parts.withColumn("bucket", _bucket()), open_, ["bucket"]))
+        text = F.hex("rest")
+        facts = inside.groupBy("bucket").agg(F.min(text).alias("lo"), F.max(text).alias("hi"), F.min(F.reverse(text)).alias("end_lo"), F.max(F.reverse(text)).alias("end_hi"), F.min(F.octet_length("rest") - F.col("less")).alias("short"))
+        rows = joined(inside, written(in_arrow(facts, _common, "bucket long, head int, tail int")), ["bucket"]).drop("bucket")
+
+
+def links(own: DataFrame, first: DataFrame) -> DataFrame:
+    """a, b: hashes of different lines that are near, enough to connect what is connected. own: doc, text; first: line, at (doc, place)."""
+    pairs, rest = met_rows(in_arrow(own.select("doc", "text"), _keys, "key long, line long, histogram long"))
+    pairs = written(pairs)
+    near = verified(own, first, pairs)
+    return refined(own, first, rest, near, pairs) if rest.limit(1).count() else near
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -458,8 +458,6 @@ def test_lines_of_one_template(spark, monkeypatch):
     """Lines that differ in a number, in buckets beyond FEW: the links of all pairs, by a linear number of verified ones."""
     monkeypatch.setattr(line_dedup, "FEW", 50)
     monkeypatch.setattr(line_dedup, "CENTRES", 4)
-    monkeypatch.setattr(line_dedup, "MINOR", 64)
-    monkeypatch.setattr(line_dedup, "OTHERS", 128)
     pick = np.random.default_rng(9)
     words = ["".join(map(chr, pick.integers(97, 123, 40))) for _ in range(150)]
     texts = [f"page {i * 7919 % 10**6:06} of the collected works" for i in range(700)] + [f"copyright of the house {w}" for w in words] + [f"copyright of the house {w[:-1]}" for w in words[::10]]
