@@ -152,6 +152,11 @@ def _shared(differ: list[tuple[Column, Column]], n: Column, m: Column) -> Column
     return F.floor((n + m - sum((F.bit_count(x.bitwiseXOR(y)) for x, y in differ), F.lit(0))) / 2)
 
 
+def _bound(x: str, y: str, n: Column, m: Column) -> Column:
+    """_shared of the sketches in columns x and y."""
+    return _shared([(F.col(x)[i], F.col(y)[i]) for i in range(ODD // 64)], n, m)
+
+
 def given(pairs: DataFrame, key: str, docs: DataFrame, classes: DataFrame, out: str) -> DataFrame:
     """pairs with the shingles of the class `key` in `out`; a class of many pairs is dealt over several tasks."""
     counts = written(pairs.groupBy(key).agg(F.ceil(F.count("*") / DEALT).cast("int").alias("_parts")))
@@ -224,7 +229,8 @@ def derived(pairs: DataFrame, members: DataFrame, docs: DataFrame, classes: Data
     slack = F.size("added") * BOTH - F.col("n") * THRESHOLD
     each = members.select("a", F.col("y").alias("v"), "n", "added", "removed")
     alone = classes.join(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "c"), "c").select(F.col("c").alias("a"), F.col("c").alias("v"), "n", F.array().cast("array<long>").alias("added"), F.array().cast("array<long>").alias("removed"))
-    each = written(each.join(alone.select("a"), "a", "left_semi").unionByName(alone).withColumn("slack", slack))
+    each = each.join(alone.select("a"), "a", "left_semi").unionByName(alone)
+    each = written(each.join(classes.select(F.col("c").alias("v"), "odd"), "v").withColumn("slack", slack))
     most = written(each.groupBy("a").agg(F.max("slack").alias("most")))
     cells = [F.col("odd")[i].alias(f"o{i}") for i in range(ODD // 64)]
     own = classes.join(most, classes["c"] == most["a"]).select("a", "n", "most", *cells)
@@ -242,9 +248,11 @@ def derived(pairs: DataFrame, members: DataFrame, docs: DataFrame, classes: Data
         found = components(links)
         centres = written(_apart(centres, found))
     centres = centres.drop("n_a", "n_b")
-    # Members of either star with the centre of the other.
+    # Members of either star with the centre of the other, where neither the centres' overlap nor the sketches rule all links out.
     turned = centres.unionByName(centres.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("most_b").alias("most_a"), F.col("most_a").alias("most_b"), "o"))
-    one = turned.join(each, "a").filter(F.col("o") * BOTH + F.col("slack") + F.col("most_b") >= 0).select("a", "b", "most_b", "o", "v", "n", "slack", "added", "removed")
+    turned = turned.join(classes.select(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b")), "b")
+    may = (F.col("o") * BOTH + F.col("slack") + F.col("most_b") >= 0) & (_bound("odd", "odd_b", F.col("n"), F.col("n_b")) * BOTH - F.col("n") * THRESHOLD + F.col("most_b") >= 0)
+    one = turned.join(each, "a").filter(may).select("a", "b", "most_b", "o", "v", "n", "slack", "added", "removed", "odd")
     one = given(written(one), "b", docs, classes, "y").withColumn("o", F.col("o") + F.size(F.array_intersect("added", "y")) - F.size(F.array_intersect("removed", "y"))).drop("y")
     one = written(one.filter(F.col("o") * BOTH - F.col("n") * THRESHOLD + F.col("most_b") >= 0).dropDuplicates(["a", "b", "v"]))
     size = classes.select(F.col("c").alias("b"), F.col("n").alias("n_b"))
@@ -254,10 +262,10 @@ def derived(pairs: DataFrame, members: DataFrame, docs: DataFrame, classes: Data
         found = components(links)
     # Members of a with members of b, where still apart and neither side's overlap with the other centre rules a link out.
     left = _apart(one, found).filter("v <> a")
-    x = left.filter("a < b").select("a", "b", "v", "n", "o", F.col("slack").alias("slack_v"))
-    y = left.filter("a > b").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("v").alias("z"), F.col("n").alias("m"), F.col("o").alias("p"), F.col("slack").alias("slack_z"), "added", "removed")
+    x = left.filter("a < b").select("a", "b", "v", "n", "o", F.col("slack").alias("slack_v"), F.col("odd").alias("odd_v"))
+    y = left.filter("a > b").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("v").alias("z"), F.col("n").alias("m"), F.col("o").alias("p"), F.col("slack").alias("slack_z"), F.col("odd").alias("odd_z"), "added", "removed")
     open_both = (F.col("o") * BOTH - F.col("n") * THRESHOLD + F.col("slack_z") >= 0) & (F.col("p") * BOTH - F.col("m") * THRESHOLD + F.col("slack_v") >= 0)
-    two = x.join(y, ["a", "b"]).filter(open_both)
+    two = x.join(y, ["a", "b"]).filter(open_both & _may(F.col("n"), F.col("m"), _bound("odd_v", "odd_z", F.col("n"), F.col("m"))))
     two = written(two.select("v", "z", "n", "m", "o", "added", "removed"))
     if not two.limit(1).count():
         return links
