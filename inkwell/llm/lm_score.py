@@ -45,8 +45,8 @@ LAMBDA = 0.5
 BITS_A_BYTE, HASHES = 2, 4
 #: Words and bytes of a chunk, and training text a segment stands for.
 MAX_WORDS, FLUSH, SEGMENT_TEXT = 8_000_000, 16 << 20, 16 << 20
-#: Rows of a batch.
-ROWS = 1024
+#: Rows of a batch, and tokens that are scored at once.
+ROWS, TOKENS = 1024, 1 << 18
 #: Hashes that stand for the start and the end of a text, and salts for the orders.
 START, END = np.array([0x51A7C0DE00000001, 0x51A7C0DE00000002], K.U64)
 ORDER1, ORDER2 = K.U64(0x9E3779B97F4A7C15), K.U64(0xC2B2AE3D27D4EB4F)
@@ -128,6 +128,28 @@ def _chunks(max_words: int):
     return chunks
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys, and the place of each key among them as 32 bits: np.unique with less than half of its arrays alive at once."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), dtype=bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    every = key[new]
+    del key
+    back = np.empty(len(order), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return every, back
+
+
+def _paired(held: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """The pairs that end at each token; takes the tokens out of the list, so that they go before the pairs are sorted."""
+    token = held.pop()
+    out = histories(token, at)
+    for k in range(0, len(out), TOKENS):
+        out[k : k + TOKENS] = bigrams(out[k : k + TOKENS], token[k : k + TOKENS])
+    return out
+
+
 class Grams:
     """The distinct words (with START) and pairs of some rows, each sorted, and where the rows' tokens are among them."""
 
@@ -138,10 +160,14 @@ class Grams:
             held.append(token)
             firsts.append(at[1:] + size)
             size += len(token)
+        held.append(START[None])
         token, self.at = np.concatenate(held), np.concatenate(firsts)
-        self.words, back = np.unique(np.append(token, START), return_inverse=True)
+        del held
+        self.words, back = _distinct(token)
         self.back, self.start = back[:-1], back[-1]
-        self.pairs, self.pair = np.unique(bigrams(histories(token, self.at), token), return_inverse=True)
+        held = [token[:-1]]
+        del token
+        self.pairs, self.pair = _distinct(_paired(held, self.at))
         gram = unigrams(self.words)
         self.order = np.argsort(gram)
         self.ones = gram[self.order]
@@ -262,7 +288,8 @@ def _merge(parts: int, width: int):
             for n, x, c in zip(sizes[k].tolist(), rows.column(f"k{k}"), rows.column(f"c{k}"), strict=True):
                 key.append(_unpacked(x.as_py(), n, low))
                 many.append(_wide(c.as_py(), n))
-            every, back = np.unique(np.concatenate(key), return_inverse=True)
+            every, back = _distinct(np.concatenate(key))
+            del key
             found.append((every, back, np.bincount(back, np.concatenate(many).astype(np.float64), len(every)).astype(np.int64)))
         bits = np.zeros(1 << width, dtype=bool)
         for every, _, many in found[1:]:
@@ -287,22 +314,33 @@ def _merge(parts: int, width: int):
     return merge
 
 
+def _runs(at: np.ndarray) -> list[tuple[int, int]]:
+    """The rows, dealt into runs of some TOKENS tokens; every row has one."""
+    cuts = np.unique(np.append(np.searchsorted(at, np.arange(0, at[-1], TOKENS), "right") - 1, len(at) - 1)).tolist()
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 def _scores(total: int, words: int, mass: float):
     def scored(grams: Grams, exact: np.ndarray, ones: np.ndarray, pairs: np.ndarray) -> list[np.ndarray]:
         """Of each row: tokens, known ones, log10 of base and of model."""
         seen = np.empty(len(grams.words))
         seen[grams.order] = middle(ones.astype(np.int64))
-        history = np.empty_like(grams.back)
-        history[1:] = grams.back[:-1]
-        history[grams.at[:-1]] = grams.start
-        before = seen[history]
-        pair = np.minimum(middle(pairs.astype(np.int64))[grams.pair], before)
-        c = exact.astype(np.int64)[grams.back]
-        p0 = (c + 0.5) / (total + 0.5 * (words + 1))
-        p1 = (seen[grams.back] + 0.5) / (mass + 0.5 * (words + 1))
-        p = np.where(before > 0, LAMBDA * pair / np.maximum(before, 1) + (1 - LAMBDA) * p1, p1)
-        rows = lambda x: np.add.reduceat(x, grams.at[:-1])
-        return [np.diff(grams.at), rows((c > 0).astype(np.int64)), rows(np.log10(p0)), rows(np.log10(p))]
+        exact, pairs = exact.astype(np.int64), middle(pairs.astype(np.int64))
+        out = []
+        for a, b in _runs(grams.at):
+            of = slice(grams.at[a], grams.at[b])
+            at, back = grams.at[a:b] - grams.at[a], grams.back[of]
+            history = np.empty_like(back)
+            history[1:] = back[:-1]
+            history[at] = grams.start
+            before = seen[history]
+            pair = np.minimum(pairs[grams.pair[of]], before)
+            c = exact[back]
+            p0 = (c + 0.5) / (total + 0.5 * (words + 1))
+            p1 = (seen[back] + 0.5) / (mass + 0.5 * (words + 1))
+            p = np.where(before > 0, LAMBDA * pair / np.maximum(before, 1) + (1 - LAMBDA) * p1, p1)
+            out.append([np.add.reduceat(x, at) for x in ((c > 0).astype(np.int64), np.log10(p0), np.log10(p))])
+        return [np.diff(grams.at), *map(np.concatenate, zip(*out, strict=True))]
 
     def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         chunk, answers = chunk.sort_by("row"), answers.sort_by([("first", "ascending"), ("seg", "ascending")])
