@@ -13,6 +13,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Smallest labels spread over the links, and each round a vertex also takes the
     label of its label, so the rounds are logarithmic in the diameter for chains.
+    A round in which no neighbour has a smaller label ends it: equal labels along every link are final.
     Every round is a written table; nothing is gathered on the driver but a count. The links of
     the head of a star, and the vertices that carry one label, meet its row by broadcast (`joined`).
     """
@@ -22,8 +23,24 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = joined(both, labels.select(F.col("a").alias("b"), "l"), ["b"], hot=heads).groupBy("a").agg(F.min("l").alias("near"))
         step = written(labels.join(near, "a").select("a", F.col("l").alias("old"), F.least("l", "near").alias("l")))
+        if not step.filter("l <> old").limit(1).count():
+            return step.select(F.col("a").alias("v"), F.col("l").alias("component"))
         jump = step.select(F.col("a").alias("l"), F.col("l").alias("far"))
-        labels = written(joined(step, jump, ["l"], "left").select("a", "old", F.least("l", F.coalesce("far", "l")).alias("l")))
-        if not labels.filter("l <> old").limit(1).count():
-            return labels.select(F.col("a").alias("v"), F.col("l").alias("component"))
-        labels = labels.drop("old")
+        labels = written(joined(step, jump, ["l"], "left").select("a", F.least("l", F.coalesce("far", "l")).alias("l")))
+
+
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of the links that gave `found` and of `links` (a, b) together.
+
+    Only links between different components are followed, from component to component, so the work
+    of the rounds grows with what is new and not with what is connected already.
+    """
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        ends = ends.join(found.select(F.col("v").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+    between = written(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).filter("a <> b").distinct())
+    if not between.limit(1).count():
+        return found
+    grown = components(between)
+    known = found.join(grown.select(F.col("v").alias("component"), F.col("component").alias("_new")), "component", "left").select("v", F.coalesce("_new", "component").alias("component"))
+    return written(known.union(grown.join(found, "v", "left_anti").select("v", "component")))

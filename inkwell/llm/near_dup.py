@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import kernels as K
 from inkwell.llm.common import HOT, MOST_HOT, in_arrow, joined, table, written
-from inkwell.llm.graph import components
+from inkwell.llm.graph import components, extended
 
 WORDS, THRESHOLD = 5, 75
 BANDS, ROWS, MANTISSA = 40, 4, 10
@@ -168,6 +168,8 @@ def confirmed(pairs: DataFrame, reps: DataFrame, full: DataFrame) -> DataFrame:
     mine = reps.select("rep", "bands")
     near = pairs.join(mine.select(F.col("rep").alias("a"), F.col("bands").alias("x")), "a").join(mine.select(F.col("rep").alias("b"), F.col("bands").alias("y")), "b")
     near = written(in_arrow(near.select("a", "b", "x", "y"), _close, "a long, b long"))
+    if not near.limit(1).count():  # the full sets stay where they are
+        return near
     met = near.join(full.select(F.col("rep").alias("a"), F.col("grams").alias("x")), "a").join(full.select(F.col("rep").alias("b"), F.col("grams").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return written(met.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y") - shared).alias("u")).filter(F.col("i") * 100 >= F.col("u") * THRESHOLD).select("a", "b"))
@@ -241,8 +243,8 @@ def listed(held: DataFrame, found: DataFrame) -> DataFrame:
     return written(joined(lists, facts.filter("lo < hi").drop("lo", "hi"), ["pivot", "gram"]))
 
 
-def late_links(rest: DataFrame, reps: DataFrame, full: DataFrame, links: DataFrame, hot: DataFrame) -> DataFrame:
-    """Links between the classes of `rest` of different components; not all, but enough to connect what is connected.
+def late_components(rest: DataFrame, reps: DataFrame, full: DataFrame, found: DataFrame, hot: DataFrame) -> DataFrame:
+    """The components `found`, joined by links between the classes of `rest`; not by all, but by enough to connect what is connected.
 
     The pairs of a bucket of up to FEW classes are compared, which is a constant for each class. In larger ones
     pairs are sought in the lists of `pivoted`; each list is first compared with its smallest class, then by pairs that are still apart.
@@ -251,16 +253,17 @@ def late_links(rest: DataFrame, reps: DataFrame, full: DataFrame, links: DataFra
     late = confirmed(met_pairs(able.filter(F.col("c") <= FEW), ["band", "key"]), reps, full)
     many = written(able.filter(F.col("c") > FEW))
     if not many.limit(1).count():
-        return late
+        return extended(found, late)
     held = pivoted(many.select("band", "key", "rep", "n"), full, hot)
     direct = held.filter((F.col("rep") != F.col("pivot")) & (F.col("i") * (100 + THRESHOLD) >= (F.col("n") + F.col("pn")) * THRESHOLD)).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    late = written(late.union(direct))
-    lists = listed(held, components(links.union(late)))
+    found = extended(found, late.union(direct))
+    lists = listed(held, found)
     stars = lists.filter(F.col("component") != F.col("head.component")).select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct()
-    late = written(late.union(confirmed(stars, reps, full)))
-    lists = listed(held, components(links.union(late)))
+    joint = extended(found, confirmed(stars, reps, full))
+    if joint is not found:
+        lists = listed(held, joint)
     bounds = many.select("rep", "most", *[f"o{i}" for i in range(ODD // 64)]).distinct()
-    return late.union(confirmed(met_pairs(lists.join(bounds, "rep"), ["pivot", "gram"]), reps, full))
+    return extended(joint, confirmed(met_pairs(lists.join(bounds, "rep"), ["pivot", "gram"]), reps, full))
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -283,9 +286,7 @@ def link(docs: DataFrame) -> DataFrame:
     inside = shared.join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = inside.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key")
     rest = written(joined(inside, split, bucket, hot=hot).select("band", "key", "c", "rep", "n", "component"))
-    late = late_links(rest, reps, full, links, hot)
-    if late.limit(1).count():
-        found = components(links.union(late))
+    found = late_components(rest, reps, full, found, hot)
     told = classes.join(found.withColumnRenamed("v", "rep"), "rep", "left").filter("copies > 1 OR component IS NOT NULL")
     told = told.select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     out = joined(signed, told, ["d1", "d2", "n"], "left")
