@@ -30,7 +30,7 @@ def test_extended_components(spark):
 
 def test_links_are_followed_once(spark, tmp_path, monkeypatch):
     """A group of near copies that the first comparison connects, beside pages of templates that later ones connect."""
-    met, plain = [], graph.components
+    met, plain, calls, confirmed = [], graph.components, [], near_dup.confirmed
 
     def components(links):
         met.append(links.count())
@@ -38,6 +38,14 @@ def test_links_are_followed_once(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(graph, "components", components)
     monkeypatch.setattr(near_dup, "components", components)
+
+    def first_group_only(pairs, reps, full):
+        """The first comparison is kept from connecting the pages."""
+        calls.append(pairs)
+        out = confirmed(pairs, reps, full)
+        return out.filter("a >= 5000 AND b >= 5000") if len(calls) == 1 else out
+
+    monkeypatch.setattr(near_dup, "confirmed", first_group_only)
     base = [f"w{i}" for i in range(200)]
     docs = [(5000 + i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(120)] + pages(150, 70, 0)
     H.write(spark, str(tmp_path), docs, "doc_id long, text string")
