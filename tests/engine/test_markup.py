@@ -128,3 +128,9 @@ def test_lexicon(spark):
         if hits:
             want[t] = [(tier, k, i) for k, i in enumerate(sorted(hits)[:2], 1)]
     assert {t: sorted(v) for t, v in got.items()} == want
+
+
+def test_cut_off_references_are_text():
+    page = "<h1>and &amp; more &am</h1><p>and&&&amp</p><p>&ampx; &copy= &#65 &#65; &#x41; &quot;&middot;&amp;lt;</p><p class='a&copy=1'>&&lt;"
+    got = read(page)
+    assert [b["text"] for b in got] == ["and & more &am", "and&&&amp", '&ampx; &copy= &#65 A A "·&lt;', "&<"] and got[3]["classes"] == ["a&copy=1"]
