@@ -134,3 +134,16 @@ def test_cut_off_references_are_text():
     page = "<h1>and &amp; more &am</h1><p>and&&&amp</p><p>&ampx; &copy= &#65 &#65; &#x41; &quot;&middot;&amp;lt;</p><p class='a&copy=1'>&&lt;"
     got = read(page)
     assert [b["text"] for b in got] == ["and & more &am", "and&&&amp", '&ampx; &copy= &#65 A A "·&lt;', "&<"] and got[3]["classes"] == ["a&copy=1"]
+
+
+def test_counts_of_blocks_with_cut_off_references(spark, tmp_path):
+    import duckdb
+
+    from inkwell.plans import compose_queries as Q
+
+    pages = [(1, "<h1>and &amp</h1><p>&&&amp; &co</p>"), (2, "<p>&lt;b&gt;</p><p>&quot</p>")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in Q.html_blocks(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(Q.HTML_BLOCKS).fetchall()) == [(1, 2, 1, 1, 15), (2, 2, 2, 0, 8)]
