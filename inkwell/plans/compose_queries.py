@@ -12,17 +12,18 @@ from inkwell.operators import compose
 from inkwell.operators.ivf import build, search
 from inkwell.operators.vectors import exact_top_k
 from inkwell.sources.markup import blocks
-from inkwell.sources.tables import table, works
+from inkwell.sources.tables import cut, table, works
 
 
 def _sentences(spark, d) -> DataFrame:
     """doc_id, author, i, s: every sentence of documents with an author, from 1."""
-    return works(spark, d).filter("author IS NOT NULL").select(F.col("work_id").alias("doc_id"), "author", F.posexplode(F.transform(T.sentences(F.col("content")), lambda x: x["text"])).alias("i", "s")).withColumn("i", F.col("i") + 1)
+    return works(spark, d).filter("author IS NOT NULL").select(F.col("work_id").alias("doc_id"), "author", F.posexplode(T.sentence_texts(F.col("content"))).alias("i", "s")).withColumn("i", F.col("i") + 1)
 
 
 def _works(spark, d) -> DataFrame:
     """Works of two kinds: each sentence of 24 characters or more (`doc:i`), and for each document the concatenation of them all (`doc`)."""
-    docs = works(spark, d).filter("author IS NOT NULL").select("work_id", "author", F.filter(F.transform(T.sentences(F.col("content")), lambda x: x["text"]), lambda x: F.char_length(x) >= compose.MIN_PIECE).alias("s"))
+    # Written, as both kinds are made from the sentences, each more than once.
+    docs = cut(works(spark, d).filter("author IS NOT NULL").select("work_id", "author", F.filter(T.sentence_texts(F.col("content")), lambda x: F.char_length(x) >= compose.MIN_PIECE).alias("s")))
     members = docs.select("author", F.posexplode("s").alias("i", "content"), "work_id").select(F.concat_ws(":", F.col("work_id"), F.col("i") + 1).alias("work_id"), "author", "content")
     return members.union(docs.select(F.col("work_id").cast("string"), "author", F.array_join("s", "").alias("content")))
 

@@ -122,3 +122,17 @@ def test_containing_holds_every_pair(spark):
 def test_nothing_to_hold(spark):
     d, t = spark.createDataFrame([(1, "abc")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert C.containing(d, t, "doc_id", "item_id").count() == 0
+
+
+def test_equal_works_do_not_multiply(spark):
+    """Thirty hosts of one text over thirty copies of each piece: each place is found once a host, and edges are still told right."""
+    a, b = "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba" * 20
+    rows = [(f"{p}{i:02}", "x", t) for i in range(30) for p, t in (("a", a), ("b", b), ("h", a + b + a))]
+    df = spark.createDataFrame(rows, "work_id string, author string, content string")
+    found = C.occurrences(df, once=True).filter("host LIKE 'h%'").collect()
+    assert sorted({(r["pos"], r["end"], r["member"]) for r in found if r["end"] != len(a + b)} | {(26, 546, "b00")}) == [(0, 26, "a00"), (26, 546, "b00"), (546, 572, "a00")] and len(found) == 90
+    edges = C.covers(df).select(F.col("host").alias("parent_work_id"), F.col("member").alias("member_work_id"), "member_order")
+    told = C.validated_edges(edges, df).collect()
+    assert len(told) == 90 and all(r["valid"] for r in told)
+    wrong = spark.createDataFrame([("h00", "a00", 0), ("h00", "a00", 1), ("h00", None, 2), ("none", "a00", 0)], "parent_work_id string, member_work_id string, member_order int")
+    assert [(r["start"], r["end"], r["valid"]) for r in C.validated_edges(wrong, df).orderBy("parent_work_id", "member_order").collect()] == [(0, 26, False), (26, 52, False), (None, 52, False), (0, 26, False)]
