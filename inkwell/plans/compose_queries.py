@@ -63,7 +63,7 @@ COVER = f"""WITH RECURSIVE {WORKS_SQL}, {cover_sql("w", "w", "c")} SELECT host A
 
 def normalised_cover(spark, d):
     """Documents whose letters and digits are a concatenation of those of sentences of their author; documents that are one as they stand are left out."""
-    return compose.normalised_covers(_documents_as_hosts(spark, d)).groupBy("host").agg(F.count("*").alias("parts"), F.max("end").alias("end"))
+    return compose.normalised_covers(cut(_documents_as_hosts(spark, d))).groupBy("host").agg(F.count("*").alias("parts"), F.max("end").alias("end"))
 
 
 HOSTS_SQL = f"""{SENTENCES_SQL}, u AS (SELECT doc_id, author, generate_subscripts(s, 1) AS i, unnest(s) AS content FROM sl),

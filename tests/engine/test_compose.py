@@ -136,3 +136,14 @@ def test_equal_works_do_not_multiply(spark):
     assert len(told) == 90 and all(r["valid"] for r in told)
     wrong = spark.createDataFrame([("h00", "a00", 0), ("h00", "a00", 1), ("h00", None, 2), ("none", "a00", 0)], "parent_work_id string, member_work_id string, member_order int")
     assert [(r["start"], r["end"], r["valid"]) for r in C.validated_edges(wrong, df).orderBy("parent_work_id", "member_order").collect()] == [(0, 26, False), (26, 52, False), (None, 52, False), (0, 26, False)]
+
+
+
+def test_normalised_cover_of_equal_works(spark):
+    """Copies of works and hosts in other punctuation: every host is told, with two parts of one member each."""
+    a, b = "Abcdefghijklmnopqrstuvwxyz", "Zyxwvutsrqponmlkjihgfedcba"
+    rows = [(f"{p}{i}", "x", t) for i in range(5) for p, t in (("a", a + "!"), ("b", b + "." * i), ("h", f"{a}, ({b})"))]
+    df = spark.createDataFrame(rows, "work_id string, author string, content string")
+    got = C.normalised_covers(df).orderBy("host", "member_order").collect()
+    assert [(r["host"], r["member"], r["start"], r["end"]) for r in got] == [x for i in range(5) for x in ((f"h{i}", "a0", 0, 26), (f"h{i}", "b0", 26, 52))]
+    assert not C.occurrences(C.normalised(df), once=True).filter("member NOT IN ('a0', 'b0', 'h0')").count()
