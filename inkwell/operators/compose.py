@@ -349,7 +349,7 @@ def greedy_cover(works: DataFrame, least: float = 0.8, min_piece: int = MIN_PIEC
                 out.append((member, pos, -end))
                 at = -end
         share = sum(e - p for _, p, e in out) / size
-        share = round(share, 4) if len(out) > 1 and share >= least else None
+        share = int(share * 10000 + 0.5) / 10000 if len(out) > 1 and share >= least else None  # halves up, as SQL rounds
         return [(i, m, p, e, share) for i, (m, p, e) in enumerate(out)] if share is not None else []
 
     kind = dict(works.dtypes)["work_id"]

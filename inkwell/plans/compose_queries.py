@@ -74,7 +74,7 @@ SELECT host, count(*) AS parts, max(pos) AS "end" FROM c_w WHERE host NOT IN (SE
 
 def partial_cover(spark, d):
     """Documents of which sentences of their author cover eight tenths or more, walked from the left."""
-    return compose.greedy_cover(_documents_as_hosts(spark, d)).groupBy("host").agg(F.count("*").alias("parts"), F.first("coverage").alias("coverage"), F.sum(F.col("end") - F.col("start")).alias("covered"))
+    return compose.greedy_cover(cut(_documents_as_hosts(spark, d))).groupBy("host").agg(F.count("*").alias("parts"), F.first("coverage").alias("coverage"), F.sum(F.col("end") - F.col("start")).alias("covered"))
 
 
 PARTIAL = f"""WITH RECURSIVE {HOSTS_SQL}, p AS (SELECT author, work_id AS member, content AS piece, length(content) AS n, left(content, 12) AS k FROM w WHERE length(content) >= 24),

@@ -147,3 +147,11 @@ def test_normalised_cover_of_equal_works(spark):
     got = C.normalised_covers(df).orderBy("host", "member_order").collect()
     assert [(r["host"], r["member"], r["start"], r["end"]) for r in got] == [x for i in range(5) for x in ((f"h{i}", "a0", 0, 26), (f"h{i}", "b0", 26, 52))]
     assert not C.occurrences(C.normalised(df), once=True).filter("member NOT IN ('a0', 'b0', 'h0')").count()
+
+
+
+def test_coverage_rounds_halves_up(spark):
+    """759 of 800 characters are 0.94875, which SQL rounds to 0.9488."""
+    a, b = "abcdefghijklmnopqrstuvwxyz" * 10, "0123456789" * 49 + "012345678"
+    df = spark.createDataFrame([("a", "x", a), ("b", "x", b), ("h", "x", a + "-" * 41 + b)], "work_id string, author string, content string")
+    assert [(r["start"], r["end"], r["coverage"]) for r in C.greedy_cover(df).orderBy("part").collect()] == [(0, 260, 0.9488), (301, 800, 0.9488)]
