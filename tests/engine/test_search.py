@@ -62,3 +62,43 @@ def test_stored_terms(spark, tmp_path):
         got = lexical.search(index, q, T.words(F.col("text")), 3, flavour).select("query_id", "rank", "doc_id", "score").collect()
         want = lexical.bm25(docs, q, "doc_id", T.words(F.col("text")), T.words(F.col("text")), 3, flavour).select("query_id", "rank", "doc_id", "score").collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
+
+
+@pytest.mark.parametrize("name", ["rrf_two_stage"])
+def test_nothing_written_grows_with_texts(spark, tmp_path, monkeypatch, name):
+    """All of 300 texts share a word with each question: what is written are lists of twenty, not a row for each text and question."""
+    from inkwell import registry
+    from inkwell.operators import lexical as L
+    from inkwell.plans import evaluate_queries, search_queries
+    from inkwell.sources import tables
+
+    spark.createDataFrame([(i, f"the word w{i % 7} stands w{i % 11} here. And w{i} again", ("en", "fr")[i % 2], f"s{i % 3}", 9) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"the word w{i} stands") for i in range(4)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 3, [float(i), 1.0]) for i in range(50)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    written = []
+
+    def counted(df):
+        out = tables.cut(df)
+        written.append(out.count())
+        return out
+
+    for module in (L, search_queries, evaluate_queries):
+        monkeypatch.setattr(module, "cut", counted)
+    got = registry.QUERIES[name](spark, str(tmp_path)).count()
+    assert got and max(written, default=0) <= 4 * 20 * 3
+
+
+def test_best_of_each_task(spark):
+    """The k best by tasks are those of all scores, with ties, null texts and keys that are no numbers; larger sets of questions go the other way."""
+    import random
+
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, f"k{i:03}", None if i % 50 == 7 else " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12)))) for i in range(300)], "doc_id long, name string, text string").repartition(3)
+    q = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghz") for _ in range(3))) for i in range(12)] + [(99, "")], "query_id long, text string")
+    words = T.words(F.col("text"))
+    for key in ("doc_id", "name"):
+        scores = lexical.bm25_scores(docs, q, key, words, words, ("plain", "fts"))
+        want = {(f, *r) for f in ("plain", "fts") for r in lexical.best_scored(scores, key, f, 5).select("query_id", key, "score", "rank").collect()}
+        for most in (1000, 2):
+            got = lexical.bm25_best(docs, q, key, words, words, 5, ("plain", "fts"), max_broadcast=most)
+            assert {(r["flavour"], r["query_id"], r[key], r["score"], r["rank"]) for r in got.collect()} == want
