@@ -57,9 +57,8 @@ def truncation_variants(spark, d):
     """Sentences of a question are fused by channel, then with each other: with each list cut at ten in between, and uncut. Works in the first five of either."""
     q = table(spark, d, "benchmark").select("item_id", F.posexplode(T.sentences(F.col("text"))).alias("part", "s")).select(F.concat_ws(":", "item_id", "part").alias("query_id"), F.col("s.text").alias("question"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    scores = cut(lexical.bm25_scores(docs, q, "doc_id", T.words(F.col("text")), T.words(F.col("question")), ("plain", "fts")).withColumnRenamed("doc_id", "work_id"))
-    lists = [lexical.best_scored(scores, "work_id", f, 20).select("query_id", "work_id", "rank", F.lit(f).alias("channel")) for f in ("plain", "fts")]
-    inner = cut(rrf(lists[0].unionByName(lists[1]), ["query_id"], ["channel"]).select(F.split("query_id", ":")[0].cast("long").alias("item_id"), F.col("query_id").alias("part"), "work_id", "rank"))
+    lists = lexical.bm25_best(docs, q, "doc_id", T.words(F.col("text")), T.words(F.col("question")), 20, ("plain", "fts")).select("query_id", F.col("doc_id").alias("work_id"), "rank", F.col("flavour").alias("channel"))
+    inner = cut(rrf(lists, ["query_id"], ["channel"]).select(F.split("query_id", ":")[0].cast("long").alias("item_id"), F.col("query_id").alias("part"), "work_id", "rank"))
     arm = lambda hits, name: rrf(hits, ["item_id"], ["part"], limit=5).select("item_id", "work_id", F.col("rank").alias(name))
     return arm(inner.filter("rank <= 10"), "rank_cut").join(arm(inner, "rank_late"), ["item_id", "work_id"], "full_outer")
 
