@@ -91,8 +91,9 @@ SELECT query_id, work_id, rank, row_number() OVER (PARTITION BY query_id ORDER B
 
 def _shown(spark, d, fused: DataFrame) -> DataFrame:
     """What a reader is shown of a fused list: the first works under the public columns only, no scores and no ranks of channels."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("work_id"), F.substring(T.collapse(F.col("text")), 1, S.EVIDENCE).alias("excerpt"))
-    return fused.filter(F.col("rank") <= SHOWN).join(docs, "work_id").select(*PUBLIC)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("work_id"), "text")
+    met = S._few(cut(fused.filter(F.col("rank") <= SHOWN))).join(docs, "work_id")
+    return met.withColumn("excerpt", F.substring(T.collapse(F.col("text")), 1, S.EVIDENCE)).select(*PUBLIC)
 
 
 def visible_targets(spark, d):
