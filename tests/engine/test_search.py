@@ -64,7 +64,7 @@ def test_stored_terms(spark, tmp_path):
         assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
 
 
-@pytest.mark.parametrize("name", ["rrf_two_stage", "truncation_variants", "visible_targets", "metric_summary", "eligibility", "hybrid_search", "rank_contract"])
+@pytest.mark.parametrize("name", ["rrf_two_stage", "truncation_variants", "visible_targets", "metric_summary", "eligibility", "hybrid_search", "rank_contract", "rrf_fusion"])
 def test_nothing_written_grows_with_texts(spark, tmp_path, monkeypatch, name):
     """All of 300 texts share a word with each question: what is written are lists of twenty, not a row for each text and question."""
     from inkwell import registry
