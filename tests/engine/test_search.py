@@ -102,3 +102,19 @@ def test_best_of_each_task(spark):
         for most in (1000, 2):
             got = lexical.bm25_best(docs, q, key, words, words, 5, ("plain", "fts"), max_broadcast=most)
             assert {(r["flavour"], r["query_id"], r[key], r["score"], r["rank"]) for r in got.collect()} == want
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_ahead_in_blocks(vectors):
+    """Counts by blocks of questions are those of a loop, with ties; no pair is a row of a plan."""
+    from inkwell.operators.vectors import ranks_ahead
+
+    v = vectors.select("id", F.transform("v", lambda x: F.round(x, 0)).alias("v"))
+    x = {r["id"]: np.array(r["v"]) for r in v.collect()}
+    asked = [(i, x[i].tolist(), i + 1, float(x[i] @ x[i + 1])) for i in range(0, 290, 11)]
+    out = ranks_ahead(v, v.sparkSession.createDataFrame(asked, "id long, v array<double>, probe_id long, probe_score double"), block=6)
+    want = {(i, p, s, sum((float(x[i] @ x[o]), -o) > (s, -p) for o in x)) for i, _, p, s in asked}
+    assert {tuple(r) for r in out.collect()} == want and "Join" not in _plan(out)
