@@ -136,3 +136,17 @@ def test_cells_are_searched_by_matrices(vectors, monkeypatch):
     want = {tuple(r) for r in top_k_per_group(every, ["query_id"], [F.desc("score"), F.col("vec_id")], 4).select(names).collect()}
     got = ivf.search(lists, q, 4, 3).select(names)
     assert {tuple(r) for r in got.collect()} == want and "Join" not in _plan(got)
+
+
+
+def test_sweep_has_lists_of_k_alone(vectors, monkeypatch):
+    """What a sweep hands on are the k best of each number of cells, as found over all pairs, without a question's own vector."""
+    from inkwell.operators.ranking import top_k_per_group
+    from inkwell.sources.tables import cut
+
+    lists = ivf.build(vectors, 6)
+    lists.members = cut(lists.members)
+    q = vectors.filter("id % 5 = 0")
+    monkeypatch.setattr(ivf, "probed", lambda *_: pytest.fail("pairs as rows"), raising=True)
+    out = {r["probes"]: r for r in ivf.sweep(lists, q, exact_top_k(vectors, q, 4, "self"), 4, [1, 3, 6]).collect()}
+    assert out[6]["found"] == out[6]["wanted"] == 4 * q.count() and 0 < out[1]["found"] <= out[3]["found"] <= out[6]["found"]
