@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.edits import substring_edits
 from inkwell.functions.hashing import nfkc
-from inkwell.functions.text import letters_only, same_hit
+from inkwell.functions.text import letters_only, same_hit, squeeze
 from inkwell.operators.ranking import renumbered
 from inkwell.plans.ship import ship
 from inkwell.sources.tables import cut
@@ -363,8 +363,14 @@ def composition_filter(candidates: DataFrame, edges: DataFrame, aliases: DataFra
     own = edges.join(aliases, edges["member_work_id"] == aliases["alias"]).select("query_id", F.col("parent_work_id").alias("work_id")).distinct()
     by_self = pooled.join(own, ["query_id", "work_id"]).filter(same_hit(F.col("text"), F.col(current))).select("query_id", "work_id")
     left = pooled.join(by_self, ["query_id", "work_id"], "left_anti")
-    members = left.select("query_id", F.col("work_id").alias("member_work_id"), F.col("text").alias("member_text"))
-    by_member = left.join(edges.withColumnRenamed("parent_work_id", "work_id"), "work_id").join(members, ["query_id", "member_work_id"]).filter(same_hit(F.col("text"), F.col("member_text"))).select("query_id", "work_id").distinct()
+    # Pairs are found by ids; a collection's text is then met once, with the members' hits in a list of `pool` at most, and squeezed once.
+    ids = left.select("query_id", "work_id")
+    pairs = ids.join(edges.withColumnRenamed("parent_work_id", "work_id"), "work_id").join(ids.withColumnRenamed("work_id", "member_work_id"), ["query_id", "member_work_id"])
+    members = left.select("query_id", F.col("work_id").alias("member_work_id"), squeeze(F.col("text")).alias("_m"))
+    lists = pairs.join(members, ["query_id", "member_work_id"]).groupBy("query_id", "work_id").agg(F.collect_set("_m").alias("_l"))
+    met = lists.join(left.select("query_id", "work_id", squeeze(F.col("text")).alias("_t")), ["query_id", "work_id"])
+    same = lambda m: (F.least(F.char_length("_t"), F.char_length(m)) >= 6) & (F.contains("_t", m) | F.contains(m, F.col("_t")))
+    by_member = met.filter(F.exists("_l", same)).select("query_id", "work_id")
     return renumbered(left.join(by_member, ["query_id", "work_id"], "left_anti").withColumnRenamed("rank", "pool_rank"), ["query_id"], "pool_rank").filter(F.col("rank") <= k)
 
 

@@ -103,3 +103,12 @@ def test_containment(spark):
 def test_refused_requests_leave_no_mark():
     assert admitted([0, 1, 2, 61, 61.5], deque(), 2, 60) == [True, True, False, True, True]
     assert admitted([0, 60], deque(), 1, 60) == [True, False]
+
+
+def test_members_of_a_collection_meet_its_text_once(spark):
+    """Members' hits are a list beside the collection's text, which is not copied for each edge; short hits and other questions do not count."""
+    cand = [(q, i + 1, w, t, "") for q in (1, 2) for i, (w, t) in enumerate([("group", "alpha beta gamma delta"), ("one", "beta  gamma"), ("two", "ab"), ("three", "nothing of it")]) if (q, w) != (2, "one")]
+    edges = spark.createDataFrame([("group", f"m{i}") for i in range(50)] + [("group", "one"), ("group", "two"), ("three", "two")], "parent_work_id string, member_work_id string")
+    out = compose.composition_filter(spark.createDataFrame(cand, "query_id long, rank int, work_id string, text string, current string"), edges, spark.createDataFrame([], "query_id long, alias string"), "current", 8)
+    assert [(r["query_id"], r["rank"], r["work_id"]) for r in out.orderBy("query_id", "rank").collect()] == [(1, 1, "one"), (1, 2, "two"), (1, 3, "three"), (2, 1, "group"), (2, 2, "two"), (2, 3, "three")]
+    assert "exists(" in out._jdf.queryExecution().optimizedPlan().toString()
